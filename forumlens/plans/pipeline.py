@@ -1,0 +1,67 @@
+"""From exports to evidence, labels and an index, one written table per step."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from forumlens.operators.evidence import load_evidence, new_rows, upsert
+from forumlens.operators.labels import ask_labeler, label_queue, parse_labels, rule_labels
+from forumlens.operators.merge import merge_into
+from forumlens.operators.retrieval import build_index, embed
+from forumlens.sources.exports import export_kind, path_exists
+from forumlens.sources.tables import append, read_version, write_version
+
+
+def merge_step(spark: SparkSession, folder: str, exports: list[DataFrame], reset: bool = False) -> DataFrame:
+    """Merge uploaded exports into the stored ones; kinds are told by columns."""
+    files: dict[str, DataFrame] = {}
+    for export in exports:
+        kind = export_kind(export.columns)
+        if kind is None or kind in files:
+            raise ValueError("unknown export" if kind is None else f"a second {kind} export")
+        files[kind] = export
+    return merge_into(spark, folder, files, reset)
+
+
+def load_step(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """Append the evidence of a folder of exports that is not stored yet."""
+    incoming = load_evidence(spark, folder)
+    stored = spark.read.parquet(table) if path_exists(spark, table) else None
+    append(new_rows(stored, incoming).select(*incoming.columns), table)
+    return spark.read.parquet(table)
+
+
+def label_step(
+    evidence: DataFrame,
+    table: str,
+    answers: str | None = None,
+    labeler: Callable[[str], str] | None = None,
+    limit: int | None = None,
+    source_type: str | None = None,
+) -> DataFrame:
+    """Label what has no label and write a new version of the label table.
+
+    Answers of a labeler are written to the folder ``answers`` first: asking
+    is what costs, and a lost executor must not make it happen twice.
+    """
+    spark = evidence.sparkSession
+    stored = read_version(spark, table)
+    empty = rule_labels(evidence).limit(0)
+    queue = label_queue(evidence, empty if stored is None else stored, limit, source_type)
+    if labeler is None:
+        found = rule_labels(queue)
+    else:
+        if not answers:
+            raise ValueError("a labeler needs a folder for its answers")
+        ask_labeler(queue, labeler).write.mode("errorifexists").parquet(answers)
+        found, _ = parse_labels(spark.read.parquet(answers))
+    write_version(upsert(stored, found), table)
+    return read_version(spark, table)
+
+
+def index_step(chunks: DataFrame, table: str, embedder: Callable[[list[str]], list] | None = None) -> DataFrame:
+    """Embed chunks and write the index as a table with one vector per row."""
+    write_version(build_index(embed(chunks, "text", embedder)), table)
+    return read_version(chunks.sparkSession, table)
