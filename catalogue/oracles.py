@@ -292,28 +292,24 @@ FROM found"""
 
 
 def _charts() -> str:
-    def trend(name: str, condition: str) -> str:
-        return (f"SELECT 'trend.{name}', strftime(date_trunc('week', created_at), '%Y-%m-%d %H:%M:%S'), "
-                f"{COUNT.format(condition)} FROM joined WHERE created_at IS NOT NULL GROUP BY ALL")
+    def part(chart: str, series: str, name: str, value: str, where: str) -> str:
+        return (f"SELECT '{chart}' AS chart, {series} AS series, {name} AS name, {COUNT.format(value)} AS value "
+                f"FROM joined WHERE {where} GROUP BY ALL")
 
     def themes(kind: str, flag: str) -> str:
-        return (f"(SELECT '{kind}_themes', {kind}_theme, count(*) AS n FROM joined WHERE {flag} AND {kind}_theme "
-                f"IS NOT NULL GROUP BY ALL ORDER BY n DESC, {kind}_theme LIMIT 12)")
-
-    def power(name: str, flag: str) -> str:
-        return (f"SELECT 'powertrain.{name}', powertrain, {COUNT.format(flag)} FROM joined "
-                "WHERE powertrain IN ('EV', 'ICE', 'PHEV') GROUP BY ALL")
-
-    def brand(s: str) -> str:
-        return (f"SELECT 'brand_sentiment.{s}', brand, {COUNT.format(f'sentiment = {chr(39)}{s}{chr(39)}')} "
-                "FROM joined WHERE brand NOT IN ('unknown', 'GM') GROUP BY ALL")
+        return "(" + part(f"{kind}_themes", "'rows'", f"{kind}_theme", "TRUE", f"{flag} AND {kind}_theme IS NOT NULL") \
+            + " ORDER BY value DESC, name LIMIT 12)"
 
+    week, power, brand = "strftime(date_trunc('week', created_at), '%Y-%m-%d')", "powertrain", "brand"
+    powered, branded = "powertrain IN ('EV', 'ICE', 'PHEV')", "brand NOT IN ('unknown', 'GM')"
     return f"WITH {EVIDENCE + LABELS + OUTER}\n" + "\nUNION ALL\n".join([
-        "SELECT 'sentiment' AS chart, sentiment AS name, count(*) AS value FROM joined WHERE is_labelled GROUP BY ALL",
+        part("sentiment", "'rows'", "sentiment", "TRUE", "is_labelled"),
         themes("pain", "is_pain_point"), themes("delight", "is_delight"),
-        power("pain", "is_pain_point"), power("delight", "is_delight"),
-        *[brand(s) for s in ("positive", "negative", "neutral", "mixed")],
-        trend("pain_points", "is_pain_point"), trend("delights", "is_delight"), trend("labeled", "is_labelled"),
+        part("powertrain", "'pain'", power, "is_pain_point", powered),
+        part("powertrain", "'delight'", power, "is_delight", powered),
+        part("brand_sentiment", "sentiment", brand, "TRUE", branded),
+        *[part("trend", f"'{series}'", week, flag, "created_at IS NOT NULL") for series, flag in
+          (("pain_points", "is_pain_point"), ("delights", "is_delight"), ("labeled", "is_labelled"))],
     ])
 
 
@@ -340,7 +336,8 @@ ORACLES: dict[str, str] = {
         SELECT * FROM incoming UNION ALL
         SELECT * FROM stored WHERE evidence_id NOT IN (SELECT evidence_id FROM incoming)""",
     "cumulative_merge": f"""WITH {CRAWLS}
-        SELECT * EXCLUDE (batch, key) FROM crawls
+        SELECT * EXCLUDE (batch, key) REPLACE (coalesce(run_id, '') AS run_id, coalesce(post_author, '') AS post_author,
+                   coalesce(post_created_at, '') AS post_created_at) FROM crawls
         QUALIFY row_number() OVER (PARTITION BY key ORDER BY batch DESC) = 1""",
     "merge_stats": f"""WITH {CRAWLS}
         SELECT 'combined' AS kind, count(*) FILTER (WHERE batch = 0) AS existing_rows,

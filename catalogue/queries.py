@@ -151,21 +151,7 @@ def dashboard_summary_filtered(spark, sf):
 
 @query
 def dashboard_charts(spark, sf):
-    """Every chart of the dashboard, from one rollup, as (chart, name, value)."""
-    charts = dashboard.charts(dashboard.rollup(_joined(spark, sf, "left")))
-    parts = []
-    for chart in ("sentiment", "pain_themes", "delight_themes"):
-        name, value = charts[chart].columns
-        parts.append(charts[chart].select(F.lit(chart).alias("chart"), F.col(name).alias("name"), F.col(value).alias("value")))
-    for chart, key in (("powertrain", "powertrain"), ("brand_sentiment", "brand"), ("trend", "week")):
-        values = [c for c in charts[chart].columns if c != key]
-        parts += [charts[chart].select(
-            F.lit(f"{chart}.{v}").alias("chart"), F.col(key).cast("string").alias("name"), F.col(v).alias("value")
-        ) for v in values]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
+    return dashboard.chart_table(dashboard.rollup(_joined(spark, sf, "left")))
 
 
 @query
@@ -478,7 +464,7 @@ def build_chunks_combined(spark, sf):
 
 @query
 def retrieve_topk(spark, sf):
-    index = retrieval.build_index(b.table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    index = b.table(spark, sf, "embeddings").select("vec_id", "embedding")
     return retrieval.retrieve(b.topic_questions(spark, sf), index, 5, key="vec_id")
 
 

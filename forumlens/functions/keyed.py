@@ -53,18 +53,22 @@ def keep_one(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column
     return keep_top(df, keys, order, 1)
 
 
-def arrival(df: DataFrame, newest_first: bool = False) -> list[Column]:
-    """Order in which rows came in.
+def arrival_values(df: DataFrame) -> list[Column]:
+    """What tells the order in which rows came in.
 
     Readers add the file and the row number in it. Frames without them fall
     back to the download time; a hash of the row settles what is left, so that
     the choice does not depend on how the rows were spread over tasks.
     """
     names = [c for c in ("_batch", "_file", "_row") if c in df.columns]
-    if "_row" not in names:
-        names += [c for c in ("downloaded_at", "run_id") if c in df.columns]
+    if "_row" in names:
+        return [F.col(c) for c in names]
+    names += [c for c in ("downloaded_at", "run_id") if c in df.columns]
     rest = [c for c, kind in df.dtypes if c not in names and not kind.startswith("map")]
-    order = [F.col(c) for c in names] + [F.xxhash64(*rest)]
-    if newest_first:
-        return [c.desc_nulls_last() for c in order]
-    return [c.asc_nulls_last() for c in order]
+    return [F.col(c) for c in names] + [F.xxhash64(*rest)]
+
+
+def arrival(df: DataFrame, newest_first: bool = False) -> list[Column]:
+    """Sort order by arrival."""
+    values = arrival_values(df)
+    return [c.desc_nulls_last() if newest_first else c.asc_nulls_last() for c in values]

@@ -126,12 +126,18 @@ class Collected:
 
 
 def unseen(feed: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """Feed posts not collected before."""
+    """Feed posts not collected before, each once.
+
+    Copies collapse first: that makes the key unique, and the anti join then
+    finds the rows already partitioned by it.
+    """
     rows = feed.filter(present(F.col("id"))).withColumn("group_key", F.lower("subreddit"))
-    if seen is not None:
-        known = seen.select("group_key", F.col("post_id").alias("id"))
-        rows = rows.join(known, ["group_key", "id"], "left_anti")
-    return rows
+    rest = F.xxhash64(*[c for c in feed.columns if c != "id"])
+    once = keep_one(rows, ["group_key", "id"], [_moment(feed, "created_at").desc_nulls_last(), rest])
+    if seen is None:
+        return once
+    known = seen.select("group_key", F.col("post_id").alias("id"))
+    return once.join(known, ["group_key", "id"], "left_anti")
 
 
 def newest(feed: DataFrame, n: int, column: str = "created_at") -> DataFrame:
@@ -163,8 +169,6 @@ def collect(
         failed = feed.filter(F.col("error").isNotNull()).groupBy("subreddit").agg(F.min("error").alias("error"))
         feed = feed.filter(F.col("error").isNull())
     fresh = unseen(in_window(feed, since, until), seen)
-    order = [_moment(feed, "created_at").desc_nulls_last(), F.xxhash64(*[c for c in feed.columns if c != "id"])]
-    fresh = keep_one(fresh, ["group_key", "id"], order)
     if cap > 0:
         fresh = newest(fresh, cap)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -212,14 +213,46 @@ NEGATIVE_WORDS = [
 POSITIVE_WORDS = ["love", "great", "best", "satisfied", "happy", "excellent", "rock solid", "smooth"]
 
 
-def mentions(text: Column, words: Sequence[str]) -> Column:
-    """Whether lower-case text has one of the words, standing alone."""
-    return text.rlike("(^|[^a-z0-9])(" + "|".join(words) + ")([^a-z0-9]|$)")
+def _single(word: str) -> bool:
+    return word.isascii() and word.isalnum()
 
 
-def first_match(text: Column, rules: Mapping[str, Sequence[str]], default: Column) -> Column:
-    """The first value one of whose words is mentioned."""
-    return F.coalesce(*[F.when(mentions(text, words), F.lit(v)) for v, words in rules.items()], default)
+class Mentions:
+    """Which words of a vocabulary a text has, standing alone.
+
+    A text is cut into words once, and what is left of it is the few that are
+    in the vocabulary; every rule looks only at those. Phrases are searched for
+    in the text, with a pattern only where the phrase occurs at all.
+    """
+
+    TEXT, WORDS = "_text", "_words"
+
+    def __init__(self, *vocabularies: Sequence[str]):
+        every = {w for words in vocabularies for w in words}
+        self.singles = sorted(w for w in every if _single(w))
+
+    def prepare(self, df: DataFrame, text: Column) -> DataFrame:
+        """Add the lower-case text and the vocabulary words in it."""
+        lower = df.withColumn(self.TEXT, F.lower(text))
+        vocabulary = F.array(*[F.lit(w) for w in self.singles]).cast("array<string>")
+        return lower.withColumn(
+            self.WORDS, F.array_intersect(F.split(self.TEXT, "[^a-z0-9]+"), vocabulary)
+        )
+
+    def any_of(self, words: Sequence[str]) -> Column:
+        """Whether one of the words is mentioned."""
+        found = F.lit(False)
+        singles = [w for w in words if _single(w)]
+        if singles:
+            found = F.arrays_overlap(self.WORDS, F.array(*[F.lit(w) for w in singles]))
+        for phrase in (w for w in words if not _single(w)):
+            alone = F.col(self.TEXT).rlike("(^|[^a-z0-9])" + re.escape(phrase) + "([^a-z0-9]|$)")
+            found = found | (F.col(self.TEXT).contains(phrase) & alone)
+        return found
+
+    def first_of(self, rules: Mapping[str, Sequence[str]], default: Column) -> Column:
+        """The first value one of whose words is mentioned."""
+        return F.coalesce(*[F.when(self.any_of(words), F.lit(v)) for v, words in rules.items()], default)
 
 
 def rule_labels(
@@ -237,26 +270,31 @@ def rule_labels(
     A text about no known brand has no powertrain either; one about a brand
     runs on fuel unless it says otherwise.
     """
-    words = queue.select("evidence_id", F.lower(F.concat_ws(" ", "title", "text")).alias("words"))
-    text, unknown, other = F.col("words"), F.lit("unknown"), F.lit("other")
-    bad, good = mentions(text, negative), mentions(text, positive)
-    found = words.select(
-        "evidence_id", "words",
-        first_match(text, brands, unknown).alias("brand"),
-        bad.alias("_bad"), good.alias("_good"),
+    rules = [*brands.values(), *models.values(), *powertrains.values(), *pains.values(), *delights.values()]
+    said = Mentions(*rules, negative, positive)
+    unknown, other, none = F.lit("unknown"), F.lit("other"), F.lit(None).cast("string")
+    texts = said.prepare(queue, F.concat_ws(" ", "title", "text"))
+    marked = texts.select(
+        "evidence_id",
+        said.first_of(brands, unknown).alias("brand"),
+        said.first_of(models, unknown).alias("model"),
+        said.first_of(powertrains, none).alias("_power"),
+        said.first_of(pains, other).alias("_pain"),
+        said.first_of(delights, other).alias("_delight"),
+        said.any_of(negative).alias("_bad"),
+        said.any_of(positive).alias("_good"),
     )
     known = F.col("brand") != "unknown"
-    return found.select(
-        "evidence_id",
-        "brand",
-        first_match(text, models, unknown).alias("model"),
-        first_match(text, powertrains, F.when(known, F.lit("ICE")).otherwise(unknown)).alias("powertrain"),
-        F.col("_bad").alias("is_pain_point"),
-        F.when(F.col("_bad"), first_match(text, pains, other)).alias("pain_theme"),
-        (F.col("_good") & ~F.col("_bad")).alias("is_delight"),
-        F.when(F.col("_good") & ~F.col("_bad"), first_match(text, delights, other)).alias("delight_theme"),
-        F.when(F.col("_bad") & F.col("_good"), F.lit("mixed")).when(F.col("_bad"), F.lit("negative"))
-        .when(F.col("_good"), F.lit("positive")).otherwise(F.lit("neutral")).alias("sentiment"),
+    pain, delight = F.col("_bad"), F.col("_good") & ~F.col("_bad")
+    return marked.select(
+        "evidence_id", "brand", "model",
+        F.coalesce("_power", F.when(known, F.lit("ICE")).otherwise(unknown)).alias("powertrain"),
+        pain.alias("is_pain_point"),
+        F.when(pain, F.col("_pain")).alias("pain_theme"),
+        delight.alias("is_delight"),
+        F.when(delight, F.col("_delight")).alias("delight_theme"),
+        F.when(pain & F.col("_good"), F.lit("mixed")).when(pain, F.lit("negative"))
+        .when(delight, F.lit("positive")).otherwise(F.lit("neutral")).alias("sentiment"),
         F.when(known, F.lit(0.9)).otherwise(F.lit(0.1)).cast("float").alias("confidence"),
     )
 

@@ -1,14 +1,15 @@
-"""All dashboard tables from one pass over evidence and labels."""
+"""The dashboard: every chart from one pass over evidence and labels."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from forumlens.functions.columns import percent, week_start
+from forumlens.fixed import UNSPECIFIC_BRANDS
+from forumlens.functions.columns import week_start
 from forumlens.operators.filters import Filters, labelled
 from forumlens.operators.metrics import dashboard_summary, evidence_detail
-from forumlens.fixed import SENTIMENTS, UNSPECIFIC_BRANDS
 
 DIMENSIONS = [
     "is_labelled", "brand", "powertrain", "sentiment", "is_pain_point", "pain_theme", "is_delight",
@@ -19,7 +20,7 @@ DIMENSIONS = [
 def rollup(joined: DataFrame) -> DataFrame:
     """Rows per week and label values: a table as small as the label domains.
 
-    Every chart sums over it, so the large join is read once and not once per
+    All charts sum over it, so the large join is read once and not once per
     chart.
     """
     return joined.groupBy(week_start(F.col("created_at")).alias("week"), *DIMENSIONS).agg(
@@ -27,53 +28,49 @@ def rollup(joined: DataFrame) -> DataFrame:
     )
 
 
-def _sum(condition=None) -> Column:
-    n = F.col("n") if condition is None else F.when(condition, F.col("n"))
-    return F.coalesce(F.sum(n), F.lit(0).cast("long"))
+def chart_table(rolled: DataFrame, themes: int = 12) -> DataFrame:
+    """All charts as one table (chart, series, name, value) from one rollup.
 
-
-def charts(rolled: DataFrame, themes: int = 12) -> dict[str, DataFrame]:
-    """The charts of the dashboard from a rollup."""
-    pain, delight = F.col("is_pain_point"), F.col("is_delight")
-    labelled_rows = rolled.filter(F.col("is_labelled"))
-
-    def top(flag: str, theme: str) -> DataFrame:
-        rows = labelled_rows.filter(F.col(flag) & F.col(theme).isNotNull())
-        return rows.groupBy(theme).agg(_sum().alias("cnt")).orderBy(F.desc("cnt"), theme).limit(themes)
-
-    felt = labelled_rows.filter(F.col("sentiment").isNotNull())
-    return {
-        "totals": rolled.agg(
-            _sum().alias("evidence_units"), _sum(F.col("is_labelled")).alias("labeled"),
-            _sum(pain).alias("pain_points"), _sum(delight).alias("delights"),
-        ).withColumns({
-            "pain_rate": percent(F.col("pain_points"), F.col("labeled")),
-            "delight_rate": percent(F.col("delights"), F.col("labeled")),
-        }),
-        "trend": rolled.filter(F.col("week").isNotNull()).groupBy("week").agg(
-            _sum(pain).alias("pain_points"), _sum(delight).alias("delights"),
-            _sum(F.col("is_labelled")).alias("labeled"),
-        ).orderBy("week"),
-        "sentiment": felt.groupBy("sentiment").agg(_sum().alias("cnt")).orderBy(F.desc("cnt"), "sentiment"),
-        "powertrain": labelled_rows.filter(F.col("powertrain").isin("EV", "ICE", "PHEV"))
-        .groupBy("powertrain").agg(_sum(pain).alias("pain"), _sum(delight).alias("delight"))
-        .orderBy("powertrain"),
-        "pain_themes": top("is_pain_point", "pain_theme"),
-        "delight_themes": top("is_delight", "delight_theme"),
-        "brand_sentiment": felt.filter(~F.col("brand").isin(UNSPECIFIC_BRANDS)).groupBy("brand").agg(
-            *[_sum(F.col("sentiment") == s).alias(s) for s in SENTIMENTS]
-        ).orderBy("brand"),
-    }
+    Each row of the rollup adds its count to the charts it belongs to; themes
+    are then cut to the most frequent.
+    """
+    labelled_row, pain, delight = F.col("is_labelled"), F.col("is_pain_point"), F.col("is_delight")
+    week, text = F.date_format("week", "yyyy-MM-dd"), F.col("sentiment")
+    branded = ~F.col("brand").isin(UNSPECIFIC_BRANDS)
+    powered = F.col("powertrain").isin("EV", "ICE", "PHEV")
+
+    def entry(chart: str, series: Column | str, name: Column, condition: Column) -> Column:
+        named = F.lit(series) if isinstance(series, str) else series
+        value = F.when(F.coalesce(condition, F.lit(False)), F.col("n")).otherwise(F.lit(0).cast("long"))
+        return F.when(name.isNotNull() & named.isNotNull(), F.struct(
+            F.lit(chart).alias("chart"), named.alias("series"), name.alias("name"), value.alias("value")
+        ))
+
+    always = F.lit(True)
+    entries = F.array_compact(F.array(
+        entry("sentiment", "rows", F.when(labelled_row, text), always),
+        entry("powertrain", "pain", F.when(powered, F.col("powertrain")), pain),
+        entry("powertrain", "delight", F.when(powered, F.col("powertrain")), delight),
+        entry("pain_themes", "rows", F.when(pain, F.col("pain_theme")), always),
+        entry("delight_themes", "rows", F.when(delight, F.col("delight_theme")), always),
+        entry("brand_sentiment", text, F.when(branded, F.col("brand")), always),
+        entry("trend", "pain_points", week, pain),
+        entry("trend", "delights", week, delight),
+        entry("trend", "labeled", week, labelled_row),
+    ))
+    summed = rolled.select(F.inline(entries)).groupBy("chart", "series", "name").agg(
+        F.sum("value").alias("value")
+    )
+    place = F.row_number().over(W.partitionBy("chart").orderBy(F.desc("value"), "name"))
+    limited = F.col("chart").isin("pain_themes", "delight_themes")
+    return summed.withColumn("_place", place).filter(~limited | (F.col("_place") <= themes)).drop("_place")
 
 
 def dashboard(evidence: DataFrame, labels: DataFrame, filters: Filters = Filters()) -> dict[str, DataFrame]:
-    """Summary, charts and matching rows under one set of filters.
-
-    The rollup is persisted: it is small, and if an executor with a part of it
-    is lost Spark builds that part again.
-    """
+    """Summary, charts and newest matching rows under one set of filters."""
     joined = filters.apply(labelled(evidence, labels, "left"))
-    tables = charts(rollup(joined).persist())
-    tables["summary"] = dashboard_summary(joined)
-    tables["detail"] = evidence_detail(joined)
-    return tables
+    return {
+        "summary": dashboard_summary(joined),
+        "charts": chart_table(rollup(joined)),
+        "detail": evidence_detail(joined),
+    }

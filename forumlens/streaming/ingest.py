@@ -60,6 +60,9 @@ def stream_evidence(rows: DataFrame, table: str, checkpoint: str, key: str = "ev
 def stream_upsert(rows: DataFrame, table: str, checkpoint: str, key: str = "evidence_id") -> DataStreamWriter:
     """Replace rows of a versioned table by those of every micro-batch."""
     def step(batch: DataFrame, _: int) -> None:
+        # Used twice below; without this the state would be read twice as well.
+        batch.persist()
         write_version(upsert(read_version(batch.sparkSession, table), batch, key), table)
+        batch.unpersist()
 
     return _writer(rows, checkpoint, step)
