@@ -151,46 +151,62 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def _search(page: list, asked, index: DataFrame, key: str, k: int, key_type: str) -> DataFrame:
-    """Best k chunks per question of a page within each partition of the index."""
+class _Best:
+    """The k best chunks per question seen so far in one partition."""
+
+    def __init__(self, questions: int, k: int):
+        self.k = k
+        self.question = np.empty(0, dtype=np.int64)
+        self.id: np.ndarray | None = None
+        self.score = np.empty(0)
+        # Score a chunk has to reach to be among the k of a question.
+        self.floor = np.full(questions, -np.inf)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in the scores of some chunks, a row per question."""
+        need = self.floor
+        if scores.shape[1] > self.k:
+            need = np.maximum(need, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        question, chunk = np.nonzero(scores >= need[:, None])
+        if not len(question):
+            return
+        question = np.concatenate([self.question, question])
+        found = ids[chunk] if self.id is None else np.concatenate([self.id, ids[chunk]])
+        score = np.concatenate([self.score, scores[scores >= need[:, None]]])
+        # By question, best score first, equals by id.
+        order = np.lexsort((np.unique(found, return_inverse=True)[1], -score, question))
+        question = question[order]
+        _, start, size = np.unique(question, return_index=True, return_counts=True)
+        place = np.arange(len(question)) - np.repeat(start, size)
+        keep = order[place < self.k]
+        self.question, self.id, self.score = question[place < self.k], found[keep], score[keep]
+        full = place[place < self.k] == self.k - 1
+        self.floor[self.question[full]] = self.score[full]
+
+
+def _search(asked, index: DataFrame, key: str, k: int, id_type: str, key_type: str) -> DataFrame:
+    """Best k chunks per question within each partition of the index."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        questions = asked.value
+        names, questions = asked.value
         step = max(1, TILE_SCORES // len(questions))
-        held = pd.DataFrame({"q": [], "id": [], "score": []})
-        # Score a chunk has to reach to be among the k held for a question.
-        floor = np.full(len(questions), -np.inf)
+        held, kind = _Best(len(questions), k), None
         for batch in batches:
-            ids = batch.column(0).to_pandas()
+            kind = batch.schema.field(0).type
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             vectors = _unit(_matrix(batch.column(1)))
             for at in range(0, len(ids), step):
                 scores = np.round(questions @ vectors[at:at + step].T, SCORE_DIGITS) + 0.0
-                if scores.shape[1] > k:
-                    need = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
-                else:
-                    need = floor
-                q, c = np.nonzero(scores >= need[:, None])
-                if not len(q):
-                    continue
-                found = pd.DataFrame({"q": q, "id": ids.iloc[at + c].to_numpy(), "score": scores[q, c]})
-                held = pd.concat([held, found], ignore_index=True) if len(held) else found
-                held = held.sort_values(["q", "score", "id"], ascending=[True, False, True])
-                held = held.groupby("q", sort=False).head(k)
-                full = held.groupby("q")["score"].agg(["size", "min"])
-                full = full[full["size"] == k]
-                floor[full.index.to_numpy(dtype=int)] = full["min"].to_numpy()
-        if len(held):
-            yield pa.RecordBatch.from_pandas(
-                held.astype({"q": "int32", "score": "float64"}), preserve_index=False,
+                held.add(scores, ids[at:at + step])
+        if held.id is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[q] for q in held.question]), pa.array(held.id, kind), pa.array(held.score)],
+                ["question_id", key, "score"],
             )
 
-    found = index.select(key, "embedding").mapInArrow(best, f"q int, id {key_type}, score double")
-    names = index.sparkSession.createDataFrame(
-        list(enumerate(page)), T.StructType([T.StructField("q", T.IntegerType()), T.StructField(
-            "question_id", T.StringType() if isinstance(page[0], str) else T.LongType())])
+    return index.select(key, "embedding").mapInArrow(
+        best, f"question_id {id_type}, {key} {key_type}, score double"
     )
-    # A page is bounded in size, so its names may be broadcast.
-    return found.join(F.broadcast(names), "q").select("question_id", F.col("id").alias(key), "score")
 
 
 def retrieve(
@@ -239,8 +255,9 @@ def retrieve(
         if only is not None:
             folder = folder or scratch_folder(spark, "retrieve")
             only.write.mode("append").parquet(folder)
-        asked = spark.sparkContext.broadcast(_unit(np.array([r.embedding for r in page], dtype=np.float64)))
-        only = ranked(_search([r[question_id] for r in page], asked, index, key, k, key_type))
+        vectors = _unit(np.array([r.embedding for r in page], dtype=np.float64))
+        asked = spark.sparkContext.broadcast(([r[question_id] for r in page], vectors))
+        only = ranked(_search(asked, index, key, k, id_type, key_type))
     if only is None:
         return none
     if folder:
