@@ -588,6 +588,11 @@ ORACLES: dict[str, str] = {
     "stream_ingest_dedupe": """
         SELECT DISTINCT event_type || '_' || CAST(user_id AS VARCHAR) AS evidence_id, event_type AS subreddit,
                CAST(user_id AS VARCHAR) AS post_id FROM events""",
+    "stream_evidence_load": """
+        SELECT 'post_' || CAST(doc_id AS VARCHAR) AS evidence_id, source AS subreddit, text FROM documents""",
+    "stream_label_log": """
+        SELECT 'user_' || CAST(user_id AS VARCHAR) AS evidence_id, event_type AS sentiment FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "stream_weekly_trend": f"""
         SELECT {MONDAY.format('ts')} AS week, {COUNT.format("event_type = 'error'")} AS pain_points,
                {COUNT.format("event_type = 'purchase'")} AS delights, count(*) AS labeled

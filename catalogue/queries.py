@@ -20,7 +20,7 @@ from forumlens.plans import dashboard
 from forumlens.session import scratch_folder
 from forumlens.sources.runs import latest_run
 from forumlens.sources.tables import read_version
-from forumlens.streaming.ingest import once_per_post, stream_evidence
+from forumlens.streaming.ingest import latest, once_per_post, stream_append, stream_evidence, stream_log
 from forumlens.streaming.trend import stream_trend
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -530,10 +530,36 @@ def stream_ingest_dedupe(spark, sf):
         F.col("id").alias("post_id"),
     )
     folder = scratch_folder(spark, "ingest")
+    stream_append(rows, f"{folder}/table", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/table")
+
+
+@query
+def stream_evidence_load(spark, sf):
+    """Documents as a stream of evidence, loaded batch by batch."""
+    schema = b.table(spark, sf, "documents").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    rows = docs.select(
+        F.concat(F.lit("post_"), F.col("doc_id").cast("string")).alias("evidence_id"),
+        F.col("source").alias("subreddit"), F.col("text"),
+    )
+    folder = scratch_folder(spark, "load")
     stream_evidence(rows, f"{folder}/table", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/table")
 
 
+@query
+def stream_label_log(spark, sf):
+    """Every event sets the label of its user; the last one holds."""
+    feed = _event_stream(spark, sf).select(
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("evidence_id"),
+        F.col("event_type").alias("sentiment"), F.col("ts").alias("_file"), F.col("event_id").alias("_row"),
+    )
+    folder = scratch_folder(spark, "log")
+    stream_log(feed, f"{folder}/table", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return latest(spark.read.parquet(f"{folder}/table")).select("evidence_id", "sentiment")
+
+
 @query
 def stream_weekly_trend(spark, sf):
     feed = _event_stream(spark, sf).select(

@@ -53,6 +53,22 @@ def keep_one(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column
     return keep_top(df, keys, order, 1)
 
 
+def not_stored(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Incoming rows whose key a table, most often a far larger one, lacks.
+
+    An anti join may only broadcast its right side, so written directly it
+    would shuffle every stored key for a small batch. Here the stored keys are
+    first cut to those that come in again. If the incoming keys are small Spark
+    broadcasts them for that and the stored table is only scanned; if not, both
+    sides are shuffled by key. What is left to exclude is never more than what
+    came in.
+    """
+    keys = list(keys)
+    wanted = incoming.select(*keys).distinct()
+    again = stored.select(*keys).join(wanted, keys, "left_semi")
+    return incoming.join(again, keys, "left_anti").select(*incoming.columns)
+
+
 def arrival_values(df: DataFrame) -> list[Column]:
     """What tells the order in which rows came in.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 from operator import and_
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from forumlens.fixed import RUN_ID_FORMAT
 from forumlens.functions.columns import present, to_time
-from forumlens.functions.keyed import keep_one, keep_top
+from forumlens.functions.keyed import keep_one, keep_top, not_stored
 from forumlens.operators.normalise import combined_rows, comment_rows, normalise, post_rows
+from forumlens.session import scratch_folder
 from forumlens.sources.tables import append
 
 
@@ -116,20 +117,77 @@ def read_seen_json(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Collected:
-    """What one run brings in; ``seen`` holds only the ids to add."""
+    """What one run brings in.
 
-    posts: DataFrame
-    comments: DataFrame
-    combined: DataFrame
-    seen: DataFrame
-    summary: DataFrame
+    ``rows`` are the new posts with their comments; the three exports, the ids
+    to remember and the counts all follow from them without a shuffle of texts.
+    """
+
+    rows: DataFrame
+    audit: DataFrame
+    failed: DataFrame | None
+    dry_run: bool
+
+    @property
+    def kept(self) -> DataFrame:
+        return self.rows.limit(0) if self.dry_run else self.rows
+
+    @property
+    def posts(self) -> DataFrame:
+        return post_rows(self.kept)
+
+    @property
+    def comments(self) -> DataFrame:
+        return comment_rows(self.kept)
+
+    @property
+    def combined(self) -> DataFrame:
+        return combined_rows(self.kept)
+
+    @property
+    def seen(self) -> DataFrame:
+        return self.kept.select(F.lower("subreddit").alias("group_key"), F.col("id").alias("post_id"))
+
+    @property
+    def summary(self) -> DataFrame:
+        """Per community: what was inspected, what is new, or why it failed."""
+        zero, unknown = F.lit(0).cast("long"), F.lit(None).cast("long")
+        said = F.size("comments").cast("long")
+        counts = self.rows.select("subreddit", said.alias("n")).groupBy("subreddit").agg(
+            F.count("*").alias("new_posts"),
+            (zero if self.dry_run else F.sum("n")).alias("comments"),
+            (zero if self.dry_run else F.sum(F.greatest(F.col("n"), F.lit(1)))).alias("combined_rows"),
+        )
+        told = self.audit.join(counts, "subreddit", "left").select(
+            "subreddit",
+            F.lit("dry_run" if self.dry_run else "completed").alias("status"),
+            F.lit("").alias("error"),
+            *[c for c in self.audit.columns if c != "subreddit"],
+            *[F.coalesce(F.col(c), zero).alias(c) for c in ("new_posts", "comments", "combined_rows")],
+        )
+        if self.failed is None:
+            return told
+        # A community that failed is reported as failed only.
+        counted = {c: zero for c in ("inspected_posts", "new_posts", "comments", "combined_rows")}
+        lost = self.failed.select(
+            "subreddit", F.lit("failed").alias("status"), "error",
+            *[counted.get(c, unknown).alias(c) for c in told.columns[3:]],
+        )
+        return told.join(self.failed.select("subreddit"), "subreddit", "left_anti").select(
+            *told.columns).unionByName(lost)
+
+    def staged(self) -> Collected:
+        """The same with its rows written to the shared folder, once."""
+        spark = self.rows.sparkSession
+        folder = scratch_folder(spark, "collected")
+        self.rows.write.parquet(folder)
+        return replace(self, rows=spark.read.schema(self.rows.schema).parquet(folder))
 
 
 def unseen(feed: DataFrame, seen: DataFrame | None) -> DataFrame:
     """Feed posts not collected before, each once.
 
-    Copies collapse first: that makes the key unique, and the anti join then
-    finds the rows already partitioned by it.
+    Copies collapse first, so that the key is unique in the joins.
     """
     rows = feed.filter(present(F.col("id"))).withColumn("group_key", F.lower("subreddit"))
     rest = F.xxhash64(*[c for c in feed.columns if c != "id"])
@@ -137,7 +195,7 @@ def unseen(feed: DataFrame, seen: DataFrame | None) -> DataFrame:
     if seen is None:
         return once
     known = seen.select("group_key", F.col("post_id").alias("id"))
-    return once.join(known, ["group_key", "id"], "left_anti")
+    return not_stored(once, known, ["group_key", "id"])
 
 
 def newest(feed: DataFrame, n: int, column: str = "created_at") -> DataFrame:
@@ -171,53 +229,26 @@ def collect(
     fresh = unseen(in_window(feed, since, until), seen)
     if cap > 0:
         fresh = newest(fresh, cap)
-
-    size = F.size(F.coalesce(F.col("comments"), F.array().cast(feed.schema["comments"].dataType)))
-    if comments_limit is not None:
-        size = F.least(size, F.lit(comments_limit))
-    count = fresh.select("subreddit", size.cast("long").alias("n")).groupBy("subreddit").agg(
-        F.count("*").alias("new_posts"),
-        F.sum("n").alias("comments"),
-        F.sum(F.greatest(F.col("n"), F.lit(1))).alias("combined_rows"),
-    )
-    if dry_run:
-        count = count.withColumns({c: F.lit(0).cast("long") for c in ("comments", "combined_rows")})
-    zero = F.lit(0).cast("long")
-    summary = window_audit(feed, since, until).join(count, "subreddit", "left").select(
-        "subreddit",
-        F.lit("dry_run" if dry_run else "completed").alias("status"),
-        F.lit("").alias("error"),
-        "inspected_posts", "eligible_posts", "older_than_start_posts", "newer_than_end_posts",
-        *[F.coalesce(F.col(c), zero).alias(c) for c in ("new_posts", "comments", "combined_rows")],
-    )
-    if failed is not None:
-        lost = failed.join(summary, "subreddit", "left_anti").select(
-            "subreddit", F.lit("failed").alias("status"), "error",
-            *[F.lit(None).cast("long").alias(c) if c in
-              ("eligible_posts", "older_than_start_posts", "newer_than_end_posts") else zero.alias(c)
-              for c in summary.columns[3:]],
-        )
-        summary = summary.unionByName(lost)
-
-    if dry_run:
-        fresh = fresh.limit(0)
-    rows = normalise(fresh, run_id, downloaded_at, comments_limit)
     return Collected(
-        posts=post_rows(rows),
-        comments=comment_rows(rows),
-        combined=combined_rows(rows),
-        seen=fresh.select("group_key", F.col("id").alias("post_id")),
-        summary=summary,
+        rows=normalise(fresh, run_id, downloaded_at, comments_limit),
+        audit=window_audit(feed, since, until),
+        failed=failed,
+        dry_run=dry_run,
     )
 
 
-def save(collected: Collected, folder: str) -> None:
-    """Append the three row sets of a run, then the ids it has seen.
+def save(collected: Collected, folder: str) -> Collected:
+    """Append the row sets of a run to the tables of a folder.
 
-    Seen ids go last: if the job dies in between, the next run collects the
-    same posts again, and the loader ignores ids it already holds.
+    The feed is filtered once and its new rows are staged; every table is then
+    a projection of them. Seen ids go last: if the job dies in between, the
+    next run collects the same posts again, and the loader ignores ids it
+    already holds.
     """
-    append(collected.combined, f"{folder}/combined")
-    append(collected.posts, f"{folder}/posts")
-    append(collected.comments, f"{folder}/comments")
-    append(collected.seen, f"{folder}/seen")
+    staged = collected if collected.dry_run else collected.staged()
+    if not staged.dry_run:
+        append(staged.combined, f"{folder}/combined")
+        append(staged.posts, f"{folder}/posts")
+        append(staged.comments, f"{folder}/comments")
+        append(staged.seen, f"{folder}/seen")
+    return staged

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forumlens import schemas
 from forumlens.functions.columns import first_text, present, strip, text_or_null, to_int, to_time
-from forumlens.functions.keyed import arrival, arrival_values, keep_one
+from forumlens.functions.keyed import arrival, arrival_values, keep_one, not_stored
 from forumlens.sources.exports import export_paths, input_mode, path_exists, read_export
 
 COLUMNS = schemas.EVIDENCE.fieldNames()
@@ -157,7 +157,7 @@ def new_rows(
     Copies of a key collapse before the join, so they cannot skew it.
     """
     first = keep_one(incoming, [key], order or arrival(incoming))
-    return first if stored is None else first.join(stored.select(key), key, "left_anti")
+    return first if stored is None else not_stored(first, stored, [key])
 
 
 def insert_or_ignore(

@@ -14,6 +14,7 @@ from forumlens.sources.tables import latest_version, read_version, write_version
 
 ORDINALS = ("_batch", "_file", "_row")
 KINDS = ("combined", "posts", "comments")
+STATS = "kind string, existing_rows long, incoming_rows long, stored_rows long, duplicate_rows_removed long"
 
 
 def row_key(kind: str) -> Column:
@@ -110,15 +111,17 @@ def merge_into(
             if kind not in files:
                 old = read_version(spark, posixpath.join(folder, kind))
                 write_version(old.limit(0), posixpath.join(folder, kind))
-    all_stats = None
+    stats = []
     for kind, incoming in files.items():
         target = posixpath.join(folder, kind)
         stored = None if reset else read_version(spark, target)
-        merged, stats = merge_export(stored, incoming, kind)
-        # Counted against the version read above, which the write leaves alone.
+        merged, _ = merge_export(stored, incoming, kind)
         write_version(merged, target)
-        all_stats = stats if all_stats is None else all_stats.unionByName(stats)
-    return all_stats
+        # Counts of written tables come from their footers.
+        old = 0 if stored is None else stored.count()
+        new, now = incoming.count(), read_version(spark, target).count()
+        stats.append((kind, old, new, now, old + new - now))
+    return spark.createDataFrame(stats, STATS)
 
 
 def shape_errors(columns: dict[str, list[str]]) -> list[str]:

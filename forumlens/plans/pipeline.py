@@ -1,16 +1,22 @@
-"""From exports to evidence, labels and an index, one written table per step."""
+"""From a feed or exports to evidence, labels and an index, one written table per step."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
+from forumlens.fixed import CHUNK_COMMENTS
+from forumlens.operators.collect import collect, date_window, new_run_id, save, seen_ids
 from forumlens.operators.evidence import load_evidence, new_rows, upsert
 from forumlens.operators.labels import ask_labeler, label_queue, parse_labels, rule_labels
 from forumlens.operators.merge import merge_into
 from forumlens.operators.retrieval import build_index, embed
+from forumlens.schemas import EVIDENCE
+from forumlens.session import scratch_folder
 from forumlens.sources.exports import export_kind, path_exists
+from forumlens.sources.runs import write_run
 from forumlens.sources.tables import append, read_version, write_version
 
 
@@ -29,8 +35,35 @@ def load_step(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Append the evidence of a folder of exports that is not stored yet."""
     incoming = load_evidence(spark, folder)
     stored = spark.read.parquet(table) if path_exists(spark, table) else None
-    append(new_rows(stored, incoming).select(*incoming.columns), table)
-    return spark.read.parquet(table)
+    append(new_rows(stored, incoming), table, ["source_type"])
+    return spark.read.parquet(table).select(*EVIDENCE.fieldNames())
+
+
+def collect_step(
+    spark: SparkSession,
+    feed: DataFrame,
+    folder: str,
+    now: datetime,
+    since_days: int = 0,
+    since_date: str = "",
+    until_date: str = "",
+    cap: int = 0,
+    comments_limit: int = CHUNK_COMMENTS,
+    dry_run: bool = False,
+) -> DataFrame:
+    """One collection run over a landed feed into a folder; returns its summary."""
+    since, until = date_window(since_days, since_date, until_date, now)
+    posts = spark.read.parquet(f"{folder}/posts") if path_exists(spark, f"{folder}/posts") else None
+    state = spark.read.parquet(f"{folder}/seen") if path_exists(spark, f"{folder}/seen") else None
+    run_id, started = new_run_id(now), now.astimezone(timezone.utc).isoformat()
+    done = save(
+        collect(feed, seen_ids(posts, state), run_id, started, since, until, cap, comments_limit, dry_run), folder
+    )
+    write_run(
+        done.summary, f"{folder}/runs", run_id, started, datetime.now(timezone.utc).isoformat(),
+        since.isoformat() if since else "", until.isoformat() if until else "", dry_run, None, comments_limit,
+    )
+    return done.summary
 
 
 def label_step(
@@ -51,7 +84,10 @@ def label_step(
     empty = rule_labels(evidence).limit(0)
     queue = label_queue(evidence, empty if stored is None else stored, limit, source_type)
     if labeler is None:
-        found = rule_labels(queue)
+        # Used twice below; the texts are to be searched once.
+        staged = scratch_folder(spark, "labels")
+        rule_labels(queue).write.parquet(staged)
+        found = spark.read.parquet(staged)
     else:
         if not answers:
             raise ValueError("a labeler needs a folder for its answers")

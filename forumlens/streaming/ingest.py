@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from forumlens.functions.columns import present
+from forumlens.functions.keyed import arrival, keep_one
 from forumlens.operators.evidence import new_rows, upsert
 from forumlens.sources.exports import path_exists
 from forumlens.sources.tables import append, read_version, write_version
@@ -47,7 +48,8 @@ def stream_evidence(rows: DataFrame, table: str, checkpoint: str, key: str = "ev
     """Append new evidence of every micro-batch to a Parquet folder.
 
     Ids already stored are ignored, so a batch that is run again after a
-    failure adds nothing twice.
+    failure adds nothing twice, and batch jobs may write the table as well.
+    For that every batch reads the ids of the table.
     """
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -57,6 +59,34 @@ def stream_evidence(rows: DataFrame, table: str, checkpoint: str, key: str = "ev
     return _writer(rows, checkpoint, step)
 
 
+def stream_append(rows: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
+    """Append a stream that has each id once to a Parquet folder.
+
+    Spark's own file sink writes every micro-batch exactly once and reads
+    nothing back, so the cost of a batch does not grow with the table. It is
+    for tables that only this stream writes.
+    """
+    return rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
+
+
+def stream_log(rows: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
+    """Append every micro-batch with its number; ``latest`` gives the last rows.
+
+    For large tables whose rows change: a batch costs what it brings, where
+    ``stream_upsert`` writes the whole table again. A batch that is run again
+    adds copies under the same number, and ``latest`` drops them.
+    """
+    def step(batch: DataFrame, number: int) -> None:
+        append(batch.withColumn("_batch", F.lit(number).cast("long")), table)
+
+    return _writer(rows, checkpoint, step)
+
+
+def latest(log: DataFrame, key: str = "evidence_id") -> DataFrame:
+    """The last row per key of a log."""
+    return keep_one(log, [key], arrival(log, newest_first=True)).drop("_batch")
+
+
 def stream_upsert(rows: DataFrame, table: str, checkpoint: str, key: str = "evidence_id") -> DataStreamWriter:
     """Replace rows of a versioned table by those of every micro-batch."""
     def step(batch: DataFrame, _: int) -> None:

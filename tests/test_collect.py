@@ -95,7 +95,8 @@ def test_collect_cap_dry_run_and_failures(spark, landed):
 
 
 def test_saved_runs_and_state(spark, landed, tmp_path):
-    collect.save(collect.collect(landed, None, "run", "d"), str(tmp_path / "run"))
+    saved = collect.save(collect.collect(landed, None, "run", "d"), str(tmp_path / "run"))
+    assert values(saved.summary.groupBy().sum("new_posts")) == [(6,)]
     assert spark.read.parquet(str(tmp_path / "run/posts")).count() == 6
     state = {"version": 1, "subreddits": {"chevy": {"name": "Chevy", "seen_post_ids": ["a", "b"], "last_run_at": ""}}}
     (tmp_path / "state.json").write_text(json.dumps(state, indent=2))

@@ -11,7 +11,7 @@ import __spark_entry__ as registered
 from forumlens.fixed import EXPORT_FILES
 from forumlens.functions.keyed import keep_one, keep_top
 from forumlens.operators.activity import activity_screen
-from forumlens.operators.evidence import evidence_from_comments
+from forumlens.operators.evidence import evidence_from_comments, new_rows
 from forumlens.operators.filters import Filters, labelled
 from forumlens.operators.metrics import top_themes
 from forumlens.operators.normalise import combine
@@ -49,6 +49,19 @@ def test_hot_keys_are_cut_before_the_shuffle(spark):
     assert plan(keep_top(df, ["k"], [F.col("id")], 5000)).count("Exchange hashpartitioning(k") == 2
 
 
+def test_a_small_batch_does_not_shuffle_the_stored_keys(spark, tmp_path):
+    stored = spark.range(100_000).select(F.concat(F.lit("post_"), F.col("id").cast("string")).alias("evidence_id"), F.lit("x").alias("text"))
+    stored.write.parquet(str(tmp_path / "stored"))
+    spark.createDataFrame([("post_5", "a"), ("post_n", "b"), ("post_n", "c")], "evidence_id string, text string").write.parquet(str(tmp_path / "new"))
+    fresh = new_rows(spark.read.parquet(str(tmp_path / "stored")), spark.read.parquet(str(tmp_path / "new")))
+    assert [r.evidence_id for r in fresh.collect()] == ["post_n"]
+    text = plan(fresh)
+    # Between the scan of the stored table and its join there is no exchange.
+    branch = text[:text.index("/stored")].rsplit("LeftSemi", 1)[1]
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in branch
+    assert "ReadSchema: struct<evidence_id:string>" in text
+
+
 def hot(spark, tmp_path):
     """Posts, and comments of which most belong to one post, as tables."""
     posts = spark.range(200).select(
@@ -122,6 +135,27 @@ def test_activity_sends_only_samples(spark):
     assert "props" not in text
 
 
+def test_collection_runs(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from forumlens.sources.runs import latest_run, read_run_manifest, read_run_summaries
+    from tests.test_collect import feed, post
+
+    folder, now = str(tmp_path / "c"), datetime(2024, 1, 10, tzinfo=timezone.utc)
+    first = feed(spark, [post("a", 1, n_comments=7), post("b", 9)])
+    later = feed(spark, [post("a", 1), post("b", 9), post("c", 9, sub="GMC")])
+    assert values(pipeline.collect_step(spark, first, folder, now, dry_run=True), "status", "new_posts") == [("dry_run", 2)]
+    assert values(pipeline.collect_step(spark, first, folder, now), "new_posts", "comments", "combined_rows") == [(2, 5, 6)]
+    told = pipeline.collect_step(spark, later, folder, now.replace(day=11), since_days=5)
+    assert sorted(values(told, "subreddit", "eligible_posts", "older_than_start_posts", "new_posts")) == [("Chevy", 1, 1, 0), ("GMC", 1, 0, 1)]
+    posts = spark.read.parquet(f"{folder}/posts")
+    assert sorted(values(posts, "id", "run_id")) == [("a", "20240110T000000Z"), ("b", "20240110T000000Z"), ("c", "20240111T000000Z")]
+    assert spark.read.parquet(f"{folder}/combined").count() == 7
+    runs = read_run_summaries(spark, f"{folder}/runs/summaries")
+    assert runs.count() == 3 and values(latest_run(runs), "run_id", "dry_run") == [("20240111T000000Z", False)]
+    assert read_run_manifest(spark, f"{folder}/runs/manifest").count() == 4
+
+
 def test_pipeline_from_files_to_index(spark, tmp_path):
     uploads = [
         [combined_row("p1", "c1", "1", title="Chevy Bolt", post_selftext="battery failed\nagain")],
