@@ -237,7 +237,7 @@ def post_date_range(spark, sf):
 
 @query
 def local_day_window(spark, sf):
-    first, last = local_day_bounds(date(2024, 1, 5), date(2024, 1, 10), "America/Detroit")
+    first, last = local_day_bounds(date(2024, 1, 5), date(2024, 1, 10))
     rows = b.evidence(spark, sf).filter(F.col("created_at").between(first, last))
     return rows.select("evidence_id", "created_at")
 

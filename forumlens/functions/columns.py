@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forumlens.fixed import APP_ZONE
+
 # Every character Python's str.strip() removes, by rule.
 WHITESPACE = "".join(chr(n) for n in range(0x3001) if chr(n).isspace())
 
@@ -40,8 +42,12 @@ def to_time(value: Column) -> Column:
     """UTC wall-clock time from ISO text; text without an offset means UTC.
 
     The cast goes through ``timestamp`` so that an offset is applied; a direct
-    cast to ``timestamp_ntz`` would drop it. Needs a UTC session.
+    cast to ``timestamp_ntz`` would drop it. In a session that is not in UTC
+    the result would be shifted, so that is refused.
     """
+    zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"set spark.sql.session.timeZone to UTC, it is {zone}")
     return value.try_cast("timestamp").cast("timestamp_ntz")
 
 
@@ -66,7 +72,7 @@ def days_between(later: Column, earlier: Column) -> Column:
     return micros.cast("double") / F.lit(86_400_000_000.0)
 
 
-def local_day_bounds(start: date, end: date, zone: str) -> tuple[Column, Column]:
+def local_day_bounds(start: date, end: date, zone: str = APP_ZONE) -> tuple[Column, Column]:
     """UTC bounds of whole local days: first 00:00:00 and last 23:59:59.
 
     The end bound is the last full second, so a row in the last fraction of a

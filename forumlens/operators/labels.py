@@ -120,6 +120,9 @@ def ask_labeler(
     """Send each prompt to a labeler on the executors: (evidence_id, raw, error).
 
     The labeler mostly waits for a model, so each task asks from a few threads.
+    A queue of short texts would be packed into few tasks; it is spread over
+    more, four per core unless ``partitions`` says otherwise, which also keeps
+    small what a lost executor has to ask again.
     """
     def ask(prompt: str) -> tuple[str | None, str | None]:
         for attempt in range(retries + 1):
@@ -142,8 +145,8 @@ def ask_labeler(
                 })
 
     prompts = with_prompt(queue).select("evidence_id", "prompt")
-    if partitions:
-        prompts = prompts.repartition(partitions)
+    tasks = partitions or 4 * queue.sparkSession.sparkContext.defaultParallelism
+    prompts = prompts.repartition(tasks, "evidence_id")
     return prompts.mapInPandas(run, "evidence_id string, raw string, error string")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.fixed import DELETED_AUTHOR, DETAIL_ROWS, SENTIMENTS, UNSPECIFIC_BRANDS
-from forumlens.functions.columns import percent, week_start
+from forumlens.functions.columns import percent, to_time, week_start
 
 
 def _rows(name: str) -> Column:
@@ -154,8 +154,7 @@ def community_counts(df: DataFrame, column: str = "subreddit") -> DataFrame:
 
 def date_range(df: DataFrame, column: str = "created_at") -> DataFrame:
     """First and last day as 'yyyy-MM-dd to yyyy-MM-dd', '-' without any."""
-    day = F.to_date(F.col(column).try_cast("timestamp_ntz"))
-    if dict(df.dtypes)[column] == "string":
-        day = F.to_date(F.col(column).try_cast("timestamp"))
+    moment = to_time(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column)
+    day = F.to_date(moment)
     text = F.concat(F.min(day).cast("string"), F.lit(" to "), F.max(day).cast("string"))
     return df.agg(F.coalesce(text, F.lit("-")).alias("date_range"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from forumlens import schemas
+from forumlens import fixed, schemas
 from forumlens.operators import labels as lb
-from forumlens.plans.pipeline import label_step
+from forumlens.plans.steps import label_step
 from tests.fixture import evidence, labels, values
 
 
@@ -111,6 +115,25 @@ def test_rules(spark):
     assert good.count() == 6 and bad.count() == 0
 
 
+def test_rules_stay_in_the_label_domains():
+    assert set(lb.BRAND_WORDS) <= set(fixed.BRANDS) and set(lb.POWERTRAIN_WORDS) <= set(fixed.POWERTRAINS)
+    assert set(lb.PAIN_WORDS) <= set(fixed.PAIN_THEMES) and set(lb.DELIGHT_WORDS) <= set(fixed.DELIGHT_THEMES)
+
+
+WORD = st.sampled_from(["ev", "bolt", "dealer", "great dealer", "plug-in hybrid", "x", "evs", "-", " ", "  ", ".", "é", "EV"])
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.lists(WORD, max_size=8).map("".join), min_size=1, max_size=30))
+def test_mentions_are_words_standing_alone(spark, texts):
+    words = ["ev", "bolt", "great dealer", "plug-in hybrid"]
+    said = lb.Mentions(words)
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, t string")
+    got = dict(values(said.prepare(df, F.col("t")).select("n", said.any_of(words).alias("hit"))))
+    alone = re.compile("(^|[^a-z0-9])(" + "|".join(map(re.escape, words)) + ")([^a-z0-9]|$)")
+    assert got == {n: bool(alone.search(t.lower())) for n, t in enumerate(texts)}
+
+
 def test_clear(spark):
     rows = evidence(spark).withColumn("source_type", F.when(F.col("score") < 5, "comment").otherwise("post"))
     assert lb.clear_labels(labels(spark), rows, "comment").count() == 16

@@ -16,7 +16,7 @@ from forumlens.operators.filters import Filters, labelled
 from forumlens.operators.metrics import top_themes
 from forumlens.operators.normalise import combine
 from forumlens.operators.retrieval import build_chunks, chunks_from_combined
-from forumlens.plans import pipeline
+from forumlens.plans import steps
 from forumlens.sources.exports import read_export
 from tests.fixture import combined_row, evidence, frame, labels, values
 
@@ -144,9 +144,9 @@ def test_collection_runs(spark, tmp_path):
     folder, now = str(tmp_path / "c"), datetime(2024, 1, 10, tzinfo=timezone.utc)
     first = feed(spark, [post("a", 1, n_comments=7), post("b", 9)])
     later = feed(spark, [post("a", 1), post("b", 9), post("c", 9, sub="GMC")])
-    assert values(pipeline.collect_step(spark, first, folder, now, dry_run=True), "status", "new_posts") == [("dry_run", 2)]
-    assert values(pipeline.collect_step(spark, first, folder, now), "new_posts", "comments", "combined_rows") == [(2, 5, 6)]
-    told = pipeline.collect_step(spark, later, folder, now.replace(day=11), since_days=5)
+    assert values(steps.collect_step(spark, first, folder, now, dry_run=True), "status", "new_posts") == [("dry_run", 2)]
+    assert values(steps.collect_step(spark, first, folder, now), "new_posts", "comments", "combined_rows") == [(2, 5, 6)]
+    told = steps.collect_step(spark, later, folder, now.replace(day=11), since_days=5)
     assert sorted(values(told, "subreddit", "eligible_posts", "older_than_start_posts", "new_posts")) == [("Chevy", 1, 1, 0), ("GMC", 1, 0, 1)]
     posts = spark.read.parquet(f"{folder}/posts")
     assert sorted(values(posts, "id", "run_id")) == [("a", "20240110T000000Z"), ("b", "20240110T000000Z"), ("c", "20240111T000000Z")]
@@ -156,7 +156,7 @@ def test_collection_runs(spark, tmp_path):
     assert read_run_manifest(spark, f"{folder}/runs/manifest").count() == 4
 
 
-def test_pipeline_from_files_to_index(spark, tmp_path):
+def test_steps_from_files_to_index(spark, tmp_path):
     uploads = [
         [combined_row("p1", "c1", "1", title="Chevy Bolt", post_selftext="battery failed\nagain")],
         [combined_row("p1", "c1", "1", title="Chevy Bolt v2"), combined_row("p2", title="GMC Sierra", post_selftext="love it so much")],
@@ -167,16 +167,16 @@ def test_pipeline_from_files_to_index(spark, tmp_path):
         folder.mkdir()
         frame(spark, rows).toPandas().to_csv(folder / EXPORT_FILES["combined"], index=False)
         export = read_export(spark, str(folder / EXPORT_FILES["combined"]))
-        stats = pipeline.merge_step(spark, store, [export])
-        loaded = pipeline.load_step(spark, str(folder), table)
+        stats = steps.merge_step(spark, store, [export])
+        loaded = steps.load_step(spark, str(folder), table)
     assert values(stats, "stored_rows", "duplicate_rows_removed") == [(2, 1)]
     assert sorted(values(loaded, "evidence_id", "title")) == [
         ("comment_c1", "Chevy Bolt"), ("post_p1", "Chevy Bolt"), ("post_p2", "GMC Sierra")]
-    found = pipeline.label_step(loaded, str(tmp_path / "labels"))
+    found = steps.label_step(loaded, str(tmp_path / "labels"))
     assert {r.evidence_id: (r.brand, r.sentiment) for r in found.collect()} == {
         "post_p1": ("Chevy", "negative"), "post_p2": ("GMC", "positive")}
-    chunks = chunks_from_combined(pipeline.read_version(spark, f"{store}/combined"))
-    index = pipeline.index_step(chunks, str(tmp_path / "index"))
+    chunks = chunks_from_combined(steps.read_version(spark, f"{store}/combined"))
+    index = steps.index_step(chunks, str(tmp_path / "index"))
     assert index.count() == 2 and {"post_id", "text", "embedding", "norm"} <= set(index.columns)
     with pytest.raises(ValueError):
-        pipeline.merge_step(spark, store, [frame(spark, [{"a": "b"}])])
+        steps.merge_step(spark, store, [frame(spark, [{"a": "b"}])])
