@@ -291,25 +291,25 @@ SELECT evidence_id, brand,
 FROM found"""
 
 
-def _charts() -> str:
+def _charts(ctes: str, source: str, limit: int, dated: bool) -> str:
     def part(chart: str, series: str, name: str, value: str, where: str) -> str:
         return (f"SELECT '{chart}' AS chart, {series} AS series, {name} AS name, {COUNT.format(value)} AS value "
-                f"FROM joined WHERE {where} GROUP BY ALL")
+                f"FROM {source} WHERE {where} GROUP BY ALL")
 
     def themes(kind: str, flag: str) -> str:
         return "(" + part(f"{kind}_themes", "'rows'", f"{kind}_theme", "TRUE", f"{flag} AND {kind}_theme IS NOT NULL") \
-            + " ORDER BY value DESC, name LIMIT 12)"
+            + f" ORDER BY value DESC, name LIMIT {limit})"
 
     week, power, brand = "strftime(date_trunc('week', created_at), '%Y-%m-%d')", "powertrain", "brand"
     powered, branded = "powertrain IN ('EV', 'ICE', 'PHEV')", "brand NOT IN ('unknown', 'GM')"
-    return f"WITH {EVIDENCE + LABELS + OUTER}\n" + "\nUNION ALL\n".join([
-        part("sentiment", "'rows'", "sentiment", "TRUE", "is_labelled"),
+    weekly = (("pain_points", "is_pain_point"), ("delights", "is_delight"), ("labeled", "is_labelled")) if dated else ()
+    return f"WITH {ctes}\n" + "\nUNION ALL\n".join([
+        part("sentiment", "'rows'", "sentiment", "TRUE", "sentiment IS NOT NULL"),
         themes("pain", "is_pain_point"), themes("delight", "is_delight"),
         part("powertrain", "'pain'", power, "is_pain_point", powered),
         part("powertrain", "'delight'", power, "is_delight", powered),
         part("brand_sentiment", "sentiment", brand, "TRUE", branded),
-        *[part("trend", f"'{series}'", week, flag, "created_at IS NOT NULL") for series, flag in
-          (("pain_points", "is_pain_point"), ("delights", "is_delight"), ("labeled", "is_labelled"))],
+        *[part("trend", f"'{series}'", week, flag, "created_at IS NOT NULL") for series, flag in weekly],
     ])
 
 
@@ -361,7 +361,8 @@ ORACLES: dict[str, str] = {
                count(DISTINCT CASE WHEN is_pain_point THEN author END) AS pain_authors,
                {RATE.format('is_pain_point', 'count(*) FILTER (WHERE is_labelled)')} AS pain_rate,
                {RATE.format('is_delight', 'count(*) FILTER (WHERE is_labelled)')} AS delight_rate FROM chosen""",
-    "dashboard_charts": _charts(),
+    "dashboard_charts": _charts(EVIDENCE + LABELS + OUTER, "joined", 12, True),
+    "report_numbers": _charts(DATED + LABELS, "evidence_labels", 10, False),
     "sentiment_distribution": f"""WITH {DATED + LABELS}
         SELECT sentiment, count(*) AS cnt FROM evidence_labels GROUP BY sentiment""",
     "top_pain_themes": f"""WITH {EVIDENCE + LABELS + JOINED}
@@ -613,6 +614,6 @@ ORACLES: dict[str, str] = {
     "status_list": """
         SELECT event_id AS job_id,
                CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'pending'
-                    ELSE 'running' END AS state, ts AS started_at
-        FROM events WHERE user_id = 7""",
+                    ELSE 'running' END AS state, ts AS started_at, 'user_' || CAST(user_id AS VARCHAR) AS kind
+        FROM events""",
 }

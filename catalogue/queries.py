@@ -16,7 +16,7 @@ from forumlens.operators import evidence as ev
 from forumlens.operators.filters import Filters, date_bounds, filter_values, labelled
 from forumlens.operators.guard import guarded_sql
 from forumlens.operators.normalise import combine, combined_rows, comment_rows, normalise, post_rows
-from forumlens.plans import dashboard
+from forumlens.plans import dashboard, report
 from forumlens.session import scratch_folder
 from forumlens.sources.runs import latest_run
 from forumlens.sources.tables import read_version
@@ -154,6 +154,12 @@ def dashboard_charts(spark, sf):
     return dashboard.chart_table(dashboard.rollup(_joined(spark, sf, "left")))
 
 
+@query
+def report_numbers(spark, sf):
+    """The charts of the report, from the labels alone."""
+    return report.report(b.evidence(spark, sf), b.evidence_labels(spark, sf))["charts"]
+
+
 @query
 def sentiment_distribution(spark, sf):
     return metrics.sentiment_counts(b.evidence_labels(spark, sf))
@@ -586,4 +592,4 @@ def status_stale(spark, sf):
 
 @query
 def status_list(spark, sf):
-    return status.list_status(b.status_records(spark, sf), "user_7").select("job_id", "state", "started_at")
+    return status.list_status(b.status_records(spark, sf)).select("job_id", "kind", "state", "started_at")

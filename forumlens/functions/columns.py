@@ -24,8 +24,11 @@ def strip(value: Column) -> Column:
 
 
 def present(value: Column) -> Column:
-    """True when an id is neither NULL nor blank."""
-    return F.coalesce(strip(value) != "", F.lit(False))
+    """True for an id that is not blank, NULL for NULL.
+
+    As a filter both drop the row, and the scan can skip the NULLs.
+    """
+    return strip(value) != ""
 
 
 def first_text(*values: Column) -> Column:

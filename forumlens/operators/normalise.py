@@ -72,12 +72,12 @@ def normalise(
     linked = first_text(F.col("link"), F.col("gallery_link"))
     comments = F.coalesce(F.col("comments"), F.array().cast(raw.schema["comments"].dataType))
     if comments_limit is not None:
-        comments = F.slice(comments, 1, comments_limit) if comments_limit else F.slice(comments, 1, 0)
+        comments = F.slice(comments, 1, comments_limit)
 
     base = raw.select(
         *[c for c in ("_batch", "_file", "_row") if c in raw.columns],
-        F.lit(run_id).alias("run_id") if isinstance(run_id, str) else run_id.alias("run_id"),
-        (F.lit(downloaded_at) if isinstance(downloaded_at, str) else downloaded_at).alias("downloaded_at"),
+        F.lit(run_id).alias("run_id"),
+        F.lit(downloaded_at).alias("downloaded_at"),
         F.lit(SOURCE_TOOL).alias("source_tool"),
         F.lit(LISTING).alias("category"),
         F.lit("").alias("time_filter"),

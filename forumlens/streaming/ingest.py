@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -70,14 +71,15 @@ def stream_append(rows: DataFrame, table: str, checkpoint: str) -> DataStreamWri
 
 
 def stream_log(rows: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
-    """Append every micro-batch with its number; ``latest`` gives the last rows.
+    """Append every micro-batch with its time; ``latest`` gives the last rows.
 
     For large tables whose rows change: a batch costs what it brings, where
-    ``stream_upsert`` writes the whole table again. A batch that is run again
-    adds copies under the same number, and ``latest`` drops them.
+    ``stream_upsert`` writes the whole table again. Only the last batch can be
+    run again; it then adds copies, and ``latest`` drops them. The time and not
+    the number of the batch is kept, as numbers restart with a new checkpoint.
     """
-    def step(batch: DataFrame, number: int) -> None:
-        append(batch.withColumn("_batch", F.lit(number).cast("long")), table)
+    def step(batch: DataFrame, _: int) -> None:
+        append(batch.withColumn("_batch", F.lit(time.time_ns() // 1000)), table)
 
     return _writer(rows, checkpoint, step)
 

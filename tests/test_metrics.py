@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from forumlens.operators import metrics
 from forumlens.operators.filters import Filters, date_bounds, filter_values, labelled
 from forumlens.plans.dashboard import chart_table, dashboard, rollup
+from forumlens.plans.report import report
 from tests.fixture import evidence, labels, values
 
 
@@ -123,6 +124,16 @@ def test_chart_table_agrees_with_the_single_charts(joined):
     assert charts["brand_sentiment", "negative"] == {"Chevy": 9, "GMC": 2}
 
 
+def test_report(spark):
+    told = report(evidence(spark), labels(spark))
+    assert values(told["summary"]) == [(20, 20, 85.0, 10.0)]
+    charts = values(told["charts"].orderBy("chart", F.desc("value"), "name"), "chart", "name", "value")
+    assert [c[1:] for c in charts if c[0] == "pain_themes"][:3] == [
+        ("reliability", 7), ("transmission", 4), ("dealer_service", 2)]
+    assert [c[1:] for c in charts if c[0] == "sentiment"] == [("negative", 17), ("positive", 2), ("neutral", 1)]
+    assert not [c for c in charts if c[0] == "trend"]
+
+
 def test_dashboard(spark):
     tables = dashboard(evidence(spark), labels(spark), Filters(brand=["Chevy"]))
     assert values(tables["summary"]) == [(9, 9, 9, 0, 9, 100.0, 0.0)]

@@ -12,7 +12,15 @@ from forumlens.operators.evidence import evidence_from_posts
 from forumlens.operators.filters import labelled
 from forumlens.operators.metrics import weekly_trend
 from forumlens.sources.tables import read_version
-from forumlens.streaming.ingest import once_per_post, once_per_post_within, stream_evidence, stream_upsert
+from forumlens.streaming.ingest import (
+    latest,
+    once_per_post,
+    once_per_post_within,
+    stream_append,
+    stream_evidence,
+    stream_log,
+    stream_upsert,
+)
 from forumlens.streaming.trend import stream_trend, weekly_counts
 from tests.fixture import evidence, labels, values
 
@@ -92,6 +100,26 @@ def test_labels_are_replaced(spark, tmp_path):
     assert got.count() == 20 and got.filter("brand = 'Buick'").count() == 5 and got.filter("brand = 'GMC'").count() == 0
 
 
+def test_a_log_keeps_the_last_label(spark, tmp_path):
+    first = labels(spark)
+    second = first.filter("brand = 'GMC'").withColumn("brand", F.lit("Buick"))
+    drop(spark, tmp_path / "feed", [first, second], None)
+    for attempt in range(2):
+        # A new state folder runs every batch again.
+        run(stream_log(stream(spark, tmp_path / "feed", schemas.LABELS), str(tmp_path / "t"), str(tmp_path / f"s{attempt}")))
+        got = latest(spark.read.parquet(str(tmp_path / "t")))
+        assert got.count() == 20 and got.filter("brand = 'Buick'").count() == 5
+        assert got.columns == first.columns
+
+
+def test_append_writes_each_row_once(spark, tmp_path):
+    drop(spark, tmp_path / "feed", [listing("ab"), listing("bc")], POSTS)
+    for _ in range(2):
+        once = once_per_post(stream(spark, tmp_path / "feed", POSTS))
+        run(stream_append(once.select("group_key", "id"), str(tmp_path / "t"), str(tmp_path / "s")))
+    assert sorted(values(spark.read.parquet(str(tmp_path / "t")), "id")) == [("a",), ("b",), ("c",)]
+
+
 @pytest.mark.parametrize("delay", [None, "60 days"])
 def test_trend_matches_the_batch(spark, tmp_path, delay):
     rows = labelled(evidence(spark), labels(spark), "left").select(
