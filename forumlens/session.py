@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +45,24 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         base = context.getCheckpointDir()
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the packages to the executors, once per session's context.
+
+    Functions that run in Python workers are pickled by the name of their module,
+    so the workers must be able to import it wherever they run. The zip is made on
+    the driver and handed out by Spark.
+    """
+    context = spark.sparkContext
+    if any(name.endswith("/forumlens_code.zip") for name in context.listFiles):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="run-")) / "forumlens_code.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for package in ("forumlens", "catalogue"):
+            for source in sorted((root / package).rglob("*.py")):
+                archive.write(source, source.relative_to(root))
+        for source in sorted(root.glob("corpus_pipeline.py")):
+            archive.write(source, source.name)
+    context.addPyFile(str(target))

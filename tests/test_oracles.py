@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as registered
+from catalogue.queries import QUERIES
 from tests.oracle import connect, differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -21,7 +22,7 @@ def duck():
     con.close()
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = registered.queries()[name](spark, SF_DIR)
     if name in WITHOUT_SQL:
@@ -31,7 +32,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(registered.queries()) - set(registered.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(registered.oracle_sql()) == WITHOUT_SQL
     assert set(registered.oracle_sql()) <= set(registered.queries())
 
 
