@@ -1,22 +1,56 @@
-"""Corpus preparation in stages, each written and read again before the next."""
+"""Corpus preparation in stages, each written and read again before the next.
+
+Quality and language stages look at one row at a time and join their verdict back
+by row, near de-duplication keeps the smallest doc_id of each group, and packing
+returns pieces in place of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forumlens.llm import language, quality
 from forumlens.llm.common import table, written
 from forumlens.llm.neardup import near_duplicates
+from forumlens.llm.packing import pack
+
+#: A document stays if its largest language has at least this share of it.
+LANGUAGE_SHARE = 0.5
+
+
+def _rows_named(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id (NULL too) is among the ids."""
+    named = ids.select(F.col("doc_id").alias("_named")).distinct()
+    return docs.join(named, docs["doc_id"].eqNullSafe(named["_named"]), "left_semi")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier gives a score of 0.5 or more."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return _rows_named(docs, quality.classify(docs, labels).filter("predicted = 1"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a known language that makes up half of them or more."""
+    found = language.identify(docs).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE))
+    return _rows_named(docs, found)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies."""
-    kept = near_duplicates(docs, width=5, percent=80).filter("kept").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    return _rows_named(docs, near_duplicates(docs, width=5, percent=80).filter("kept"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 2048 tokens."""
+    return pack(docs)
 
 
-STAGES = [("near dedup", near_dedup)]
+STAGES = [
+    ("quality classifier", quality_classifier), ("language id", language_id),
+    ("near dedup", near_dedup), ("packing", packing),
+]
 
 #: Trained models have no SQL counterpart; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -5,18 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from forumlens.llm.bpe import encode_decode
 from forumlens.llm.common import table
+from forumlens.llm.language import identify
 from forumlens.llm.neardup import near_duplicates
+from forumlens.llm.packing import pack
+from forumlens.llm.quality import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return classify(table(spark, sf_dir, "documents"), labels)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_packing": op3_packing,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_language_id": op7_language_id,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
-
