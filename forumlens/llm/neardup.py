@@ -38,6 +38,8 @@ from forumlens.llm.components import components
 BANDS, ROWS = 48, 6
 #: Shingles of a block of documents that are compared each with each.
 BLOCK_SHINGLES = 1_000_000
+#: Bits of the filter that tells which texts are named in a pair.
+FILTER_BITS = 1 << 23
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -122,12 +124,53 @@ def _overlap(width: int):
     return run
 
 
+def _bits(ids: np.ndarray, size: int) -> np.ndarray:
+    """Two bits of a filter of so many for each id."""
+    return (mixed(ids.view(np.uint64)[:, None] + np.array([1, 1 << 40], np.uint64)) % np.uint64(size)).astype(np.int64)
+
+
+def _named(filled: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            at = _bits(ids, 8 * len(filled))
+            yield batch.filter(pa.array(((filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)))
+
+    return run
+
+
+def only_named(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of texts (doc_id, text) that may be among the ids (id): all that are, and few others.
+
+    A Bloom filter of at most FILTER_BITS bits, made by a distributed aggregate,
+    spares the other texts the shuffle of the joins that follow. With many more
+    ids than bits it lets more pass, and the joins decide as before.
+    """
+    size = 1 << 16
+    count = ids.count()
+    while size < min(FILTER_BITS, 16 * count):
+        size *= 2
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(batch.column("id").to_numpy(), size).ravel()
+            yield pa.record_batch({"byte": at >> 3, "bit": np.int64(1) << (at & 7)})
+
+    rows = ids.select("id").mapInArrow(places, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").alias("bit"))
+    filled = np.zeros(size // 8, np.uint8)
+    for batch in rows.toArrow().to_batches():
+        filled[batch.column("byte").to_numpy()] = batch.column("bit").to_numpy()
+    return texts.filter("doc_id IS NOT NULL").mapInArrow(_named(filled), "doc_id long, text string")
+
+
 def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """u, v, shared, total: sizes of intersection and union of the full sets of each pair.
 
     Only texts named in a pair travel. A pivot of many pairs is a hot key of
     inner joins, which Spark splits by their measured size.
     """
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    texts = only_named(texts, ids)
     for side in "vu":
         own = texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text"))
         pairs = pairs.join(own, side)
@@ -138,7 +181,7 @@ def _links(measured: DataFrame, percent: int) -> DataFrame:
     return measured.filter(f"shared > 0 AND 100 * shared >= {percent} * total").select("u", "v")
 
 
-def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+def _unsettled(members: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
     """host, doc_id, n, label: members of buckets that span several components.
 
     The host of a bucket is the component most of its members belong to; buckets
@@ -150,7 +193,8 @@ def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     held = labelled.groupBy("key", "label").count()
     hosts = held.groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
     hosts = hosts.filter("labels > 1").select("key", F.col("most.label").alias("host"))
-    return labelled.join(hosts, "key").select("host", "doc_id", "n", "label").distinct()
+    left = labelled.join(hosts, "key").select("host", "doc_id", "label").distinct()
+    return left.join(sizes.select("doc_id", F.col("most").alias("n")), "doc_id")
 
 
 def _compare(width: int, percent: int):
@@ -194,13 +238,16 @@ def _compared(left: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = placed.select(
         "host", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "doc_id", "label", "block")
-    full = placed.join(texts, "doc_id")
+    full = placed.join(only_named(texts, left.select(F.col("doc_id").alias("id")).distinct()), "doc_id")
     return full.groupBy("host", "p", "q").applyInArrow(_compare(width, percent), "u long, v long")
 
 
-def _close(a: str, b: str, percent: int) -> F.Column:
-    """Sets of such sizes can reach the similarity."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _close(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose set sizes can reach the similarity."""
+    for side in "uv":
+        pairs = pairs.join(sizes.select(
+            F.col("doc_id").alias(side), F.col("least").alias(f"least_{side}"), F.col("most").alias(f"most_{side}")), side)
+    return pairs.filter(f"100 * most_u >= {percent} * least_v AND 100 * most_v >= {percent} * least_u").select("u", "v")
 
 
 def near_duplicates(
@@ -220,25 +267,19 @@ def near_duplicates(
 
     first = sketch.filter("doc_id IS NOT NULL").join(
         alike.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi")
-    keyed = first.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    keyed = first.select("doc_id", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(
-        F.min(F.struct("doc_id", "n")).alias("lo"), F.max(F.struct("doc_id", "n")).alias("hi"), F.count("*").alias("size"),
-    ).filter("lo.doc_id < hi.doc_id")
-    members = written(keyed.join(ends, "key").select(
-        "key", "doc_id", "n", F.col("lo.doc_id").alias("lo"), F.col("lo.n").alias("lo_n"),
-        F.col("hi.doc_id").alias("hi"), F.col("hi.n").alias("hi_n"), "size",
-    ), "members")
-    pairs = members.filter(F.col("doc_id") != F.col("lo")).filter(_close("n", "lo_n", percent)).select(
-        F.col("lo").alias("u"), F.col("doc_id").alias("v")
-    ).unionByName(
-        members.filter("doc_id != lo AND doc_id != hi").filter(_close("n", "hi_n", percent)).select(
-            F.col("hi").alias("u"), F.col("doc_id").alias("v"))
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    members = written(keyed.join(ends, "key"), "members")
+    pairs = members.filter("doc_id != lo").select(F.col("lo").alias("u"), F.col("doc_id").alias("v")).unionByName(
+        members.filter("doc_id != lo AND doc_id != hi").select(F.col("hi").alias("u"), F.col("doc_id").alias("v"))
     ).distinct()
+    sizes = first.groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    pairs = written(_close(pairs, sizes, percent), "close")
     measured = written(overlaps(pairs, docs, width), "pairs")
     links = _links(measured, percent)
     found = written(components(links), "found")
-    large = members.filter("size > 3").select("key", "doc_id", "n")
-    left = written(_unsettled(large, found), "open")
+    left = written(_unsettled(members.filter("size > 3").select("key", "doc_id"), found, sizes), "open")
     if not left.isEmpty():
         links = links.unionByName(_compared(left, docs, width, percent))
         found = written(components(links), "found")
