@@ -8,14 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlens.llm.bpe import encode_decode
+from forumlens.llm.chat import format_chats, messages, read_loss, read_turns, turn_events
 from forumlens.llm.common import table
 from forumlens.llm.language import identify
+from forumlens.llm.licenses import scan
+from forumlens.llm.lines import quality_rules
 from forumlens.llm.neardup import near_duplicates
 from forumlens.llm.packing import pack
 from forumlens.llm.quality import classify
+from forumlens.llm.shards import training_order
+from forumlens.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The conversation that tries to imitate marks.
+HARD_CONVERSATION, HARD_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents")).select(
@@ -26,6 +38,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(
+        F.lit(HARD_CONVERSATION).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
+    formatted = format_chats(messages(turn_events(turns.unionByName(hard))))
+    read = formatted.select(
+        "conv_id", read_turns(F.col("formatted")).alias("turns"),
+        read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").alias("formatted_chars"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return classify(table(spark, sf_dir, "documents"), labels)
@@ -35,14 +67,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(table(spark, sf_dir, "documents"), key=20240501)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 QUERIES: dict[str, Query] = {
-    "op2_byte_bpe": op2_byte_bpe,
-    "op3_packing": op3_packing,
-    "op6_quality_classifier": op6_quality_classifier,
-    "op7_language_id": op7_language_id,
-    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    query.__name__: query for query in (
+        op1_license_scan, op2_byte_bpe, op3_packing, op4_chat_format, op5_quality_rules, op6_quality_classifier,
+        op7_language_id, op8_training_order, op9_minhash_near_dedup, op10_exact_topk)
 }
