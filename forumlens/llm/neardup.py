@@ -284,6 +284,6 @@ def near_duplicates(
         links = links.unionByName(_compared(left, docs, width, percent))
         found = written(components(links), "found")
     rooted = same.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component_id", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id"))
     return rooted.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from forumlens.functions.keyed import keep_top
 
 SCALE = 1024
-#: Vectors of a data block, of a query block, and of a leaf.
-DATA_BLOCK, QUERY_BLOCK, LEAF = 4096, 1024, 64
+#: Vectors of a data block and of a query block, and of a leaf of each.
+DATA_BLOCK, QUERY_BLOCK, DATA_LEAF, QUERY_LEAF = 4096, 1024, 32, 8
 #: Each level of a cover tree covers with this part of the radius above it.
 SHRINK = 0.7
 
@@ -41,21 +41,19 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
-def cover_tree(vectors: np.ndarray, points: np.ndarray | None = None, centre: int = 0) -> Node:
+def cover_tree(vectors: np.ndarray, leaf: int) -> Node:
     """A tree whose nodes cover their points within a radius; siblings stand apart.
 
     The children of a node are a greedy net: the centre itself, then again and
     again a point that no child covers yet. Equal points end in one leaf.
     """
-    if points is None:
-        points = np.arange(len(vectors))
-    root = Node(centre, 0.0, points)
+    root = Node(0, 0.0, np.arange(len(vectors)))
     open_nodes = [root]
     while open_nodes:
         node = open_nodes.pop()
         # The factor covers the rounding of the distances.
         node.radius = float(np.sqrt(((vectors[node.points] - vectors[node.centre]) ** 2).sum(1).max())) * (1 + 1e-9)
-        if len(node.points) <= LEAF or node.radius == 0:
+        if len(node.points) <= leaf or node.radius == 0:
             continue
         reach, left, at = node.radius * SHRINK, node.points, node.centre
         while len(left):
@@ -100,7 +98,7 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data
         limit = centres + q.radius * d_norm[d.centre] + d.radius * q_norm[q.centre] + q.radius * d.radius
         return limit + 1e-9 * (1 + abs(limit))  # more than rounding can take away
 
-    top = (cover_tree(queries), cover_tree(data))
+    top = (cover_tree(queries, QUERY_LEAF), cover_tree(data, DATA_LEAF))
     stack = [(bound(*top), *top)]
     while stack:
         limit, q, d = stack.pop()
