@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlens.functions.columns import iso_time, week_start
-from forumlens.functions.keyed import keep_top
 
 DOWNLOADED_AT = "2024-02-01T00:00:00+00:00"
-COMMENTS_PER_POST = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,9 +136,8 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _thread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments as a crawler lands them: the first few of a post as one array."""
+    """Comments as a crawler lands them: those of a post as one array, which is its row."""
     said = table(spark, sf_dir, "conversations").filter(F.col("turn") > 0)
-    top = keep_top(said, ["conv_id"], [F.col("turn").asc()], COMMENTS_PER_POST)
     item = F.struct(
         "turn",
         F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
@@ -149,7 +146,7 @@ def _thread(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("text").cast("string").alias("score"),
         F.lit("0").alias("reply_count"),
     )
-    return top.groupBy("conv_id").agg(F.transform(
+    return said.groupBy("conv_id").agg(F.transform(
         F.array_sort(F.collect_list(item)), lambda c: c.dropFields("turn")
     ).alias("comments"))
 
@@ -204,6 +201,15 @@ def document_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of a search index."""
+    doc = F.col("doc_id").cast("string")
+    return table(spark, sf_dir, "documents").select(
+        doc.alias("post_id"), F.col("source").alias("subreddit"), F.concat_ws(" ", "source", doc).alias("title"),
+        F.concat(F.lit("https://forum.example/"), doc).alias("permalink"), "text",
+    )
+
+
 def labelled_documents_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts collected earlier: the documents that have a label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")

@@ -136,10 +136,13 @@ nearest AS (
     SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, {tie}) AS rank FROM scored
     QUALIFY rank <= 5
 )"""
-RETRIEVED = SPLIT_CHUNKS + "," + QUESTIONS + """,
-vectors AS (
-    SELECT e.* FROM embeddings e JOIN chunks c ON c.post_id = CAST(e.vec_id AS VARCHAR)
-)""" + NEAREST.format(vectors="vectors", tie="CAST(vec_id AS VARCHAR)") + """,
+RETRIEVED = DATED + """,
+chunks AS (
+    SELECT CAST(doc_id AS VARCHAR) AS post_id, source AS subreddit,
+           source || ' ' || CAST(doc_id AS VARCHAR) AS title, 'https://forum.example/' || CAST(doc_id AS VARCHAR) AS permalink, text
+    FROM documents
+),""" + QUESTIONS + """,
+vectors AS (SELECT * FROM embeddings)""" + NEAREST.format(vectors="vectors", tie="CAST(vec_id AS VARCHAR)") + """,
 retrieved AS (
     SELECT n.question_id, n.rank, c.* FROM nearest n JOIN chunks c ON c.post_id = CAST(n.vec_id AS VARCHAR)
 )"""
@@ -169,7 +172,7 @@ thread AS (
            CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id,
            CASE WHEN role = 'assistant' THEN '[deleted]' ELSE role END AS author,
            text AS body, CAST(length(text) AS VARCHAR) AS score
-    FROM conversations WHERE turn > 0 QUALIFY place <= 5
+    FROM conversations WHERE turn > 0
 ),
 linked AS (
     SELECT p.page_id, p.url, c.role, coalesce(c.text, '') AS body,
@@ -452,7 +455,7 @@ ORACLES: dict[str, str] = {
         FROM counts""",
     "label_prompt": f"""WITH {EVIDENCE}
         SELECT evidence_id, 'r/' || subreddit || chr(10) || 'Title: ' || title || chr(10) || chr(10)
-               || substring(text, 1, 2000) AS prompt FROM evidence_units""",
+               || text AS prompt FROM evidence_units""",
     "label_rules": _label_rules(),
     "label_answers": """
         SELECT CAST(event_id AS VARCHAR) AS evidence_id,
@@ -575,6 +578,9 @@ ORACLES: dict[str, str] = {
     "build_chunks_combined": f"""WITH {CHUNKS.format(body="coalesce(nullif(p.selftext, ''), p.content)")} SELECT * FROM chunks""",
     "retrieve_topk": f"""WITH {QUESTIONS + NEAREST.format(vectors='embeddings', tie='vec_id')}
         SELECT question_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM nearest""",
+    "retrieve_all": f"""WITH questions AS (SELECT vec_id AS question_id, embedding AS vector FROM embeddings)
+        {NEAREST.format(vectors='embeddings', tie='vec_id')}
+        SELECT question_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM nearest""",
     "retrieve_context": f"""WITH {RETRIEVED}
         SELECT question_id, string_agg('[r/' || subreddit || ' | ' || post_id || ' | ' || permalink || ']' || chr(10) || text,
                chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
@@ -585,6 +591,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, round({LETTER_NORM}, 4) AS norm,
                {', '.join(f"round(CAST(CAST(CASE WHEN {LETTER_NORM} = 0 THEN 0 ELSE {LETTER.format(c)} / {LETTER_NORM} END AS FLOAT) AS DOUBLE), 4) AS v_{c}" for c in 'aeio')}
         FROM documents""",
+    "embed_hash": f"""WITH {SPLIT_CHUNKS},
+        words AS (
+            SELECT post_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM chunks
+        ),
+        counted AS (
+            SELECT post_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 256 AS bucket, count(*) AS n
+            FROM words WHERE word <> '' GROUP BY ALL
+        )
+        SELECT post_id, CAST(bucket AS INTEGER) AS bucket,
+               round(n / sqrt(sum(n * n) OVER (PARTITION BY post_id)), 3) AS weight FROM counted""",
     # --- streams and status ---
     "stream_ingest_dedupe": """
         SELECT DISTINCT event_type || '_' || CAST(user_id AS VARCHAR) AS evidence_id, event_type AS subreddit,

@@ -474,13 +474,18 @@ def retrieve_topk(spark, sf):
     return retrieval.retrieve(b.topic_questions(spark, sf), index, 5, key="vec_id")
 
 
+@query
+def retrieve_all(spark, sf):
+    """Every vector as a question to all of them."""
+    index = b.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return retrieval.retrieve(index.withColumnRenamed("vec_id", "question_id"), index, 5, key="vec_id")
+
+
 def _retrieved(spark, sf):
-    """Conversation chunks nearest to each topic; chunk n has vector n."""
-    vectors = b.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("post_id"), "embedding")
-    chunks = retrieval.build_chunks(b.posts(spark, sf), b.comments(spark, sf))
-    index = chunks.join(vectors, "post_id")
-    top = retrieval.retrieve(b.topic_questions(spark, sf), index.select("post_id", "embedding"), 5)
-    return retrieval.with_chunks(top, chunks)
+    """Documents nearest to each topic; document n has vector n, and there are more documents than vectors."""
+    index = b.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("post_id"), "embedding")
+    top = retrieval.retrieve(b.topic_questions(spark, sf), index, 5)
+    return retrieval.with_chunks(top, b.document_chunks(spark, sf))
 
 
 @query
@@ -514,9 +519,11 @@ def embed_index(spark, sf):
 
 @query
 def embed_hash(spark, sf):
-    """Conversation chunks as hashed word counts."""
+    """Conversation chunks as hashed word counts, one row per bucket in use."""
     chunks = retrieval.build_chunks(b.posts(spark, sf), b.comments(spark, sf))
-    return retrieval.build_index(retrieval.embed(chunks)).select("post_id", "embedding")
+    index = retrieval.build_index(retrieval.embed(chunks))
+    buckets = index.select("post_id", F.posexplode("embedding").alias("bucket", "weight")).filter("weight > 0")
+    return buckets.withColumn("weight", F.round(F.col("weight").cast("double"), 3))
 
 
 # --- streams and status -----------------------------------------------------------------

@@ -60,10 +60,9 @@ DELIGHT_THEMES = [
     "dealer_service", "reliability", "other",
 ]
 
-# Widths the label text columns are cut to, and label constants (fixed values).
+# Widths of label text columns in stores that have such, and label constants (fixed values).
 LABEL_WIDTHS = {"brand": 50, "model": 100, "powertrain": 20, "sentiment": 20}
 CONFIDENCE_DEFAULT = 0.5
-PROMPT_TEXT_CHARS = 2000
 MIN_LABEL_TEXT = 10
 LABEL_WORKERS = 8
 LABEL_RETRIES = 2

@@ -2,11 +2,14 @@
 
 A statement is parsed by Spark and its unresolved plan is looked at before
 anything is analysed or run. What is not known to be harmless is refused:
-kinds of plan nodes, tables and functions each have a list of what is allowed.
+kinds of plan nodes and of expressions, tables and functions each have a list of
+what is allowed. The analysed plan is looked at once more before it is returned,
+for what a harmless form could still have been resolved to.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,26 @@ QUERY_NODES = {
     "Window", "Pivot", "Unpivot", "UnresolvedOrdinal",
 }
 
+# Expressions the parser makes of operators, literals, names and special forms.
+# A function named by a computed text, a parameter or anything newer is not here.
+EXPRESSIONS = set("""
+    Add Alias And AttributeReference BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Concat
+    CreateNamedStruct CreateStruct Cube CurrentDate CurrentRow$ CurrentTimestamp Divide EqualNullSafe EqualTo
+    Exists Extract GreaterThan GreaterThanOrEqual GroupingSets In InSubquery IntegralDivide IsNotNull IsNull
+    LambdaFunction LateralSubquery LessThan LessThanOrEqual Like LikeAll LikeAny ListQuery Literal Lower
+    Multiply Not NotLikeAll NotLikeAny Or Overlay RLike Remainder Rollup ScalarSubquery SortOrder
+    SpecifiedWindowFrame StringLocate StringTrim StringTrimLeft StringTrimRight Substring Subtract
+    UnaryMinus UnaryPositive UnboundedFollowing$ UnboundedPreceding$ UnresolvedAlias UnresolvedAttribute
+    UnresolvedExtractValue UnresolvedFunction UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedStar
+    UnresolvedWindowExpression UnspecifiedFrame$ WindowExpression WindowSpecDefinition
+""".split())
+# Classes that no analysed query may hold, by the start of their name.
+REACHING_OUT = (
+    "CallMethodViaReflection", "InputFile", "ScalaUDF", "PythonUDF", "PythonUDAF", "PythonUDTF", "ScalaAggregator",
+    "ScalaUDAF", "HiveSimpleUDF", "HiveGenericUDF", "HiveUDAF", "ApplyFunctionExpression", "Invoke", "StaticInvoke",
+    "CurrentUser", "SparkVersion", "CurrentCatalog", "CurrentDatabase",
+)
+
 # Functions a query may call.
 FUNCTIONS = set("""
     abs acos aggregate any any_value approx_count_distinct array array_agg array_contains array_distinct
@@ -57,6 +80,8 @@ def _check_expression(expression, tables: frozenset[str]) -> str | None:
         parts = [str(p) for p in _items(expression.nameParts())]
         if len(parts) > 1 or parts[0].lower() not in FUNCTIONS:
             return f"function is not allowed: {'.'.join(parts)}"
+    elif kind not in EXPRESSIONS:
+        return f"expression is not allowed: {kind}"
     # Scalar, EXISTS and IN subqueries hold a plan of their own.
     if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
         reason = _check_plan(expression.plan(), tables)
@@ -108,11 +133,56 @@ def unsafe_reason(spark: SparkSession, sql: str, tables: Iterable[str] = TABLES)
     return _check_plan(plan, frozenset(t.lower() for t in tables))
 
 
+def _outside_reason(plan, given: Iterable[DataFrame]) -> str | None:
+    """Why an analysed plan reaches outside, or None; what the given frames do themselves is theirs."""
+    own = {_kind(n) for df in given for n in _nodes(df._jdf.queryExecution().analyzed())}
+    for kind in map(_kind, _nodes(plan)):
+        if kind.startswith(REACHING_OUT) and kind not in own:
+            return f"not allowed: {kind}"
+    return None
+
+
+def _nodes(plan) -> Iterator:
+    """A plan with the plans below it and all their expressions."""
+    yield plan
+    for expression in _items(plan.expressions()):
+        yield from _parts(expression)
+    for child in _items(plan.children()):
+        yield from _nodes(child)
+
+
+def _parts(expression) -> Iterator:
+    yield expression
+    if _kind(expression) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        yield from _nodes(expression.plan())
+    for child in _items(expression.children()):
+        yield from _parts(child)
+
+
+_VIEWS = threading.Lock()
+
+
 def guarded_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """Run a query over the given frames only; ValueError if it is refused."""
+    """Run a query over the given frames only; ValueError if it is refused.
+
+    The frames are temporary views only while the query is analysed. Views of the
+    session that have the same names are put back after that.
+    """
     reason = unsafe_reason(spark, sql, tables)
     if reason:
         raise ValueError(f"SQL refused: {reason}")
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    with _VIEWS:
+        before = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name in tables}
+        try:
+            for name, df in tables.items():
+                df.createOrReplaceTempView(name)
+            found = spark.sql(sql)
+        finally:
+            for name in tables:
+                spark.catalog.dropTempView(name)
+            for name, df in before.items():
+                df.createOrReplaceTempView(name)
+    reason = _outside_reason(found._jdf.queryExecution().analyzed(), tables.values())
+    if reason:
+        raise ValueError(f"SQL refused: {reason}")
+    return found

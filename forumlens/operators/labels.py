@@ -15,10 +15,8 @@ from forumlens.fixed import (
     CONFIDENCE_DEFAULT,
     LABEL_RATES,
     LABEL_RETRIES,
-    LABEL_WIDTHS,
     LABEL_WORKERS,
     MIN_LABEL_TEXT,
-    PROMPT_TEXT_CHARS,
 )
 from forumlens.functions.columns import clamp01
 from forumlens.schemas import LABELS
@@ -47,25 +45,29 @@ def label_queue(
     return open_rows
 
 
-def with_prompt(queue: DataFrame) -> DataFrame:
-    """Add the text a labeler is asked about."""
+def with_prompt(queue: DataFrame, text_chars: int | None = None) -> DataFrame:
+    """Add the text a labeler is asked about; ``text_chars`` limits the body, by default it is whole."""
     def text(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(""))
 
+    body = text("text") if text_chars is None else F.substring(text("text"), 1, text_chars)
     return queue.withColumn("prompt", F.concat(
-        F.lit("r/"), text("subreddit"), F.lit("\nTitle: "), text("title"), F.lit("\n\n"),
-        F.substring(text("text"), 1, PROMPT_TEXT_CHARS),
+        F.lit("r/"), text("subreddit"), F.lit("\nTitle: "), text("title"), F.lit("\n\n"), body,
     ))
 
 
-def coerce_labels(raw: DataFrame, confidence_default: float = CONFIDENCE_DEFAULT) -> DataFrame:
-    """Label rows from text fields: defaults, widths, flags and confidence.
+def coerce_labels(
+    raw: DataFrame, confidence_default: float = CONFIDENCE_DEFAULT, widths: Mapping[str, int] | None = None
+) -> DataFrame:
+    """Label rows from text fields: defaults, flags and confidence.
 
     A flag is true for true or the text 'true' only, and a theme of 'null' is
-    no theme.
+    no theme. ``widths`` cuts text columns for a store of fixed column widths,
+    such as ``LABEL_WIDTHS``; by default nothing is cut.
     """
     def cut(name: str, default: str) -> Column:
-        return F.substring(F.coalesce(F.col(name).cast("string"), F.lit(default)), 1, LABEL_WIDTHS[name])
+        value = F.coalesce(F.col(name).cast("string"), F.lit(default))
+        return F.substring(value, 1, widths[name]) if widths and name in widths else value
 
     def flag(name: str) -> Column:
         return F.coalesce(F.lower(F.trim(F.col(name).cast("string"))) == "true", F.lit(False))
@@ -89,7 +91,7 @@ def coerce_labels(raw: DataFrame, confidence_default: float = CONFIDENCE_DEFAULT
 
 
 def parse_labels(
-    answers: DataFrame, confidence_default: float = CONFIDENCE_DEFAULT
+    answers: DataFrame, confidence_default: float = CONFIDENCE_DEFAULT, widths: Mapping[str, int] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Labels and failures from (evidence_id, raw, error).
 
@@ -106,7 +108,7 @@ def parse_labels(
     failures = parsed.filter(~good).select(
         "evidence_id", F.coalesce("error", F.lit("answer is no JSON object")).alias("error")
     )
-    return coerce_labels(labels, confidence_default), failures
+    return coerce_labels(labels, confidence_default, widths), failures
 
 
 def ask_labeler(
@@ -116,6 +118,7 @@ def ask_labeler(
     retries: int = LABEL_RETRIES,
     backoff: float = 1.0,
     partitions: int | None = None,
+    text_chars: int | None = None,
 ) -> DataFrame:
     """Send each prompt to a labeler on the executors: (evidence_id, raw, error).
 
@@ -144,7 +147,7 @@ def ask_labeler(
                     "error": [error for _, error in answers],
                 })
 
-    prompts = with_prompt(queue).select("evidence_id", "prompt")
+    prompts = with_prompt(queue, text_chars).select("evidence_id", "prompt")
     tasks = partitions or 4 * queue.sparkSession.sparkContext.defaultParallelism
     prompts = prompts.repartition(tasks, "evidence_id")
     return prompts.mapInPandas(run, "evidence_id string, raw string, error string")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 from forumlens.fixed import CHUNK_COMMENTS, CONTEXT_SEPARATOR, EMBED_BATCH, TOP_K
 from forumlens.functions.columns import first_text, l2_norm, present, strip, to_int
 from forumlens.functions.keyed import arrival, keep_one, keep_top
-from forumlens.session import scratch_folder
 
-# Question vectors sent to the executors at a time: 64 MB of doubles.
-PAGE_BYTES = 64 * 1024 * 1024
+# Bytes of vectors in a block of the index or of the questions, and rows that a
+# task holds for a block of questions (questions times k).
+PAGE_BYTES, PAGE_ROWS = 4 * 1024 * 1024, 1_000_000
 # Scores of a page and a tile of chunks held at a time, per task: 32 MB.
 TILE_SCORES = 4_000_000
 SCORE_DIGITS = 6
@@ -104,12 +104,16 @@ def embed(
 
     A model is called on the executors with a few texts at a time. The default
     needs no model, gives the same vector for the same text everywhere and has
-    length 1.
+    length 1. The bucket of a word is the first eight digits of its MD5, modulo
+    the dimensions, which any engine can repeat.
     """
     if embedder is None:
         words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        counted = HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_counts").transform(
-            df.withColumn("_words", words)
+        buckets = F.transform(words, lambda w: (
+            F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimensions).cast("string"))
+        names = [str(i) for i in range(dimensions)]
+        counted = CountVectorizerModel.from_vocabulary(names, inputCol="_words", outputCol="_counts").transform(
+            df.withColumn("_words", F.coalesce(buckets, F.array().cast("array<string>")))
         )
         unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counted)
         vector = vector_to_array(F.col("_unit"), "float32")
@@ -184,29 +188,40 @@ class _Best:
         self.floor[self.question[full]] = self.score[full]
 
 
-def _search(asked, index: DataFrame, key: str, k: int, id_type: str, key_type: str) -> DataFrame:
-    """Best k chunks per question within each partition of the index."""
+def _scored(k: int, key: str):
+    """Best k chunks per question for rows that hold a block of each."""
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, questions = asked.value
-        step = max(1, TILE_SCORES // len(questions))
-        held, kind = _Best(len(questions), k), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.schema.field(0).type
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = _unit(_matrix(batch.column(1)))
-            for at in range(0, len(ids), step):
-                scores = np.round(questions @ vectors[at:at + step].T, SCORE_DIGITS) + 0.0
-                held.add(scores, ids[at:at + step])
-        if held.id is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[q] for q in held.question]), pa.array(held.id, kind), pa.array(held.score)],
-                ["question_id", key, "score"],
-            )
-
-    return index.select(key, "embedding").mapInArrow(
-        best, f"question_id {id_type}, {key} {key_type}, score double"
-    )
+            for row in range(batch.num_rows):
+                asked, told = batch.column("asked")[row].values, batch.column("told")[row].values
+                names, ids = asked.field(0), told.field(0).to_numpy(zero_copy_only=False)
+                questions, vectors = _unit(_matrix(asked.field(1))), _unit(_matrix(told.field(1)))
+                held, step = _Best(len(questions), k), max(1, TILE_SCORES // len(questions))
+                for at in range(0, len(ids), step):
+                    scores = np.round(questions @ vectors[at:at + step].T, SCORE_DIGITS) + 0.0
+                    held.add(scores, ids[at:at + step])
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(held.question)), pa.array(held.id, told.field(0).type), pa.array(held.score)],
+                    ["question_id", key, "score"],
+                )
+
+    return run
+
+
+def _in_blocks(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, int]:
+    """(width, block, name): vectors dealt round robin to blocks of bounded size, and how many there are.
+
+    Rows without a vector, or with a NULL in it, are left out.
+    """
+    whole = df.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).withColumn(
+        "width", F.size("embedding")).filter("width > 0")
+    count, width = whole.agg(F.count("*"), F.max("width")).first()
+    per_block = max(1, min(PAGE_BYTES // (8 * (width or 1)), rows or PAGE_BYTES))
+    blocks = max(1, -(-count // per_block))
+    dealt = whole.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+    items = F.collect_list(F.struct(*df.columns)).alias(name)
+    return dealt.groupBy("width", "block").agg(items), blocks
 
 
 def retrieve(
@@ -218,52 +233,28 @@ def retrieve(
 ) -> DataFrame:
     """The k chunks most similar to each question, by exact cosine.
 
-    Question vectors go to the executors page by page, each page bounded in
-    bytes; every task scores its part of the index as matrix products and
-    returns k rows per question, which are then ranked. No pair leaves its
-    task. More questions than one page mean more passes, each written before
-    the next. Scores are rounded so that the order of equals goes by key and
+    Questions and index are both cut into blocks of bounded size, and each block
+    of questions meets each block of the index once. A task scores such a pair as
+    matrix products and returns k rows per question, which are then ranked, so
+    neither side is held by the driver and no pair of question and chunk leaves
+    its task. Rows without a vector take no part, and vectors meet only those of
+    their width. Scores are rounded so that the order of equals goes by key and
     does not depend on how rows were batched.
     """
-    spark = index.sparkSession
-    key_type = dict(index.dtypes)[key]
-    id_type = dict(questions.dtypes)[question_id]
-    none = index.select(
-        F.lit(None).cast(id_type).alias(question_id), key, F.lit(0.0).alias("score"), F.lit(1).alias("rank")
-    ).limit(0)
+    key_type, id_type = dict(index.dtypes)[key], dict(questions.dtypes)[question_id]
     if k <= 0:
-        return none
-
-    def ranked(found: DataFrame) -> DataFrame:
-        order = [F.desc("score"), F.col(key).asc()]
-        top = keep_top(found, ["question_id"], order, k, rank_as="rank")
-        return top.withColumnRenamed("question_id", question_id)
-
-    def pages() -> Iterator[list]:
-        page, size = [], 0
-        for row in questions.select(question_id, "embedding").toLocalIterator():
-            page.append(row)
-            size += 8 * len(row.embedding)
-            if size >= PAGE_BYTES:
-                yield page
-                page, size = [], 0
-        if page:
-            yield page
-
-    folder, only = None, None
-    for number, page in enumerate(pages()):
-        if only is not None:
-            folder = folder or scratch_folder(spark, "retrieve")
-            only.write.mode("append").parquet(folder)
-        vectors = _unit(np.array([r.embedding for r in page], dtype=np.float64))
-        asked = spark.sparkContext.broadcast(([r[question_id] for r in page], vectors))
-        only = ranked(_search(asked, index, key, k, id_type, key_type))
-    if only is None:
-        return none
-    if folder:
-        only.write.mode("append").parquet(folder)
-        return spark.read.parquet(folder)
-    return only
+        return index.select(
+            F.lit(None).cast(id_type).alias(question_id), key, F.lit(0.0).alias("score"), F.lit(1).alias("rank")
+        ).limit(0)
+    told, count = _in_blocks(index.select(key, "embedding"), "told")
+    asked, _ = _in_blocks(questions.select(question_id, "embedding"), "asked", PAGE_ROWS // k)
+    # Blocks of the index are all of one size, so their numbers are even keys.
+    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block")
+    pairs = told.join(asked.select("width", "asked", meets), ["width", "block"]).select("asked", "told")
+    found = pairs.mapInArrow(_scored(k, key), f"question_id {id_type}, {key} {key_type}, score double")
+    order = [F.desc("score"), F.col(key).asc()]
+    top = keep_top(found, ["question_id"], order, k, rank_as="rank")
+    return top.withColumnRenamed("question_id", question_id)
 
 
 def with_chunks(top: DataFrame, chunks: DataFrame, key: str = "post_id") -> DataFrame:

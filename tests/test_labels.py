@@ -39,9 +39,9 @@ def test_estimate_and_progress(spark):
 
 
 def test_prompt(spark):
-    df = spark.createDataFrame([("1", "A", "T", "x" * 2001), ("2", None, None, None)], "evidence_id string, subreddit string, title string, text string")
+    df = spark.createDataFrame([("1", "A", "T", "x" * 3000), ("2", None, None, None)], "evidence_id string, subreddit string, title string, text string")
     got = dict(values(lb.with_prompt(df), "evidence_id", "prompt"))
-    assert got == {"1": "r/A\nTitle: T\n\n" + "x" * 2000, "2": "r/\nTitle: \n\n"}
+    assert got == {"1": "r/A\nTitle: T\n\n" + "x" * 3000, "2": "r/\nTitle: \n\n"}
 
 
 ANSWERS = [

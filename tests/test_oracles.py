@@ -11,8 +11,7 @@ from catalogue.queries import QUERIES
 from tests.oracle import connect, differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-# Checked by tests of its own: hashing has no SQL counterpart.
-WITHOUT_SQL = {"embed_hash"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")
