@@ -601,6 +601,12 @@ ORACLES: dict[str, str] = {
         )
         SELECT post_id, CAST(bucket AS INTEGER) AS bucket,
                round(n / sqrt(sum(n * n) OVER (PARTITION BY post_id)), 3) AS weight FROM counted""",
+    # --- exports as files ---
+    "export_scan": f"""WITH {POSTS}
+        SELECT id, subreddit, title, score, coalesce(selftext, '') AS selftext, coalesce(content, '') AS content FROM posts""",
+    "export_scan_mixed_headers": """
+        SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type,
+               CASE WHEN event_type NOT IN ('click', 'view') THEN CAST(user_id * 2 AS VARCHAR) END AS twice FROM events""",
     # --- streams and status ---
     "stream_ingest_dedupe": """
         SELECT DISTINCT event_type || '_' || CAST(user_id AS VARCHAR) AS evidence_id, event_type AS subreddit,

@@ -18,8 +18,9 @@ from forumlens.operators.guard import guarded_sql
 from forumlens.operators.normalise import combine, combined_rows, comment_rows, normalise, post_rows
 from forumlens.plans import dashboard, report
 from forumlens.session import scratch_folder
+from forumlens.sources import exports
 from forumlens.sources.runs import latest_run
-from forumlens.sources.tables import read_version
+from forumlens.sources.tables import append_csv, read_version
 from forumlens.streaming.ingest import latest, once_per_post, stream_append, stream_evidence, stream_log
 from forumlens.streaming.trend import stream_trend
 
@@ -526,6 +527,27 @@ def embed_hash(spark, sf):
     return buckets.withColumn("weight", F.round(F.col("weight").cast("double"), 3))
 
 
+# --- exports as files ---------------------------------------------------------------------
+
+@query
+def export_scan(spark, sf):
+    """The posts export written as CSV and read back."""
+    folder = scratch_folder(spark, "export")
+    append_csv(b.posts(spark, sf), folder)
+    return exports.read_export(spark, folder, "posts", blank="").select("id", "subreddit", "title", "score", "selftext", "content")
+
+
+@query
+def export_scan_mixed_headers(spark, sf):
+    """Events in files of three shapes: as they are, reordered, with one more column."""
+    folder, events = scratch_folder(spark, "export"), b.table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    append_csv(events.filter("event_type = 'click'"), folder)
+    append_csv(events.filter("event_type = 'view'").select("event_type", "event_id", "user_id"), folder)
+    rest = events.filter("event_type NOT IN ('click', 'view')")
+    append_csv(rest.withColumn("twice", F.col("user_id") * 2), folder)
+    return exports.read_export(spark, folder).select("event_id", "user_id", "event_type", "twice")
+
+
 # --- streams and status -----------------------------------------------------------------
 
 def _event_stream(spark, sf):

@@ -26,8 +26,9 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    """Add rows to a folder of CSV files, each with its header."""
-    df.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    """Add rows to a folder of CSV files, each with its header; blanks at the ends of a text stay."""
+    writer = df.write.mode("append").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def _versions(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from forumlens.fixed import COMBINED_COLUMNS, COMMENT_COLUMNS, EXPORT_FILES, POST_COLUMNS
 from forumlens.functions.columns import WHITESPACE, iso_time, local_day_bounds, strip, to_int, to_time, url_host, week_start
 from forumlens.sources import runs, tables
-from forumlens.sources.exports import export_kind, input_mode, path_exists, read_communities, read_export, storage_mode
+from forumlens.sources.exports import bad_lines, export_kind, input_mode, path_exists, read_communities, read_export, storage_mode
 from tests.fixture import values
 
 
@@ -40,6 +40,18 @@ def test_rows_of_many_files_keep_their_order(spark, tmp_path):
     assert [r.id for r in rows.collect()] == [f"{n}{i}" for n in range(3) for i in range(50)]
 
 
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    write(tmp_path / "a one.csv", "id,title,subreddit\n1,T1,Chevy\n2,T2\n")
+    write(tmp_path / "b.csv", "id,title,subreddit,extra\n3,T3,GMC,x\n4,a,b,c,d\n")
+    write(tmp_path / "c.csv", "subreddit,title,id\nBuick,T5,5\n")
+    write(tmp_path / "d.csv", 'title,id\n"two\nlines",6\n')
+    rows = read_export(spark, str(tmp_path), "posts").orderBy("_file", "_row")
+    assert values(rows, "id", "title", "subreddit", "extra") == [
+        ("1", "T1", "Chevy", None), ("3", "T3", "GMC", "x"), ("5", "T5", "Buick", None), ("6", "two\nlines", None, None)]
+    found = {r["_file"].rsplit("/", 1)[1][0]: (r["rows"], r["bad"]) for r in bad_lines(spark, str(tmp_path)).collect()}
+    assert found == {"a": (1, 1), "b": (1, 1), "c": (1, 0), "d": (1, 0)}
+
+
 def test_export_kind():
     assert export_kind(COMBINED_COLUMNS) == "combined"
     assert export_kind(POST_COLUMNS) == "posts"
