@@ -542,6 +542,25 @@ ORACLES: dict[str, str] = {
                    list(DISTINCT run_id) FILTER (WHERE run_id IS NOT NULL) AS runs
             FROM both_slices GROUP BY ALL
         ) {SUMMARY_OF.format(slice='slice,', group='GROUP BY slice')}""",
+    "comparison_bundle": f"""WITH {EVIDENCE},
+        sliced AS (
+            SELECT *, strftime(created_at, '%Y-%m-%dT%H:%M:%S')
+                || CASE WHEN strftime(created_at, '%f') = '000000' THEN '' ELSE '.' || strftime(created_at, '%f') END
+                || '+00:00' AS moment,
+                CASE WHEN run_id = 'run_20240108' THEN 'new' ELSE 'historical' END AS own FROM evidence_units
+        ),
+        both_slices AS (SELECT own AS slice, * FROM sliced UNION ALL SELECT 'total', * FROM sliced)
+        SELECT 'posts' AS frame, slice, subreddit AS community, count(*) AS rows, min(moment) AS earliest_timestamp,
+               max(moment) AS latest_timestamp FROM both_slices WHERE subreddit <> '' GROUP BY slice, subreddit""",
+    "capped_collection": f"""WITH {DOC_FEED}
+        SELECT subreddit, id, created_at FROM feed
+        QUALIFY row_number() OVER (PARTITION BY lower(subreddit) ORDER BY ts DESC NULLS LAST, id) <= 20""",
+    "dry_run_with_failures": f"""WITH {DOC_FEED}
+        SELECT subreddit, 'dry_run' AS status, '' AS error, count(*) AS inspected_posts,
+               {COUNT.format(WINDOW)} AS new_posts, 0::BIGINT AS comments
+        FROM feed WHERE subreddit NOT IN ('src1', 'src2') GROUP BY subreddit
+        UNION ALL SELECT DISTINCT subreddit, 'failed', 'not found', 0::BIGINT, 0::BIGINT, 0::BIGINT
+        FROM feed WHERE subreddit IN ('src1', 'src2')""",
     "run_split_rows": f"""WITH {EVIDENCE}
         SELECT evidence_id, run_id, CASE WHEN run_id = 'run_20240108' THEN 'new' ELSE 'historical' END AS slice
         FROM evidence_units""",

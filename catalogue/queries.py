@@ -57,7 +57,10 @@ def _joined(spark: SparkSession, sf: str, how: str = "inner") -> DataFrame:
 
 
 def _combined(spark: SparkSession, sf: str) -> DataFrame:
-    return combine(b.posts(spark, sf), b.comments(spark, sf))
+    """The combined export, landed as a table: the operators start from stored rows."""
+    folder = scratch_folder(spark, "combined")
+    combine(b.posts(spark, sf), b.comments(spark, sf)).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def _crawls(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -414,6 +417,32 @@ def run_split_comparison(spark, sf):
     return _as_text(compare.compare_run(rows, RUN))
 
 
+@query
+def comparison_bundle(spark, sf):
+    """The written bundle of a run: communities of each slice, read back."""
+    rows, out = b.evidence(spark, sf).withColumn("created_at", iso_time(F.col("created_at"))), scratch_folder(spark, "bundle")
+    compare.write_comparison({"posts": rows}, RUN, out)
+    return spark.read.parquet(f"{out}/{RUN}/communities").select(
+        F.col("frame").cast("string").alias("frame"), "slice", "community", "rows", "earliest_timestamp", "latest_timestamp")
+
+
+@query
+def capped_collection(spark, sf):
+    """A collection with a cap of 20 posts per community, which cuts most of them."""
+    feed = b.document_feed(spark, sf)
+    done = collect.collect(feed, None, RUN, b.DOWNLOADED_AT, cap=20)
+    return done.posts.select("subreddit", "id", "created_at")
+
+
+@query
+def dry_run_with_failures(spark, sf):
+    """The summary of a dry run in which two communities could not be listed."""
+    feed = b.document_feed(spark, sf)
+    error = F.when(F.col("subreddit").isin("src1", "src2"), F.lit("not found"))
+    done = collect.collect(feed.withColumn("error", error), None, RUN, b.DOWNLOADED_AT, SINCE, UNTIL, dry_run=True)
+    return done.summary.select("subreddit", "status", "error", "inspected_posts", "new_posts", "comments")
+
+
 @query
 def run_split_rows(spark, sf):
     new, old = compare.split_by_run(b.evidence(spark, sf).select("evidence_id", "run_id"), RUN)

@@ -16,7 +16,6 @@ from pyspark.sql import Window as W
 # Up to this n Spark limits groups before the shuffle by itself
 # (default of spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
-SALTS = 64
 
 
 def _ranked(df: DataFrame, keys: Sequence[Column], order: Sequence[Column], n: int) -> DataFrame:
@@ -37,11 +36,13 @@ def keep_top(
     For an n too large for the group limit the rows of a key are first cut to n
     within salted sub-groups, then to n over the whole key. That is exact,
     because a row among the first n of its key is among the first n of any
-    sub-group it falls in.
+    sub-group it falls in. There are as many sub-groups as the shuffle has
+    partitions, so a hot key is spread over all of them.
     """
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
     if n > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*(salt_by or df.columns)), F.lit(SALTS))
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64(*(salt_by or df.columns)), F.lit(salts))
         df = _ranked(df.withColumn("_salt", salt), [*keys, F.col("_salt")], order, n)
         df = df.drop("_salt", "_rank")
     top = _ranked(df, keys, order, n)
@@ -53,7 +54,9 @@ def keep_one(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column
     return keep_top(df, keys, order, 1)
 
 
-def not_stored(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+def not_stored(
+    incoming: DataFrame, stored: DataFrame, keys: Sequence[str], asked: DataFrame | None = None
+) -> DataFrame:
     """Incoming rows whose key a table, most often a far larger one, lacks.
 
     An anti join may only broadcast its right side, so written directly it
@@ -61,10 +64,11 @@ def not_stored(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> D
     first cut to those that come in again. If the incoming keys are small Spark
     broadcasts them for that and the stored table is only scanned; if not, both
     sides are shuffled by key. What is left to exclude is never more than what
-    came in.
+    came in. ``asked`` holds the same keys more cheaply: the batch before it was
+    reduced to one row per key, of which only the keys are then read.
     """
     keys = list(keys)
-    wanted = incoming.select(*keys).distinct()
+    wanted = (incoming if asked is None else asked).select(*keys).distinct()
     again = stored.select(*keys).join(wanted, keys, "left_semi")
     return incoming.join(again, keys, "left_anti").select(*incoming.columns)
 

@@ -82,15 +82,16 @@ def in_window(
 def window_audit(
     df: DataFrame, since: datetime | None, until: datetime | None, column: str = "created_at"
 ) -> DataFrame:
-    """Per community: posts inspected, in the window, before and after it."""
+    """Per community, whatever its spelling: posts inspected, in the window, before and after it."""
     moment = _moment(df, column)
     no = F.lit(False)
-    return df.groupBy("subreddit").agg(
+    return df.groupBy(F.lower("subreddit").alias("group_key")).agg(
+        F.min("subreddit").alias("subreddit"),
         F.count("*").alias("inspected_posts"),
         F.count_if(window_condition(moment, since, until)).alias("eligible_posts"),
         F.count_if(moment < _bound(since) if since else no).alias("older_than_start_posts"),
         F.count_if(moment > _bound(until) if until else no).alias("newer_than_end_posts"),
-    )
+    ).drop("group_key")
 
 
 def seen_ids(posts: DataFrame | None, state: DataFrame | None = None) -> DataFrame | None:
@@ -153,12 +154,13 @@ class Collected:
         """Per community: what was inspected, what is new, or why it failed."""
         zero, unknown = F.lit(0).cast("long"), F.lit(None).cast("long")
         said = F.size("comments").cast("long")
-        counts = self.rows.select("subreddit", said.alias("n")).groupBy("subreddit").agg(
+        key = F.lower("subreddit").alias("group_key")
+        counts = self.rows.select(key, said.alias("n")).groupBy("group_key").agg(
             F.count("*").alias("new_posts"),
             (zero if self.dry_run else F.sum("n")).alias("comments"),
             (zero if self.dry_run else F.sum(F.greatest(F.col("n"), F.lit(1)))).alias("combined_rows"),
         )
-        told = self.audit.join(counts, "subreddit", "left").select(
+        told = self.audit.withColumn("group_key", key).join(counts, "group_key", "left").select(
             "subreddit",
             F.lit("dry_run" if self.dry_run else "completed").alias("status"),
             F.lit("").alias("error"),
@@ -173,8 +175,8 @@ class Collected:
             "subreddit", F.lit("failed").alias("status"), "error",
             *[counted.get(c, unknown).alias(c) for c in told.columns[3:]],
         )
-        return told.join(self.failed.select("subreddit"), "subreddit", "left_anti").select(
-            *told.columns).unionByName(lost)
+        rest = told.withColumn("group_key", key).join(self.failed.select(key), "group_key", "left_anti")
+        return rest.select(*told.columns).unionByName(lost)
 
     def staged(self) -> Collected:
         """The same with its rows written to the shared folder, once."""
@@ -195,7 +197,7 @@ def unseen(feed: DataFrame, seen: DataFrame | None) -> DataFrame:
     if seen is None:
         return once
     known = seen.select("group_key", F.col("post_id").alias("id"))
-    return not_stored(once, known, ["group_key", "id"])
+    return not_stored(once, known, ["group_key", "id"], rows)
 
 
 def newest(feed: DataFrame, n: int, column: str = "created_at") -> DataFrame:
@@ -224,7 +226,8 @@ def collect(
     """
     failed = None
     if "error" in feed.columns:
-        failed = feed.filter(F.col("error").isNotNull()).groupBy("subreddit").agg(F.min("error").alias("error"))
+        failed = feed.filter(F.col("error").isNotNull()).groupBy(F.lower("subreddit").alias("group_key")).agg(
+            F.min("subreddit").alias("subreddit"), F.min("error").alias("error")).drop("group_key")
         feed = feed.filter(F.col("error").isNull())
     fresh = unseen(in_window(feed, since, until), seen)
     if cap > 0:

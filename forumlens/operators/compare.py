@@ -74,44 +74,53 @@ def compare_run(df: DataFrame, run_id: str) -> DataFrame:
     return _summary(_counted(df).withColumn("slice", F.explode(F.array(own, F.lit("total")))))
 
 
+def comparison_tables(df: DataFrame, run_id: str) -> dict[str, DataFrame]:
+    """The same comparison in long form: totals, runs and communities of each slice.
+
+    However many runs and communities there are, they are rows and not lists.
+    """
+    own = F.when(F.col("run") == run_id, F.lit("new")).otherwise(F.lit("historical"))
+    counted = _counted(df).withColumn("slice", F.explode(F.array(own, F.lit("total"))))
+    bounds = [F.sum("n").alias("rows"), F.min("first").alias("earliest_timestamp"), F.max("last").alias("latest_timestamp")]
+    return {
+        "totals": counted.groupBy("slice").agg(*bounds),
+        "runs": counted.filter("run <> ''").groupBy("slice", F.col("run").alias("run_id")).agg(F.sum("n").alias("rows")),
+        "communities": counted.filter("community <> ''").groupBy("slice", "community").agg(*bounds),
+    }
+
+
 def write_comparison(
     frames: dict[str, DataFrame], run_id: str, out: str, run_summary: dict | None = None
-) -> dict:
-    """Write new, historical and all rows of each frame with a manifest.
+) -> DataFrame:
+    """Write new, historical and all rows of each frame with a manifest; returns the manifest.
 
     New and historical are partitions of one write, so that each frame is read
-    once; all rows are what both partitions hold together. The manifest is
-    one small row per frame.
+    once; all rows are what both partitions hold together. Runs and communities
+    are tables beside them, partitioned by frame, and the manifest has a row per
+    frame and slice. A bundle that is exported again replaces the old one.
     """
-    files = {}
-    root = f"{out}/{run_id}"
-    empty = {"rows": 0, "run_ids": [], "subreddits": {}, "earliest_timestamp": "", "latest_timestamp": ""}
+    root, spark = f"{out}/{run_id}", next(iter(frames.values())).sparkSession
+    slices = spark.createDataFrame([(n, s) for n in FRAMES for s in ("new", "historical", "total")], "frame string, slice string")
+    tables: dict[str, DataFrame] = {}
     for name, df in frames.items():
         slice_ = F.when(_is_new(df, run_id), F.lit("new")).otherwise(F.lit("historical"))
-        df.withColumn("slice", slice_).write.mode("errorifexists").partitionBy("slice").parquet(f"{root}/{name}")
-        written = df.sparkSession.read.parquet(f"{root}/{name}")
-        summary = {s: dict(empty) for s in ("total", "historical", "new")}
-        for row in compare_run(written.drop("slice"), run_id).collect():
-            found = row.asDict(recursive=True)
-            summary[found.pop("slice")] = found
-        files[name] = {**summary, "source_exists": True}
-    spark = next(iter(frames.values())).sparkSession
-    manifest = {
-        "generated_at": datetime.now(timezone.utc).isoformat(),
-        "target_run_id": run_id,
-        "output_dir": root,
-        "target_run_summary": run_summary or {},
-        "files": {n: files.get(n, {**{s: empty for s in ("total", "historical", "new")}, "source_exists": False})
-                  for n in FRAMES},
-        "notes": [
-            "new holds the rows of the target run",
-            "historical holds the rows of every other run",
-            "new and historical together are all rows",
-        ],
-    }
-    line = spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string")
-    line.coalesce(1).write.mode("overwrite").text(f"{root}/manifest")
-    return manifest
+        df.withColumn("slice", slice_).write.mode("overwrite").partitionBy("slice").parquet(f"{root}/{name}")
+        written = spark.read.parquet(f"{root}/{name}").drop("slice")
+        for kind, found in comparison_tables(written, run_id).items():
+            found = found.withColumn("frame", F.lit(name))
+            tables[kind] = tables[kind].unionByName(found) if kind in tables else found
+    for kind in ("runs", "communities"):
+        tables[kind].write.mode("overwrite").partitionBy("frame").parquet(f"{root}/{kind}")
+    manifest = slices.join(tables["totals"], ["frame", "slice"], "left").select(
+        F.lit(datetime.now(timezone.utc).isoformat()).alias("generated_at"), F.lit(run_id).alias("target_run_id"),
+        F.lit(json.dumps(run_summary or {}, sort_keys=True)).alias("target_run_summary"), "frame", "slice",
+        F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
+        F.coalesce("earliest_timestamp", F.lit("")).alias("earliest_timestamp"),
+        F.coalesce("latest_timestamp", F.lit("")).alias("latest_timestamp"),
+        F.col("frame").isin(*frames).alias("source_exists"),
+    )
+    manifest.coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{root}/manifest")
 
 
 def run_table(summaries: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def new_rows(
     Copies of a key collapse before the join, so they cannot skew it.
     """
     first = keep_one(incoming, [key], order or arrival(incoming))
-    return first if stored is None else not_stored(first, stored, [key])
+    return first if stored is None else not_stored(first, stored, [key], incoming)
 
 
 def insert_or_ignore(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from forumlens.functions.columns import present, strip
 from forumlens.functions.keyed import arrival, keep_one
+from forumlens.session import scratch_folder
 from forumlens.sources.exports import export_kind, storage_mode
 from forumlens.sources.tables import latest_version, read_version, write_version
 
@@ -115,9 +116,12 @@ def merge_into(
     for kind, incoming in files.items():
         target = posixpath.join(folder, kind)
         stored = None if reset else read_version(spark, target)
+        # Parsed once; counts of written tables come from their footers.
+        staged = scratch_folder(spark, "merge")
+        incoming.write.parquet(staged)
+        incoming = spark.read.parquet(staged)
         merged, _ = merge_export(stored, incoming, kind)
         write_version(merged, target)
-        # Counts of written tables come from their footers.
         old = 0 if stored is None else stored.count()
         new, now = incoming.count(), read_version(spark, target).count()
         stats.append((kind, old, new, now, old + new - now))

@@ -61,9 +61,12 @@ def chart_table(rolled: DataFrame, themes: int = 12) -> DataFrame:
     summed = rolled.select(F.inline(entries)).groupBy("chart", "series", "name").agg(
         F.sum("value").alias("value")
     )
-    place = F.row_number().over(W.partitionBy("chart").orderBy(F.desc("value"), "name"))
+    # In charts without a limit every row is a group of its own, so one bound holds
+    # for all and Spark cuts the themes before they meet.
     limited = F.col("chart").isin("pain_themes", "delight_themes")
-    return summed.withColumn("_place", place).filter(~limited | (F.col("_place") <= themes)).drop("_place")
+    own = F.when(~limited, F.struct("series", "name"))
+    place = F.row_number().over(W.partitionBy("chart", own).orderBy(F.desc("value"), "name"))
+    return summed.withColumn("_place", place).filter(F.col("_place") <= themes).drop("_place")
 
 
 def dashboard(evidence: DataFrame, labels: DataFrame, filters: Filters = Filters()) -> dict[str, DataFrame]:

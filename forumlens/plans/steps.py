@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from forumlens.operators.collect import collect, date_window, new_run_id, save, seen_ids
 from forumlens.operators.evidence import load_evidence, new_rows, upsert
@@ -30,11 +32,23 @@ def merge_step(spark: SparkSession, folder: str, exports: list[DataFrame], reset
     return merge_into(spark, folder, files, reset)
 
 
-def load_step(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """Append the evidence of a folder of exports that is not stored yet."""
-    incoming = load_evidence(spark, folder)
+def load_step(
+    spark: SparkSession, folder: str, table: str, reset: bool = False, mode: str = "ignore"
+) -> DataFrame:
+    """Load the evidence of a folder of exports into a stored table.
+
+    ``mode='ignore'`` only appends what is not stored yet. ``mode='update'`` takes
+    over rows that come again and ``reset`` starts from nothing; both write the
+    table again, from a complete copy in the shared folder.
+    """
     stored = spark.read.parquet(table) if path_exists(spark, table) else None
-    append(new_rows(stored, incoming), table, ["source_type"])
+    if stored is None or (mode == "ignore" and not reset):
+        append(new_rows(stored, load_evidence(spark, folder, mode=mode)), table, ["source_type"])
+    else:
+        staged = scratch_folder(spark, "evidence")
+        load_evidence(spark, folder, stored, reset, mode).write.parquet(staged)
+        copy = spark.read.parquet(staged)
+        copy.write.mode("overwrite").partitionBy("source_type").parquet(table)
     return spark.read.parquet(table).select(*EVIDENCE.fieldNames())
 
 
@@ -58,24 +72,42 @@ def collect_step(
     done = save(
         collect(feed, seen_ids(posts, state), run_id, started, since, until, cap, comments_limit, dry_run), folder
     )
+    # Counted once: the record, the manifest and the caller read the same table.
+    told = scratch_folder(spark, "summary")
+    done.summary.write.parquet(told)
+    summary = spark.read.parquet(told)
     write_run(
-        done.summary, f"{folder}/runs", run_id, started, datetime.now(timezone.utc).isoformat(),
+        summary, f"{folder}/runs", run_id, started, datetime.now(timezone.utc).isoformat(),
         since.isoformat() if since else "", until.isoformat() if until else "", dry_run, None, comments_limit,
     )
-    return done.summary
+    return summary
+
 
+@dataclass(frozen=True)
+class Labelled:
+    """The label table after a run, what could not be labelled, and how many of each."""
 
-def label_step(
+    labels: DataFrame
+    failures: DataFrame
+    counts: DataFrame
+
+
+def label_step(evidence: DataFrame, table: str, *args, **options) -> DataFrame:
+    """The label table after ``label_run`` with the same arguments."""
+    return label_run(evidence, table, *args, **options).labels
+
+
+def label_run(
     evidence: DataFrame,
     table: str,
     answers: str | None = None,
     labeler: Callable[[str], str] | None = None,
     limit: int | None = None,
     source_type: str | None = None,
-) -> DataFrame:
+) -> Labelled:
     """Label what has no label and write a new version of the label table.
 
-    Answers of a labeler are written to the folder ``answers`` first: asking
+    Failures are (evidence_id, error), counts (labelled, failed) of this run. Answers of a labeler are written to the folder ``answers`` first: asking
     is what costs, and a lost executor must not make it happen twice.
     """
     spark = evidence.sparkSession
@@ -87,13 +119,16 @@ def label_step(
         staged = scratch_folder(spark, "labels")
         rule_labels(queue).write.parquet(staged)
         found = spark.read.parquet(staged)
+        failures = found.limit(0).select("evidence_id", F.lit("").alias("error"))
     else:
         if not answers:
             raise ValueError("a labeler needs a folder for its answers")
         ask_labeler(queue, labeler).write.mode("errorifexists").parquet(answers)
-        found, _ = parse_labels(spark.read.parquet(answers))
+        found, failures = parse_labels(spark.read.parquet(answers))
     write_version(upsert(stored, found), table)
-    return read_version(spark, table)
+    tally = found.select(F.lit(1).alias("ok")).unionByName(failures.select(F.lit(0).alias("ok")))
+    counts = tally.agg(F.count_if(F.col("ok") == 1).alias("labelled"), F.count_if(F.col("ok") == 0).alias("failed"))
+    return Labelled(read_version(spark, table), failures, counts)
 
 
 def index_step(chunks: DataFrame, table: str, embedder: Callable[[list[str]], list] | None = None) -> DataFrame:

@@ -155,10 +155,18 @@ def test_compare(spark, tmp_path):
     combined = spark.createDataFrame([("r", "A", "2024-02-02"), ("r", "", "2024-02-01")], "run_id string, post_subreddit string, downloaded_at string")
     assert values(compare.summarize(combined)) == [(2, ["r"], {"A": 1}, "2024-02-01", "2024-02-02")]
 
-    manifest = compare.write_comparison({"posts": rows}, "b", str(tmp_path), {"run_id": "b"})
-    assert manifest["files"]["posts"]["new"]["rows"] == 5 and not manifest["files"]["comments"]["source_exists"]
+    for _ in range(2):  # the second time replaces the first
+        manifest = compare.write_comparison({"posts": rows}, "b", str(tmp_path), {"run_id": "b"})
+    told = {(r.frame, r.slice): r for r in manifest.collect()}
+    assert len(told) == 9 and told["posts", "new"].rows == 5 and told["posts", "total"].rows == 20
+    assert told["posts", "new"].earliest_timestamp == "2024-01-16 10:00:00"
+    assert told["posts", "new"].source_exists and not told["comments", "new"].source_exists
+    assert json.loads(told["comments", "total"].target_run_summary) == {"run_id": "b"}
     assert spark.read.parquet(str(tmp_path / "b/posts")).groupBy("slice").count().count() == 2
-    assert json.loads(spark.read.text(str(tmp_path / "b/manifest")).first().value) == manifest
+    runs = spark.read.parquet(str(tmp_path / "b/runs"))
+    assert sorted(values(runs.filter("slice = 'total'"), "frame", "run_id", "rows")) == [("posts", "a", 14), ("posts", "b", 5)]
+    communities = spark.read.parquet(str(tmp_path / "b/communities")).filter("slice = 'new'")
+    assert sorted(values(communities, "community", "rows")) == [("Chevrolet", 2), ("GMC", 1), ("Silverado", 2)]
 
 
 def test_run_numbers(spark):
