@@ -65,6 +65,27 @@ def read_version(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(posixpath.join(path, current[1])) if current else None
 
 
+def prune_versions(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Delete the data of all but the newest versions of a table; returns the folders that went.
+
+    Not called by any step: a reader may still hold an older version, so the
+    owner of the table says when. Folders of writes that failed go as well.
+    """
+    current = latest_version(spark, path)
+    if current is None:
+        return []
+    known = {r["folder"] for r in _versions(spark, path).filter(F.col("number") > current[0] - keep).collect()}
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for entry in system.listStatus(root):
+        name = entry.getPath().getName()
+        if name.startswith("data-") and name not in known:
+            system.delete(entry.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     """Save a catalog table bucketed and sorted by its key.
 

@@ -87,6 +87,16 @@ def test_versions(spark, tmp_path):
     assert tables.latest_version(spark, path)[0] == 2
 
 
+def test_old_versions_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(4):
+        tables.write_version(spark.range(n + 1), path)
+    assert len(tables.prune_versions(spark, path, keep=2)) == 2
+    assert tables.read_version(spark, path).count() == 4 and tables.prune_versions(spark, path, keep=2) == []
+    assert len(tables.prune_versions(spark, path)) == 1 and tables.read_version(spark, path).count() == 4
+    assert tables.prune_versions(spark, str(tmp_path / "none")) == []
+
+
 def test_a_failed_write_leaves_the_old_version(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.write_version(spark.range(3), path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from forumlens import fixed, schemas
 from forumlens.operators import labels as lb
+from forumlens.plans import steps
 from forumlens.plans.steps import label_step
 from tests.fixture import evidence, labels, values
 
@@ -82,6 +83,25 @@ def test_ask_labeler(spark):
     assert values(bad) == [("post_003", "RuntimeError: refused")]
 
 
+def test_a_run_tells_what_failed(spark, tmp_path):
+    told = steps.label_run(evidence(spark).limit(5), str(tmp_path / "labels"), str(tmp_path / "answers"), labeler)
+    assert told.labels.count() == 4 and values(told.counts) == [(4, 1)]
+    assert values(told.failures) == [("post_003", "RuntimeError: refused")]
+    rules = steps.label_run(evidence(spark).limit(5), str(tmp_path / "rules"))
+    assert values(rules.counts) == [(5, 0)] and rules.failures.count() == 0
+
+
+def test_long_texts_and_values_stay_whole(spark):
+    long = " ".join(["word"] * 20_000)
+    df = spark.createDataFrame([("1", "A", "T", long)], "evidence_id string, subreddit string, title string, text string")
+    assert values(lb.with_prompt(df), "prompt")[0][0].endswith(long)
+    assert values(lb.with_prompt(df, 100), "prompt")[0][0].endswith("word " * 20)
+    raw = df.select("evidence_id", *[F.lit("x" * 300).alias(c) for c in lb.RAW_FIELDS])
+    assert [len(v) for v in values(lb.coerce_labels(raw), "brand", "model", "powertrain", "sentiment")[0]] == [300] * 4
+    cut = lb.coerce_labels(raw, widths=fixed.LABEL_WIDTHS)
+    assert [len(v) for v in values(cut, "brand", "model", "powertrain", "sentiment")[0]] == [50, 100, 20, 20]
+
+
 def test_a_labeler_is_asked_again(spark, tmp_path):
     folder = tmp_path
 

@@ -147,12 +147,12 @@ def test_collection_runs(spark, tmp_path):
     first = feed(spark, [post("a", 1, n_comments=7), post("b", 9)])
     later = feed(spark, [post("a", 1), post("b", 9), post("c", 9, sub="GMC")])
     assert values(steps.collect_step(spark, first, folder, now, dry_run=True), "status", "new_posts") == [("dry_run", 2)]
-    assert values(steps.collect_step(spark, first, folder, now), "new_posts", "comments", "combined_rows") == [(2, 5, 6)]
+    assert values(steps.collect_step(spark, first, folder, now), "new_posts", "comments", "combined_rows") == [(2, 7, 8)]
     told = steps.collect_step(spark, later, folder, now.replace(day=11), since_days=5)
     assert sorted(values(told, "subreddit", "eligible_posts", "older_than_start_posts", "new_posts")) == [("Chevy", 1, 1, 0), ("GMC", 1, 0, 1)]
     posts = spark.read.parquet(f"{folder}/posts")
     assert sorted(values(posts, "id", "run_id")) == [("a", "20240110T000000Z"), ("b", "20240110T000000Z"), ("c", "20240111T000000Z")]
-    assert spark.read.parquet(f"{folder}/combined").count() == 7
+    assert spark.read.parquet(f"{folder}/combined").count() == 9
     runs = read_run_summaries(spark, f"{folder}/runs/summaries")
     assert runs.count() == 3 and values(latest_run(runs), "run_id", "dry_run") == [("20240111T000000Z", False)]
     assert read_run_manifest(spark, f"{folder}/runs/manifest").count() == 4
@@ -174,6 +174,13 @@ def test_steps_from_files_to_index(spark, tmp_path):
     assert values(stats, "stored_rows", "duplicate_rows_removed") == [(2, 1)]
     assert sorted(values(loaded, "evidence_id", "title")) == [
         ("comment_c1", "Chevy Bolt"), ("post_p1", "Chevy Bolt"), ("post_p2", "GMC Sierra")]
+    # The second upload again: an update takes its rows over, a reset holds nothing else.
+    updated = steps.load_step(spark, str(folder), table, mode="update")
+    assert sorted(values(updated, "evidence_id", "title")) == [
+        ("comment_c1", "Chevy Bolt v2"), ("post_p1", "Chevy Bolt v2"), ("post_p2", "GMC Sierra")]
+    loaded = steps.load_step(spark, str(tmp_path / "upload0"), table, reset=True)
+    assert sorted(values(loaded, "evidence_id")) == [("comment_c1",), ("post_p1",)]
+    loaded = steps.load_step(spark, str(folder), table)
     found = steps.label_step(loaded, str(tmp_path / "labels"))
     assert {r.evidence_id: (r.brand, r.sentiment) for r in found.collect()} == {
         "post_p1": ("Chevy", "negative"), "post_p2": ("GMC", "positive")}
