@@ -73,7 +73,8 @@ def _bands(window: Column) -> Column:
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """license, shingles (distinct), windows (arrays of shingles at every word)."""
-    rows = spark.createDataFrame(list(templates.items()), "license string, text string")
+    given = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates.items()]
+    rows = spark.range(1).select(F.inline(F.array(*given)))
     hashed = rows.withColumn("words", _words(F.col("text"))).withColumn("in_order", _shingles(F.col("words")))
     per_window = WINDOW - SHINGLE + 1
     starts = F.sequence(F.lit(1), F.greatest(F.size("in_order") - per_window + 1, F.lit(1)))
