@@ -630,6 +630,9 @@ ORACLES: dict[str, str] = {
     "stream_ingest_dedupe": """
         SELECT DISTINCT event_type || '_' || CAST(user_id AS VARCHAR) AS evidence_id, event_type AS subreddit,
                CAST(user_id AS VARCHAR) AS post_id FROM events""",
+    "stream_ingest_within": """
+        SELECT DISTINCT event_type || '_' || CAST(user_id AS VARCHAR) AS evidence_id, event_type AS subreddit,
+               CAST(user_id AS VARCHAR) AS post_id FROM events""",
     "stream_evidence_load": """
         SELECT 'post_' || CAST(doc_id AS VARCHAR) AS evidence_id, source AS subreddit, text FROM documents""",
     "stream_label_log": """

@@ -21,7 +21,7 @@ from forumlens.session import scratch_folder
 from forumlens.sources import exports
 from forumlens.sources.runs import latest_run
 from forumlens.sources.tables import append_csv, read_version
-from forumlens.streaming.ingest import latest, once_per_post, stream_append, stream_evidence, stream_log
+from forumlens.streaming.ingest import latest, once_per_post, once_per_post_within, stream_append, stream_evidence, stream_log
 from forumlens.streaming.trend import stream_trend
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,8 +445,7 @@ def dry_run_with_failures(spark, sf):
 
 @query
 def run_split_rows(spark, sf):
-    new, old = compare.split_by_run(b.evidence(spark, sf).select("evidence_id", "run_id"), RUN)
-    return new.withColumn("slice", F.lit("new")).unionByName(old.withColumn("slice", F.lit("historical")))
+    return compare.with_slice(b.evidence(spark, sf).select("evidence_id", "run_id"), RUN)
 
 
 @query
@@ -598,6 +597,21 @@ def stream_ingest_dedupe(spark, sf):
     return spark.read.schema(rows.schema).parquet(f"{folder}/table")
 
 
+@query
+def stream_ingest_within(spark, sf):
+    """The same with a watermark; the delay is longer than the span of the events."""
+    feed = _event_stream(spark, sf).select(
+        F.upper("event_type").alias("subreddit"), F.col("user_id").cast("string").alias("id"), "ts"
+    )
+    rows = once_per_post_within(feed, "ts", "60 days").select(
+        F.concat_ws("_", "group_key", "id").alias("evidence_id"), F.col("group_key").alias("subreddit"),
+        F.col("id").alias("post_id"),
+    )
+    folder = scratch_folder(spark, "ingest")
+    stream_append(rows, f"{folder}/table", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/table")
+
+
 @query
 def stream_evidence_load(spark, sf):
     """Documents as a stream of evidence, loaded batch by batch."""

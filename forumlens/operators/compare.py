@@ -31,6 +31,11 @@ def split_by_run(df: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(new), df.filter(~new)
 
 
+def with_slice(df: DataFrame, run_id: str) -> DataFrame:
+    """The same split in one scan: a column ``slice`` of new or historical."""
+    return df.withColumn("slice", F.when(_is_new(df, run_id), F.lit("new")).otherwise(F.lit("historical")))
+
+
 def _counted(df: DataFrame) -> DataFrame:
     """Rows and time bounds per run and community: a small table."""
     community = first_text(text_or_null(df, "subreddit"), text_or_null(df, "post_subreddit"))
@@ -103,8 +108,7 @@ def write_comparison(
     slices = spark.createDataFrame([(n, s) for n in FRAMES for s in ("new", "historical", "total")], "frame string, slice string")
     tables: dict[str, DataFrame] = {}
     for name, df in frames.items():
-        slice_ = F.when(_is_new(df, run_id), F.lit("new")).otherwise(F.lit("historical"))
-        df.withColumn("slice", slice_).write.mode("overwrite").partitionBy("slice").parquet(f"{root}/{name}")
+        with_slice(df, run_id).write.mode("overwrite").partitionBy("slice").parquet(f"{root}/{name}")
         written = spark.read.parquet(f"{root}/{name}").drop("slice")
         for kind, found in comparison_tables(written, run_id).items():
             found = found.withColumn("frame", F.lit(name))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -15,6 +14,9 @@ from forumlens.operators.evidence import new_rows, upsert
 from forumlens.sources.exports import path_exists
 from forumlens.sources.tables import append, read_version, write_version
 
+# Batches that one start of a stream can number.
+START_BITS = 40
+
 
 def once_per_post(feed: DataFrame, group: str = "subreddit", post_id: str = "id") -> DataFrame:
     """Each post once, however often it is listed and however late.
@@ -71,15 +73,24 @@ def stream_append(rows: DataFrame, table: str, checkpoint: str) -> DataStreamWri
 
 
 def stream_log(rows: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
-    """Append every micro-batch with its time; ``latest`` gives the last rows.
+    """Append every micro-batch with its place in time; ``latest`` gives the last rows.
 
     For large tables whose rows change: a batch costs what it brings, where
     ``stream_upsert`` writes the whole table again. Only the last batch can be
-    run again; it then adds copies, and ``latest`` drops them. The time and not
-    the number of the batch is kept, as numbers restart with a new checkpoint.
+    run again; it then adds copies, and ``latest`` drops them. Numbers of batches
+    restart with a new checkpoint, so each start of the stream takes the next
+    higher place above all in the table; no clock is asked.
     """
-    def step(batch: DataFrame, _: int) -> None:
-        append(batch.withColumn("_batch", F.lit(time.time_ns() // 1000)), table)
+    starts: list[int] = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        if not starts:
+            spark, last = batch.sparkSession, None
+            if path_exists(spark, table):
+                last = spark.read.parquet(table).agg(F.max("_batch")).first()[0]
+            starts.append(0 if last is None else (last >> START_BITS) + 1)
+        place = (starts[0] << START_BITS) + number
+        append(batch.withColumn("_batch", F.lit(place).cast("long")), table)
 
     return _writer(rows, checkpoint, step)
 
