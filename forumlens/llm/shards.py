@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import posixpath
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -92,23 +92,20 @@ def _encoded(tokenizer: str, kind: str):
                     "part": pa.array([part] * len(sizes), pa.int64()),
                     "start": pa.array(before + np.cumsum(sizes) - sizes, pa.int64()),
                     "doc_id": doc_ids.slice(first, last - first), "n": pa.array(sizes, pa.int64()),
-                    "ids": pa.array([zipped(s.tobytes()) for s in streams], pa.binary()),
+                    "ids": pa.array([s.tobytes() for s in streams], pa.binary()),
                 })
                 before += int(sizes.sum())
 
     return run
 
 
-def zipped(data: bytes) -> bytes:
-    return zlib.compress(data, 1)
-
-
 def _cut(order: Order, length: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Ids of two bytes hardly shrink by Spark's own compression of the shuffle.
+        zipped = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             sequence, place, doc, pieces = [], [], [], []
             for start, doc_id, data in zip(*(batch.column(c).to_pylist() for c in ("start", "doc_id", "ids"))):
-                data = zlib.decompress(data)
                 at, end = start, start + len(data) // width
                 while at < end:
                     until = min(end, (at // length + 1) * length)
@@ -138,8 +135,9 @@ def _write_shard(folder: str, kind: str, length: int, per_shard: int, count: int
         filled, docs = np.zeros(len(rows), np.int64), [None] * len(rows)
         sequences = np.zeros(len(rows), np.int64)
         columns = (group.column(c).to_pylist() for c in ("slot", "sequence", "place", "doc_id", "ids"))
+        unzipped = zstandard.ZstdDecompressor().decompress
         for slot, sequence, place, doc_id, data in zip(*columns):
-            ids = np.frombuffer(zlib.decompress(data), kind)
+            ids = np.frombuffer(unzipped(data), kind)
             rows[slot - first, place:place + len(ids)] = ids
             filled[slot - first] += len(ids)
             sequences[slot - first] = sequence
@@ -187,8 +185,11 @@ def write_shards(
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = written(texts.mapInArrow(
-        _encoded(tokenizer, kind), "part long, start long, doc_id long, n long, ids binary"), "tokens")
+    streams = texts.mapInArrow(_encoded(tokenizer, kind), "part long, start long, doc_id long, n long, ids binary")
+    # Encoded once; long pages of ids are worth a higher level of compression.
+    kept = scratch_folder(spark := docs.sparkSession, "tokens")
+    streams.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 6).parquet(kept)
+    tokens = spark.read.schema(streams.schema).parquet(kept)
     # One row per partition of the scan.
     parts = tokens.groupBy("part").agg(F.sum("n").alias("n")).withColumn(
         "before", F.sum("n").over(W.orderBy("part")) - F.col("n"))
