@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.llm.common import binary_texts, slices
-from forumlens.llm.pretokens import encoded
+from forumlens.llm.pretokens import Remembered, encoded
 
 ROUNDS = 64
 #: Bytes of words in one recursive query, and ids in one decoding query.
 BATCH_BYTES, BATCH_IDS = 1 << 20, 1 << 20
-#: Words whose ids a worker keeps before it starts anew.
-WORDS_KEPT = 800_000
+#: Words of a generation whose ids a worker keeps.
+WORDS_KEPT = 300_000
 ENCODE_BYTES = 4 << 20
 
 CONTRACT = f"""
@@ -88,7 +88,7 @@ class DuckBpe:
             "token": pa.array(list(ranks.values()), pa.int64()),
             "piece": pa.array([p.decode("latin-1") for p in ranks], pa.string()),
         }))
-        self.known: dict[bytes, bytes] = {}
+        self.known = Remembered(WORDS_KEPT)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.con.register("arrow_rows", rows)
@@ -102,8 +102,9 @@ class DuckBpe:
         finally:
             self.con.unregister(name)
 
-    def _contracted(self, words: list[bytes]) -> None:
-        """Learn the ids of new words."""
+    def _contracted(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words."""
+        ids = {}
         sizes = np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words)), sizes)
         pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -116,18 +117,14 @@ class DuckBpe:
             done = token[~unsettled].astype("<u4")
             who, first = np.unique(word[~unsettled], return_index=True)
             for w, i, j in zip(who.tolist(), first.tolist(), [*first[1:].tolist(), len(done)]):
-                self.known[words[w]] = done[i:j].tobytes()
+                ids[words[w]] = done[i:j].tobytes()
             word, pos, token = word[unsettled], pos[unsettled], token[unsettled]
+        return ids
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit numbers."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = words
-        for first, last in slices(new, BATCH_BYTES):
-            self._contracted(new[first:last])
-        return list(map(self.known.__getitem__, words))
+        return self.known(words, lambda new: {
+            word: ids for first, last in slices(new, BATCH_BYTES) for word, ids in self._contracted(new[first:last]).items()})
 
     def decoded(self, ids: np.ndarray, part: np.ndarray) -> dict[int, bytes]:
         """Bytes of each part of a run of ids; ``part`` numbers the part of each id."""

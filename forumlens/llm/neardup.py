@@ -38,6 +38,8 @@ from forumlens.llm.components import components
 BANDS, ROWS = 48, 6
 #: Shingles of a block of documents that are compared each with each.
 BLOCK_SHINGLES = 1_000_000
+#: Rows of a batch whose texts are copied at a time.
+ROWS_AT_ONCE = 500
 #: Bits of the filter that tells which texts are named in a pair.
 FILTER_BITS = 1 << 23
 
@@ -88,17 +90,21 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = binary_texts(batch, "text"), batch.column("doc_id")
-            for first, last in slices(texts):
-                sets = shingle_sets(texts[first:last], width)
-                full = [s for s in sets if len(s)]
-                keys = iter(band_keys(circulant_signatures(full, bands * rows), bands, rows) if full else ())
-                yield pa.record_batch({
-                    "doc_id": ids.slice(first, last - first),
-                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "same": pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    "keys": pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                })
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield from sketched(batch.slice(begin, ROWS_AT_ONCE))
+
+    def sketched(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, ids = binary_texts(batch, "text"), batch.column("doc_id")
+        for first, last in slices(texts):
+            sets = shingle_sets(texts[first:last], width)
+            full = [s for s in sets if len(s)]
+            keys = iter(band_keys(circulant_signatures(full, bands * rows), bands, rows) if full else ())
+            yield pa.record_batch({
+                "doc_id": ids.slice(first, last - first),
+                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "same": pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()),
+                "keys": pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+            })
 
     return run
 
@@ -107,15 +113,17 @@ def _overlap(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None)
         for batch in batches:
-            us, left, right = batch.column("u").to_pylist(), binary_texts(batch, "u_text"), binary_texts(batch, "v_text")
             both, total = [], []
-            for begin, end in slices(right):
-                for i, y in enumerate(shingle_sets(right[begin:end], width), begin):
-                    if last[0] != (us[i], left[i]):
-                        last = ((us[i], left[i]), shingle_sets([left[i]], width)[0])
-                    x = last[1]
-                    both.append(len(np.intersect1d(x, y, assume_unique=True)))
-                    total.append(len(x) + len(y) - both[-1])
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(begin, ROWS_AT_ONCE)
+                us, left, right = part.column("u").to_pylist(), binary_texts(part, "u_text"), binary_texts(part, "v_text")
+                for first, end in slices(right):
+                    for i, y in enumerate(shingle_sets(right[first:end], width), first):
+                        if last[0] != (us[i], left[i]):
+                            last = ((us[i], left[i]), shingle_sets([left[i]], width)[0])
+                        x = last[1]
+                        both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                        total.append(len(x) + len(y) - both[-1])
             yield pa.record_batch({
                 "u": batch.column("u"), "v": batch.column("v"),
                 "shared": pa.array(both, pa.int64()), "total": pa.array(total, pa.int64()),

@@ -22,8 +22,8 @@ import numpy as np
 
 from forumlens.llm.common import word_hashes
 
-#: Words whose ids a worker keeps before it starts anew.
-WORDS_KEPT = 800_000
+#: Words of a generation whose ids a worker keeps.
+WORDS_KEPT = 150_000
 #: The endings and the white space of the pattern.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -91,6 +91,36 @@ def spread(values: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[
     return values[np.repeat(begin[which] - to[:-1], picked) + np.arange(to[-1])], to
 
 
+class Remembered:
+    """Values of words in two generations of bounded size.
+
+    A word that is asked again moves to the younger one; when that is full the
+    older one is forgotten. So frequent words stay and rare ones go.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __call__(self, words: list[bytes], learn: Callable[[list[bytes]], dict[bytes, bytes]]) -> list[bytes]:
+        """The value of each word; ``learn`` is asked for those that are new."""
+        young, old, new = self.young, self.old, []
+        for word in words:
+            if word not in young:
+                value = old.get(word)
+                if value is None:
+                    new.append(word)
+                else:
+                    young[word] = value
+        if new:
+            young.update(learn(new))
+        values = list(map(young.__getitem__, words))
+        if len(young) > self.size:
+            self.young, self.old = {}, young
+        return values
+
+
 class WordIds:
     """Ids of words by a tokenizer of the ``tokenizers`` library, remembered within bounds."""
 
@@ -100,19 +130,19 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
+        self.known = Remembered(WORDS_KEPT)
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit numbers."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = words
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
+        return self.known(words, self._encoded)
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        ids = {}
+        for i in range(0, len(words), 10_000):
+            part = words[i:i + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-        return list(map(self.known.__getitem__, words))
+            ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+        return ids
 
 
 _loaded: dict[str, WordIds] = {}
