@@ -28,7 +28,9 @@ from forumlens.functions.keyed import keep_top
 
 SCALE = 1024
 #: Vectors of a data block and of a query block, and of a leaf of each.
-DATA_BLOCK, QUERY_BLOCK, DATA_LEAF, QUERY_LEAF = 4096, 1024, 32, 8
+DATA_BLOCK, QUERY_BLOCK, DATA_LEAF, QUERY_LEAF = 4096, 1024, 32, 32
+#: Points of data that a leaf of queries is multiplied with at a time.
+CHUNK = 512
 #: Each level of a cover tree covers with this part of the radius above it.
 SHRINK = 0.7
 
@@ -88,33 +90,68 @@ class Best:
             self.scores[q], self.ids[q] = all_scores[order], all_ids[order]
 
 
+class Flat:
+    """The nodes of a cover tree as arrays, so that many bounds are one product."""
+
+    def __init__(self, root: Node, vectors: np.ndarray):
+        nodes = [root]
+        self.children: list[np.ndarray] = []
+        for node in nodes:  # grows while it is walked
+            self.children.append(np.arange(len(nodes), len(nodes) + len(node.children)))
+            nodes += node.children
+        self.points = [node.points for node in nodes]
+        self.centres = vectors[[node.centre for node in nodes]]
+        self.radius = np.array([node.radius for node in nodes])
+        self.norm = np.sqrt((self.centres ** 2).sum(1))
+
+    def bounds(self, nodes: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
+        """What no inner product of a point below each node with one within radius of centre exceeds."""
+        limit = self.centres[nodes] @ centre + radius * self.norm[nodes] + self.radius[nodes] * (
+            np.sqrt(centre @ centre) + radius)
+        return limit + 1e-9 * (1 + np.abs(limit))  # more than rounding can take away
+
+    def opened(self, nodes: np.ndarray, wider: float) -> np.ndarray:
+        """The nodes, those with a radius of more than ``wider`` replaced by their children."""
+        return np.concatenate([
+            np.zeros(0, np.int64),
+            *[self.children[n] if len(self.children[n]) and self.radius[n] > wider else np.array([n]) for n in nodes]])
+
+
 def dual_tree(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> Best:
-    """The k best data vectors of each query, its own id left out."""
+    """The k best data vectors of each query, its own id left out.
+
+    A query node goes down with the data nodes that are still possible for it.
+    Each of its children drops more of them, and a leaf looks at what is left,
+    the most promising nodes first and about CHUNK points at a time.
+    """
     best = Best(len(queries), k)
-    q_norm, d_norm = np.sqrt((queries ** 2).sum(1)), np.sqrt((data ** 2).sum(1))
+    tree = Flat(cover_tree(data, DATA_LEAF), data)
 
-    def bound(q: Node, d: Node) -> float:
-        centres = queries[q.centre] @ data[d.centre]
-        limit = centres + q.radius * d_norm[d.centre] + d.radius * q_norm[q.centre] + q.radius * d.radius
-        return limit + 1e-9 * (1 + abs(limit))  # more than rounding can take away
+    def possible(q: Node, nodes: np.ndarray) -> np.ndarray:
+        limits = tree.bounds(nodes, queries[q.centre], q.radius)
+        order = np.argsort(-limits, kind="stable")
+        return nodes[order[limits[order] >= best.worst(q.points)]]
 
-    top = (cover_tree(queries, QUERY_LEAF), cover_tree(data, DATA_LEAF))
-    stack = [(bound(*top), *top)]
+    stack = [(cover_tree(queries, QUERY_LEAF), np.array([0]))]
     while stack:
-        limit, q, d = stack.pop()
-        if limit < best.worst(q.points):
-            continue
-        if not q.children and not d.children:
-            scores = queries[q.points] @ data[d.points].T
-            scores[query_ids[q.points][:, None] == data_ids[d.points]] = -np.inf
-            best.add(q.points, data_ids[d.points], scores)
+        q, nodes = stack.pop()
+        nodes = possible(q, nodes)
+        if q.children:
+            nodes = possible(q, tree.opened(nodes, q.radius))
+            stack += [(child, nodes) for child in reversed(q.children)]
             continue
-        # The wider node is opened; the most promising pair is looked at first.
-        if d.children and (not q.children or d.radius >= q.radius):
-            pairs = [(bound(q, c), q, c) for c in d.children]
-        else:
-            pairs = [(bound(c, d), c, d) for c in q.children]
-        stack += sorted(pairs, key=lambda p: p[0])
+        while len(nodes):
+            sizes = np.cumsum([len(tree.points[n]) for n in nodes])
+            take = int(np.searchsorted(sizes, CHUNK)) + 1
+            inner = np.array([len(tree.children[n]) > 0 for n in nodes[:take]])
+            if inner.any():
+                nodes = possible(q, np.concatenate([tree.opened(nodes[:take], -1.0), nodes[take:]]))
+                continue
+            points = np.concatenate([tree.points[n] for n in nodes[:take]])
+            scores = queries[q.points] @ data[points].T
+            scores[query_ids[q.points][:, None] == data_ids[points]] = -np.inf
+            best.add(q.points, data_ids[points], scores)
+            nodes = possible(q, nodes[take:])
     return best
 
 
