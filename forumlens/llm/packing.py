@@ -36,7 +36,7 @@ END_ID = 1
 #: The linear program is left once its value is proven so close to the optimum.
 GAP = 1e-3
 #: Bytes of text that a task encodes at a time.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
