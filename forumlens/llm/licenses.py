@@ -4,9 +4,11 @@ Words are runs of a-z, 0-9 and dots after lower-casing, shingles are SHINGLE wor
 in a row. Documents are covered by windows of WINDOW words every STRIDE words,
 templates by windows at every word. A window's signature has one smallest hash per
 band, and a band is one row, so two windows of similarity s miss each other with
-probability (1 - s)**BANDS. A template as short as one window has half of the
+probability (1 - s)**BANDS. A template of SHORT shingles in a row has half of the
 shingles of the window that covers it, s = 1/2, and is missed once in 16 million;
-longer ones line up with a window of their own at s = 1.
+longer ones line up better, up to a window of their own at s = 1. In a window of
+that size templates of fewer shingles would be missed too often, so both sides have
+windows of one shingle for them: s = 1, and none is missed.
 
 Only windows that share a shingle with some template are hashed; others can't
 match. What a document shares with all templates together is a short list, which
@@ -20,11 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, WINDOW, STRIDE, BANDS = 3, 8, 4, 24
+#: Templates of fewer distinct shingles are looked for by windows of one shingle.
+SHORT = 3
 #: Percentage of a template's shingles that a document must have.
 CONTAINED = 80
 
 #: The notices that are looked for.
 TEMPLATES = {
+    "All-rights-reserved": "All rights reserved",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
@@ -72,15 +77,17 @@ def _bands(window: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, shingles (distinct), windows (arrays of shingles at every word)."""
+    """license, shingles (distinct), windows (arrays of shingles at every word, of one shingle if SHORT)."""
     given = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates.items()]
     rows = spark.range(1).select(F.inline(F.array(*given)))
     hashed = rows.withColumn("words", _words(F.col("text"))).withColumn("in_order", _shingles(F.col("words")))
     per_window = WINDOW - SHINGLE + 1
     starts = F.sequence(F.lit(1), F.greatest(F.size("in_order") - per_window + 1, F.lit(1)))
+    distinct = F.array_distinct("in_order")
     return hashed.filter(F.size("in_order") > 0).select(
-        "license", F.array_distinct("in_order").alias("shingles"),
-        F.transform(starts, lambda at: F.slice("in_order", at, F.lit(per_window))).alias("windows"))
+        "license", distinct.alias("shingles"),
+        F.when(F.size(distinct) < SHORT, F.transform(distinct, lambda s: F.array(s))).otherwise(
+            F.transform(starts, lambda at: F.slice("in_order", at, F.lit(per_window)))).alias("windows"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: int = CONTAINED) -> DataFrame:
@@ -94,7 +101,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: in
     """
     spark = docs.sparkSession
     table = template_table(spark, TEMPLATES if templates is None else templates)
-    wanted = sorted({r[0] for r in table.select(F.explode("shingles")).collect()})
+    pieces = table.select(F.explode("shingles"), F.size("shingles") < SHORT).collect()
+    wanted, short = sorted({r[0] for r in pieces}), sorted({r[0] for r in pieces if r[1]})
     if not wanted:
         wanted = [0]
     per_window = WINDOW - SHINGLE + 1
@@ -111,10 +119,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: in
         F.filter("hits", lambda i: (i >= STRIDE) & (i % STRIDE < per_window - STRIDE)), lambda i: (i - i % STRIDE - STRIDE).cast("int"))
     windows = F.transform(
         F.array_union(begin, before), lambda at: F.slice("in_order", at + 1, F.lit(per_window)))
-    candidates = found.select(
+    found = found.select(
         "row", "doc_id", F.array_distinct(F.transform("hits", lambda i: F.get("in_order", i))).alias("mine"),
-        F.explode(windows).alias("window"),
-    ).select("row", "doc_id", "mine", F.posexplode(_bands(F.col("window"))).alias("band", "least"))
+        windows.alias("windows"))
+    if short:
+        alone = F.transform(F.filter("mine", lambda s: s.isin(short)), lambda s: F.array(s))
+        found = found.withColumn("windows", F.concat("windows", alone))
+    candidates = found.select("row", "doc_id", "mine", F.explode("windows").alias("window")).select("row", "doc_id", "mine", F.posexplode(_bands(F.col("window"))).alias("band", "least"))
     buckets = table.select("license", F.explode("windows").alias("window")).select(
         "license", F.posexplode(_bands(F.col("window"))).alias("band", "least")).distinct()
     retrieved = candidates.join(F.broadcast(buckets), ["band", "least"]).groupBy("row", "license").agg(

@@ -52,6 +52,45 @@ def test_licenses_match_containment(spark):
     assert licenses.scan(df, templates={"short": "too short"}).count() == 0
 
 
+def test_license_lines_of_the_documents_are_found(spark):
+    """Lines as they stand in the documents, whatever TEMPLATES holds."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    told = re.compile(r"\blicen[sc]e|rights reserved|copyright", re.I)
+    wanted = defaultdict(set)
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        for line in (text or "").split("\n"):
+            if told.search(line):
+                wanted[line].add(doc_id)
+    assert "All rights reserved." in wanted and len(wanted) >= 5
+    found = defaultdict(set)
+    for r in licenses.scan(docs).collect():
+        found[r["license"]].add(r["doc_id"])
+    assert found["All-rights-reserved"] == wanted["All rights reserved."]
+    assert all(any(ids <= have for have in found.values()) for ids in wanted.values())
+
+
+def test_no_short_template_is_missed(spark):
+    rng = random.Random(6)
+    rows, wanted = [], set()
+    for i in range(1500):
+        words = [f"w{rng.randrange(1_000_000)}" for _ in range(30)]
+        at = rng.randrange(28)
+        if i % 3 == 0:
+            words[at:at] = ["one", "two", "three"]
+            wanted.add((i, "one", 1, 1))
+        elif i % 3 == 1:
+            words[at:at] = ["red", "green", "blue", "white"]
+            wanted.add((i, "two", 2, 2))
+        else:
+            words = ["red", "green", "blue", *words, "green", "blue", "white"]
+            wanted.add((i, "two", 2, 2))
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    templates = {"one": "one two three", "two": "red green blue white"}
+    found = {tuple(r) for r in licenses.scan(df, templates=templates).select("doc_id", "license", "shared", "shingles").collect()}
+    assert found == wanted
+
+
 # --- chats ----------------------------------------------------------------
 
 def test_fold_of_deltas_edits_and_regenerations(spark):
