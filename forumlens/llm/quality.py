@@ -7,8 +7,8 @@ largest response per chunk, and mean, maximum and minimum over the chunks go
 through one hidden layer into one probability.
 
 Training takes a bounded sample: the SAMPLE labelled documents with the smallest
-hash of their id, and at most SAMPLE_HALVES evenly spaced halves of each. Scoring
-covers every byte of every document.
+hash of their id, or fewer if those hold more than SAMPLE_BYTES. Fitting and scoring
+cover every byte of a document.
 """
 
 from __future__ import annotations
@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.llm.common import binary_texts, fold, slices
+from forumlens.llm.common import binary_texts, fold, slices, written
 
 WIDTH, FILTERS, HIDDEN, HALF = 5, 16, 16, 256
-#: Documents, and halves of each, that the network is trained on.
-SAMPLE, SAMPLE_HALVES = 3000, 32
+#: Most documents, and bytes of whole texts, that the network is trained on.
+SAMPLE, SAMPLE_BYTES = 3000, 1 << 25
 EPOCHS, BATCH = 6, 32
 #: Learning rates; filters see many places per step and move slowly.
 RATES = {"filters": 0.002, "hidden": 0.01, "bias": 0.01, "out": 0.01, "shift": 0.01}
-#: Places whose responses are held at a time while scoring.
+#: Places whose responses are held at a time.
 PLACES = 1 << 16
 
 Weights = dict[str, np.ndarray]
@@ -48,16 +48,13 @@ def fresh_weights(seed: int = 7) -> Weights:
     }
 
 
-def halves(text: bytes | None, limit: int | None = None) -> np.ndarray:
+def halves(text: bytes | None) -> np.ndarray:
     """A text as rows of HALF bytes and the WIDTH - 1 that follow; 0 where it ends."""
     text = text or b""
     n = -(-len(text) // HALF)
     padded = np.frombuffer(text.ljust(n * HALF, b"\0") + bytes(WIDTH - 1), np.uint8)
-    rows = np.lib.stride_tricks.sliding_window_view(padded, HALF + WIDTH - 1)[::HALF] if n else np.zeros(
+    return np.lib.stride_tricks.sliding_window_view(padded, HALF + WIDTH - 1)[::HALF] if n else np.zeros(
         (0, HALF + WIDTH - 1), np.uint8)
-    if limit is not None and n > limit:
-        rows = rows[np.linspace(0, n - 1, limit).astype(np.int64)]
-    return rows
 
 
 def _responses(rows: np.ndarray, filters: np.ndarray) -> np.ndarray:
@@ -95,9 +92,12 @@ def _probability(weights: Weights, features: np.ndarray) -> tuple[np.ndarray, np
 
 def _gradient(weights: Weights, texts: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> Weights:
     rows, counts = np.concatenate(texts), np.array([len(t) for t in texts])
-    responses = _responses(rows, weights["filters"])
-    best = responses.argmax(1)
-    pooled = np.take_along_axis(responses, best[:, None], 1)[:, 0]
+    step = max(1, PLACES // HALF)
+    best, pooled = np.empty((len(rows), FILTERS), np.int64), np.empty((len(rows), FILTERS), weights["filters"].dtype)
+    for i in range(0, len(rows), step):
+        responses = _responses(rows[i:i + step], weights["filters"])
+        best[i:i + step] = responses.argmax(1)
+        pooled[i:i + step] = np.take_along_axis(responses, best[i:i + step, None], 1)[:, 0]
     features, picks = _gathered(np.maximum(pooled, 0), counts, sizes)
     probability, hidden = _probability(weights, features)
     d_logit = ((probability - labels) / len(labels)).astype(np.float32)
@@ -164,16 +164,6 @@ def score(weights: Weights, texts: list[bytes | None]) -> np.ndarray:
     return _probability(weights, found)[0].astype(float)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = binary_texts(batch, "text")
-        yield pa.record_batch({
-            "doc_id": batch.column("doc_id"), "label": batch.column("label"),
-            "halves": pa.array([halves(t, SAMPLE_HALVES).tobytes() for t in texts], pa.binary()),
-            "size": pa.array([len(t or b"") for t in texts], pa.int64()),
-        })
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Weights:
     """Train on labelled documents outside the held-out fold, crc32(doc_id) mod 3 = 1.
 
@@ -185,10 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Weights:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # At most SAMPLE ids.
-    found = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "doc_id long, label int, halves binary, size long")
-    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["label"], r["halves"]))
-    wide = HALF + WIDTH - 1
-    return train([(r["label"], np.frombuffer(bytes(r["halves"]), np.uint8).reshape(-1, wide), r["size"]) for r in rows])
+    found = written(texts.join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "label", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")), "labelled")
+    sizes = found.groupBy("doc_id").agg(F.sum(F.length("text")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    fit_in = int(np.searchsorted(np.cumsum([r["size"] for r in sizes]), SAMPLE_BYTES, "right"))
+    if fit_in < len(sizes):
+        # Whole texts of the first ids that fit, and of one in any case.
+        found = found.filter(F.col("doc_id").isin([r["doc_id"] for r in sizes[:max(1, fit_in)]]))
+    rows = sorted((r["doc_id"], r["label"], bytes(r["text"])) for r in found.collect())
+    return train([(label, halves(text), len(text)) for _, label, text in rows])
 
 
 def _scores(weights: Weights):

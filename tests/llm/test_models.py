@@ -62,6 +62,31 @@ def test_quality_odd_rows(spark):
     assert quality.classify(odd_docs(spark), labels.limit(0)).count() == len(ROWS)
 
 
+def test_quality_is_fitted_on_whole_texts(spark, monkeypatch):
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(40 * i * i)) for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    given = []
+    monkeypatch.setattr(quality, "train", given.extend)
+    used = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+
+    def whole(rows):
+        return sorted(halves[:, :quality.HALF].tobytes()[:size].decode() for _, halves, size in rows)
+
+    quality.fit(docs, labels)
+    assert whole(given) == sorted(used.values()) and max(map(len, used.values())) > 100_000
+    # A bound on bytes leaves out documents and cuts none.
+    given.clear()
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", sum(map(len, used.values())) // 2)
+    quality.fit(docs, labels)
+    assert 0 < len(given) < len(used) and set(whole(given)) <= set(used.values())
+    assert sum(r[2] for r in given) <= quality.SAMPLE_BYTES
+    given.clear()
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 0)
+    quality.fit(docs, labels)
+    assert len(given) == 1 and set(whole(given)) <= set(used.values())
+
+
 def test_language_on_held_out_documents(spark):
     docs = table(spark, SF_DIR, "documents")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
