@@ -9,7 +9,8 @@ multiply and shift, so no table of them is needed.
 Steps, each of which is a distributed job:
 
 1. one pass over the texts: set size, fingerprint of the set, band keys;
-2. equal sets are one class, represented by its smallest doc_id;
+2. equal sets are one class, represented by its smallest doc_id; an id of several
+   rows is linked with the representatives of all of them;
 3. band keys of the representatives: a bucket of two or more names its smallest
    and largest id as pivots, every member is paired with both. That is every
    pair in a bucket of three, and one star, not all pairs, in a large one;
@@ -212,6 +213,11 @@ def _compare(width: int, percent: int):
         host, p, q = (group.column(c)[0].as_py() for c in ("host", "p", "q"))
         texts = group.column("text").cast(pa.large_binary()).to_pylist()
         sets = [s for i, j in slices(texts) for s in shingle_sets(texts[i:j], width)]
+        # Another row of an id may have no shingles: it has no links, and reduceat no place for it.
+        full = np.array([len(s) > 0 for s in sets])
+        ids, labels, block, sets = ids[full], labels[full], block[full], [s for s in sets if len(s)]
+        if not sets:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         sizes = np.array([len(s) for s in sets])
         starts = np.cumsum(sizes) - sizes
         values, places = np.unique(np.concatenate(sets), return_inverse=True)
@@ -271,7 +277,9 @@ def near_duplicates(
     schema = "doc_id long, n_shingles long, same binary, keys array<long>"
     sketch = written(docs.mapInArrow(_sketch(width, bands, rows), schema), "sketch")
     alike = sketch.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    same = sketch.select("doc_id", "n_shingles", "same").join(alike, "same", "left")
+    same = sketch.select("doc_id", "n_shingles", "same").join(alike, "same", "left").withColumn(
+        "rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+    repeated = written(sketch.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1"), "repeated")
 
     first = sketch.filter("doc_id IS NOT NULL").join(
         alike.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi")
@@ -286,6 +294,9 @@ def near_duplicates(
     pairs = written(_close(pairs, sizes, percent), "close")
     measured = written(overlaps(pairs, docs, width), "pairs")
     links = _links(measured, percent)
+    if not repeated.isEmpty():
+        links = links.unionByName(written(same.join(repeated, "doc_id", "left_semi").filter("rep != doc_id").select(
+            F.col("rep").alias("u"), F.col("doc_id").alias("v")).distinct(), "own"))
     found = written(components(links), "found")
     left = written(_unsettled(members.filter("size > 3").select("key", "doc_id"), found, sizes), "open")
     if not left.isEmpty():

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from forumlens.llm import neardup
@@ -78,6 +79,29 @@ def test_odd_rows(spark):
     assert neardup.near_duplicates(no_docs(spark)).count() == 0
 
 
+def test_one_id_with_several_texts_is_one_document(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [
+        (2, a), (10, a), (10, b), (11, b + " more"), (20, c), (21, c), (21, None), (22, ""), (22, c),
+        (30, "x y z"), (31, "p q r"), (32, "x y z"), (32, "p q r"), (32, ""), (None, a),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = result(neardup.near_duplicates(df, width=2))
+    assert found == brute(rows, 2)
+    assert {r[2] for r in found if r[0] in (2, 10, 11)} == {2} and {r[2] for r in found if r[0] in (30, 31, 32)} == {30}
+
+
+def test_empty_texts_of_ids_in_open_buckets(spark):
+    rows = mutated(2, groups=2, copies=40)
+    rows += [(i, t, "en", "s") for i, *_ in rows[:40] for t in ("", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert result(neardup.near_duplicates(df, width=2)) == brute(rows, 2)
+    group = pa.table({
+        "host": [1, 1, 1], "p": [0, 0, 0], "q": [0, 0, 0], "doc_id": [1, 2, 2], "label": [1, 2, 2], "block": [0, 0, 0],
+        "text": ["a b c", "a b c", ""]})
+    assert neardup._compare(2, 80)(group).to_pylist() == [{"u": 2, "v": 1}]
+
+
 def test_pi_is_a_permutation_and_signatures_estimate_similarity():
     y = np.arange(1 << 16, dtype=np.uint32)
     assert len(np.unique(neardup._pi(y.copy()))) == len(y)
