@@ -18,7 +18,6 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.llm.common import binary_texts, slices
-from forumlens.llm.pretokens import Remembered, encoded
+from forumlens.llm.pretokens import KnownWords, encoded
 
 ROUNDS = 64
 #: Bytes of words in one recursive query, and ids in one decoding query.
@@ -70,6 +69,8 @@ class DuckBpe:
     """The tables of one vocabulary and the ids of words seen, in a worker's own DuckDB."""
 
     def __init__(self, path: str):
+        import duckdb
+
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -88,7 +89,7 @@ class DuckBpe:
             "token": pa.array(list(ranks.values()), pa.int64()),
             "piece": pa.array([p.decode("latin-1") for p in ranks], pa.string()),
         }))
-        self.known = Remembered(WORDS_KEPT)
+        self.ids_of = KnownWords(self.learn, WORDS_KEPT)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.con.register("arrow_rows", rows)
@@ -121,10 +122,12 @@ class DuckBpe:
             word, pos, token = word[unsettled], pos[unsettled], token[unsettled]
         return ids
 
-    def ids_of(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian 32-bit numbers."""
-        return self.known(words, lambda new: {
-            word: ids for first, last in slices(new, BATCH_BYTES) for word, ids in self._contracted(new[first:last]).items()})
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has."""
+        runs = [
+            run for first, last in slices(words, BATCH_BYTES)
+            for run in map(self._contracted(words[first:last]).__getitem__, words[first:last])]
+        return np.frombuffer(b"".join(runs), "<u4"), np.array([len(r) // 4 for r in runs], np.int64)
 
     def decoded(self, ids: np.ndarray, part: np.ndarray) -> dict[int, bytes]:
         """Bytes of each part of a run of ids; ``part`` numbers the part of each id."""

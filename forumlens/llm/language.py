@@ -56,7 +56,7 @@ def trigrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     """
     lowered = [(t or b"").decode().lower() for t in texts]
     chars = np.frombuffer(" ".join(lowered).join("  ").encode("utf-32-le"), np.uint32)
-    letter = kinds()[chars] == LETTER
+    letter = kinds(chars) == LETTER
     # Runs of anything else become one blank.
     keep = letter | np.append(True, letter[:-1])
     borders = np.cumsum([0] + [len(t) + 1 for t in lowered])

@@ -23,23 +23,26 @@ import numpy as np
 from forumlens.llm.common import word_hashes
 
 #: Words of a generation whose ids a worker keeps.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 300_000
 #: The endings and the white space of the pattern.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
-SPACE, LETTER, NUMBER, OTHER = range(4)
-_kinds: np.ndarray | None = None
+SPACE, LETTER, NUMBER, OTHER, UNSEEN = range(5)
+_kinds = np.full(0x110000, UNSEEN, np.uint8)
+_kinds[list(WHITE_SPACE)] = SPACE
 
 
-def kinds() -> np.ndarray:
-    """The kind of every code point."""
-    global _kinds
-    if _kinds is None:
+def kinds(chars: np.ndarray) -> np.ndarray:
+    """The kind of each code point; a code point is looked up when it is first met."""
+    found = _kinds[chars]
+    new = found == UNSEEN
+    if new.any():
         of = {"L": LETTER, "N": NUMBER}
-        _kinds = np.array([of.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
-        _kinds[list(WHITE_SPACE)] = SPACE
-    return _kinds
+        for c in np.unique(chars[new]).tolist():
+            _kinds[c] = of.get(unicodedata.category(chr(c))[0], OTHER)
+        found = _kinds[chars]
+    return found
 
 
 def token_ranges(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +54,7 @@ def token_ranges(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarr
     chars = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
     width = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
     at = np.concatenate([[0], np.cumsum(width)])  # first byte of each character
-    kind = kinds()[chars]
+    kind = kinds(chars)
     borders = np.cumsum([0] + [len(t or b"") for t in texts])
     begins = np.zeros(len(chars) + 1, bool)
     begins[np.searchsorted(at, borders)] = True
@@ -77,10 +80,28 @@ def token_ranges(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarr
     return joined, starts, ends, np.searchsorted(starts, borders)
 
 
-def distinct_tokens(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct tokens, and for each token which of them it is."""
-    _, first, which = np.unique(word_hashes(joined, starts, ends), return_index=True, return_inverse=True)
-    return [joined[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())], which
+def distinct_tokens(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each distinct token, the first place of each, and for each token which of them it is.
+
+    Tokens are told apart by their hashes and then held against the bytes of the
+    first one; should two share a hash, the slice is told apart by bytes alone.
+    Tokens lie end to end, so their bytes in order are those of ``joined``.
+    """
+    hashes, first, which = np.unique(word_hashes(joined, starts, ends), return_index=True, return_inverse=True)
+    sizes, data = ends - starts, np.frombuffer(joined, np.uint8)
+    place = first[which]
+    same = np.array_equal(sizes, sizes[place])
+    if same:
+        moved = np.repeat(starts[place] - starts, sizes)
+        moved += np.arange(len(moved))
+        same = np.array_equal(data[moved], data[:len(moved)])
+    if not same:
+        tokens = [joined[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(t, len(number)) for t in tokens])
+        first = np.unique(which, return_index=True)[1]
+        hashes = word_hashes(joined, starts[first], ends[first])
+    return hashes, first, which
 
 
 def spread(values: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,38 +112,85 @@ def spread(values: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[
     return values[np.repeat(begin[which] - to[:-1], picked) + np.arange(to[-1])], to
 
 
-class Remembered:
-    """Values of words in two generations of bounded size.
+class KnownWords:
+    """Ids of words in arrays: sorted hashes, with the bytes and the ids of each word in two buffers.
 
-    A word that is asked again moves to the younger one; when that is full the
-    older one is forgotten. So frequent words stay and rare ones go.
+    A slice is looked up at once and its bytes are compared; words that are not
+    there are learned. Beyond ``size`` words those are forgotten whose last use is
+    longest ago, down to half of it, so frequent words stay.
     """
 
-    def __init__(self, size: int):
-        self.size = size
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def __call__(self, words: list[bytes], learn: Callable[[list[bytes]], dict[bytes, bytes]]) -> list[bytes]:
-        """The value of each word; ``learn`` is asked for those that are new."""
-        young, old, new = self.young, self.old, []
-        for word in words:
-            if word not in young:
-                value = old.get(word)
-                if value is None:
-                    new.append(word)
-                else:
-                    young[word] = value
-        if new:
-            young.update(learn(new))
-        values = list(map(young.__getitem__, words))
-        if len(young) > self.size:
-            self.young, self.old = {}, young
-        return values
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], size: int):
+        self.learn, self.size, self.clock = learn, size, 0
+        self.hashes, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.n_bytes, self.n_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def __call__(self, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct tokens end to end, how many each has, and for each token which of them it is."""
+        hashes, first, which = distinct_tokens(joined, starts, ends)
+        self.clock += 1
+        starts, sizes = starts[first], ends[first] - starts[first]
+        own = _runs(np.frombuffer(joined, np.uint8), starts, sizes)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        known[known] = self.n_bytes[at[known]] == sizes[known]
+        if known.any():
+            kept = _runs(self.bytes, (np.cumsum(self.n_bytes) - self.n_bytes)[at[known]], sizes[known])
+            other = np.add.reduceat(kept != own[np.repeat(known, sizes)], np.cumsum(sizes[known]) - sizes[known])
+            known[known] = other == 0
+        self.used[at[known]] = self.clock
+        new = np.flatnonzero(~known)
+        n_ids, begin = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        n_ids[known], begin[known] = self.n_ids[at[known]], (np.cumsum(self.n_ids) - self.n_ids)[at[known]]
+        values = self.ids
+        if len(new):
+            words = [joined[i:i + n] for i, n in zip(starts[new].tolist(), sizes[new].tolist())]
+            learned, lengths = self.learn(words)
+            n_ids[new], begin[new] = lengths, len(values) + np.cumsum(lengths) - lengths
+            values = np.concatenate([values, learned])
+            self._add(hashes[new], sizes[new], own[np.repeat(~known, sizes)], lengths, learned)
+        return _runs(values, begin, n_ids), n_ids, which
+
+    def _add(self, hashes: np.ndarray, n_bytes: np.ndarray, data: np.ndarray, n_ids: np.ndarray, ids: np.ndarray) -> None:
+        """Take in new words; of words with one hash the first stays."""
+        hashes = np.concatenate([self.hashes, hashes])
+        n_bytes, n_ids = np.concatenate([self.n_bytes, n_bytes]), np.concatenate([self.n_ids, n_ids])
+        used = np.concatenate([self.used, np.full(len(hashes) - len(self.used), self.clock)])
+        data, ids = np.concatenate([self.bytes, data]), np.concatenate([self.ids, ids])
+        hashes, keep = np.unique(hashes, return_index=True)
+        if len(keep) > self.size:
+            last = np.partition(used[keep], len(keep) - self.size // 2)[len(keep) - self.size // 2]
+            stay = used[keep] >= last
+            if stay.sum() > self.size:
+                # One slice brought them all: any half will do.
+                stay = stay & (np.cumsum(stay) <= self.size // 2)
+            hashes, keep = hashes[stay], keep[stay]
+        self.bytes = _runs(data, (np.cumsum(n_bytes) - n_bytes)[keep], n_bytes[keep])
+        self.ids = _runs(ids, (np.cumsum(n_ids) - n_ids)[keep], n_ids[keep])
+        self.hashes, self.used, self.n_bytes, self.n_ids = hashes, used[keep], n_bytes[keep], n_ids[keep]
+
+
+def _runs(values: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Runs of values, given by where they begin and how long they are, end to end."""
+    to = np.cumsum(lengths) - lengths
+    places = np.repeat(begin - to, lengths)
+    places += np.arange(len(places))
+    return values[places]
+
+
+#: Second bytes of a word behind a space that are sure to be no white space.
+_SOLID = np.isin(np.arange(256), [*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)])
+#: Words that are sent to the tokenizer as one text.
+TOGETHER = 1000
 
 
 class WordIds:
-    """Ids of words by a tokenizer of the ``tokenizers`` library, remembered within bounds."""
+    """Ids of words by a tokenizer of the ``tokenizers`` library.
+
+    A word that begins with a space stands apart from the one before it, so many
+    of them go as one text and are told apart by the bytes of their tokens.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,19 +198,37 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known = Remembered(WORDS_KEPT)
-
-    def __call__(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian 32-bit numbers."""
-        return self.known(words, self._encoded)
-
-    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
-        ids = {}
-        for i in range(0, len(words), 10_000):
-            part = words[i:i + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-        return ids
+        # Byte-level tokens have one character per byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.sizes[number] = len(token)
+        self.known = KnownWords(self.learn, WORDS_KEPT)
+
+    def __call__(self, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.known(joined, starts, ends)
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has."""
+        solid = [len(w) > 1 and w[0] == 0x20 and bool(_SOLID[w[1]]) for w in words]
+        together = [i for i, s in enumerate(solid) if s]
+        alone = [i for i, s in enumerate(solid) if not s]
+        texts = [b"".join(words[i] for i in together[k:k + TOGETHER]) for k in range(0, len(together), TOGETHER)]
+        ids = self._encoded(texts + [words[i] for i in alone])
+        counts = np.array([len(e) for e in ids], np.int64)
+        values = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        # A word ends where the bytes of its tokens do.
+        first = int(counts[:len(texts)].sum())
+        ends = np.searchsorted(np.cumsum(self.sizes[values[:first]]), np.cumsum([len(words[i]) for i in together], dtype=np.int64)) + 1
+        lengths = np.concatenate([np.diff(ends, prepend=0), counts[len(texts):]])
+        order = np.argsort(np.array(together + alone, np.int64))
+        begin = np.cumsum(lengths) - lengths
+        return _runs(values, begin[order], lengths[order]), lengths[order]
+
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [
+            np.array(e.ids, np.uint32) for i in range(0, len(texts), 1000)
+            for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts[i:i + 1000]], add_special_tokens=False)]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -155,13 +241,22 @@ def word_ids(path: str) -> WordIds:
     return _loaded[path]
 
 
-def encoded(texts: list[bytes | None], ids_of: Callable[[list[bytes]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+#: For a text joined of tokens, their starts and ends: see KnownWords.
+Coder = Callable[[bytes, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def encoded(texts: list[bytes | None], ids_of: Coder) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and where those of each text begin, and the end."""
     joined, starts, ends, first = token_ranges(texts)
+    return encoded_ranges(joined, starts, ends, first, ids_of)
+
+
+def encoded_ranges(
+    joined: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, ids_of: Coder
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same for texts that are cut already; ``first`` has the first token of each text and the end."""
     if not len(starts):
-        return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-    words, which = distinct_tokens(joined, starts, ends)
-    runs = ids_of(words)
-    lengths = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
-    ids, to = spread(np.frombuffer(b"".join(runs), "<u4"), lengths, which)
+        return np.zeros(0, np.uint32), np.zeros(len(first), np.int64)
+    values, lengths, which = ids_of(joined, starts, ends)
+    ids, to = spread(values, lengths, which)
     return ids, to[first]

@@ -8,8 +8,9 @@ Shard s holds slots s * per_shard onwards, each in ``length`` numbers of two or
 four bytes: slot k starts at byte (k mod per_shard) * stride of its shard, and a
 reader can stop and go on anywhere.
 
-A shard is written by one task under a name of its own and renamed when whole, so
-a task that runs twice leaves one file.
+Slots are dealt to tasks by range, and a task writes its shards one after the
+other, each under a name of its own that is changed when it is whole, so a task
+that runs twice leaves one file.
 """
 
 from __future__ import annotations
@@ -127,34 +128,48 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def _write_shard(folder: str, kind: str, length: int, per_shard: int, count: int):
-    def run(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        first = shard * per_shard
-        rows = np.full((min(per_shard, count - first), length), END_ID, kind)
-        filled, docs = np.zeros(len(rows), np.int64), [None] * len(rows)
-        sequences = np.zeros(len(rows), np.int64)
-        columns = (group.column(c).to_pylist() for c in ("slot", "sequence", "place", "doc_id", "ids"))
-        unzipped = zstandard.ZstdDecompressor().decompress
-        for slot, sequence, place, doc_id, data in zip(*columns):
-            ids = np.frombuffer(unzipped(data), kind)
-            rows[slot - first, place:place + len(ids)] = ids
-            filled[slot - first] += len(ids)
-            sequences[slot - first] = sequence
-            if place == 0:
-                docs[slot - first] = doc_id
+def _write_shards(folder: str, kind: str, length: int, per_shard: int, count: int):
+    """Writes the shards of a partition one after the other, from rows sorted by slot."""
+    def write(shard: int, rows: np.ndarray) -> None:
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
         partial = posixpath.join(path, f".{shard_name(shard)}.{uuid.uuid4().hex}")
         with system.open_output_stream(partial) as out:
             out.write(rows.tobytes())
         system.move(partial, posixpath.join(path, shard_name(shard)))
-        return pa.table({
-            "slot": pa.array(first + np.arange(len(rows)), pa.int64()), "sequence": pa.array(sequences, pa.int64()),
-            "shard": pa.array([shard] * len(rows), pa.int64()),
-            "byte_offset": pa.array(np.arange(len(rows)) * rows.strides[0], pa.int64()),
-            "n_tokens": pa.array(filled, pa.int64()), "first_doc_id": pa.array(docs, pa.int64()),
-        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzipped, open_shard = zstandard.ZstdDecompressor().decompress, None
+        rows = filled = sequences = docs = None
+
+        def closed() -> pa.RecordBatch:
+            write(open_shard, rows)
+            slots = open_shard * per_shard + np.arange(len(rows))
+            return pa.record_batch({
+                "slot": pa.array(slots, pa.int64()), "sequence": pa.array(sequences, pa.int64()),
+                "shard": pa.array([open_shard] * len(rows), pa.int64()),
+                "byte_offset": pa.array(np.arange(len(rows)) * rows.strides[0], pa.int64()),
+                "n_tokens": pa.array(filled, pa.int64()), "first_doc_id": pa.array(docs, pa.int64()),
+            })
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("slot", "sequence", "place", "doc_id", "ids"))
+            for slot, sequence, place, doc_id, data in zip(*columns):
+                if slot // per_shard != open_shard:
+                    if open_shard is not None:
+                        yield closed()
+                    open_shard = slot // per_shard
+                    n = min(per_shard, count - open_shard * per_shard)
+                    rows = np.full((n, length), END_ID, kind)
+                    filled, sequences, docs = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
+                at, ids = slot % per_shard, np.frombuffer(unzipped(data), kind)
+                rows[at, place:place + len(ids)] = ids
+                filled[at] += len(ids)
+                sequences[at] = sequence
+                if place == 0:
+                    docs[at] = doc_id
+        if open_shard is not None:
+            yield closed()
 
     return run
 
@@ -200,9 +215,13 @@ def write_shards(
     width = np.dtype(kind).itemsize
     pieces = moved.mapInArrow(
         _cut(Order(count, key), length, width), "slot long, sequence long, place long, doc_id long, ids binary")
-    # A shard is a range of slots and of one size, whatever the documents are.
-    shards = pieces.withColumn("shard", F.floor(F.col("slot") / F.lit(per_shard))).groupBy("shard").applyInArrow(
-        _write_shard(folder, kind, length, per_shard, count),
+    # Partition p has the shards from p * run onwards. Slots are dense and shards of one
+    # size, so these ranges are even without a sample, whatever the documents are.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run = max(1, -(-count // (per_shard * tasks))) * per_shard
+    ranged = pieces.repartitionById(tasks, F.floor(F.col("slot") / F.lit(run)).cast("int"))
+    shards = ranged.sortWithinPartitions("slot", "place").mapInArrow(
+        _write_shards(folder, kind, length, per_shard, count),
         "slot long, sequence long, shard long, byte_offset long, n_tokens long, first_doc_id long")
     return Written(folder, written(shards, "manifest"), count, length, per_shard, kind)
 

@@ -134,3 +134,22 @@ def test_shards_hold_the_stream(spark, tokenizer, tmp_path):
     assert sorted(r["slot"] for r in part) == list(range(5, min(40, count)))
     assert shards.write_shards(no_docs(spark), str(tmp_path / "none"), length=32).count == 0
     assert shards.training_order(no_docs(spark)).count() == 0
+
+
+def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch, tokenizer):
+    monkeypatch.setattr(pretokens, "word_hashes", lambda joined, starts, ends: np.zeros(len(starts), np.uint64))
+    coder = pretokens.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    for texts in (["one two three", "two  one\n"], ["three two", "four 'll"]):
+        ids, at = pretokens.encoded([t.encode() for t in texts], coder)
+        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [tokenizer.encode(t).ids for t in texts]
+
+
+def test_words_are_forgotten_and_learned_again(tokenizer):
+    coder = pretokens.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    coder.known.size = 20
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(40))) for _ in range(3)]
+        ids, at = pretokens.encoded([t.encode() for t in texts], coder)
+        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [tokenizer.encode(t).ids for t in texts]
+        assert len(coder.known.hashes) <= 20
