@@ -50,6 +50,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _BASE, _INVERSE
 
 
+def powers_of(n: int) -> np.ndarray:
+    """The first n powers of the base of the word hash, modulo 2**64."""
+    return _powers(n)[0][:n]
+
+
 _BASE = _INVERSE = np.zeros(0, np.uint64)
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
