@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forumlens.llm.align import align
 from forumlens.llm.bpe import encode_decode
 from forumlens.llm.chat import format_chats, messages, read_loss, read_turns, turn_events
 from forumlens.llm.common import table
@@ -85,8 +86,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query for query in (
         op1_license_scan, op2_byte_bpe, op3_packing, op4_chat_format, op5_quality_rules, op6_quality_classifier,
-        op7_language_id, op8_training_order, op9_minhash_near_dedup, op10_exact_topk, op12_periodic_runs)
+        op7_language_id, op8_training_order, op9_minhash_near_dedup, op10_exact_topk, op12_periodic_runs,
+        op13_token_alignment)
 }
