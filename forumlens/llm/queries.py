@@ -18,6 +18,7 @@ from forumlens.llm.neardup import near_duplicates
 from forumlens.llm.packing import pack
 from forumlens.llm.quality import classify
 from forumlens.llm.runs import periodic_runs
+from forumlens.llm.secrets import find_secrets
 from forumlens.llm.shards import training_order
 from forumlens.llm.topk import top_k
 
@@ -82,6 +83,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
 
@@ -93,6 +98,6 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query for query in (
         op1_license_scan, op2_byte_bpe, op3_packing, op4_chat_format, op5_quality_rules, op6_quality_classifier,
-        op7_language_id, op8_training_order, op9_minhash_near_dedup, op10_exact_topk, op12_periodic_runs,
-        op13_token_alignment)
+        op7_language_id, op8_training_order, op9_minhash_near_dedup, op10_exact_topk, op11_secret_scan,
+        op12_periodic_runs, op13_token_alignment)
 }
