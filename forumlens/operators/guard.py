@@ -111,7 +111,11 @@ def _check_plan(plan, tables: frozenset[str]) -> str | None:
             if reason:
                 return reason
             tables = tables | {alias.alias().lower()}
-    for expression in _items(plan.expressions()):
+    expressions = list(_items(plan.expressions()))
+    if kind == "WithWindowDefinition":
+        # Named windows are kept in a map, which is none of the node's expressions.
+        expressions += _items(plan.windowDefinitions().values().toSeq())
+    for expression in expressions:
         reason = _check_expression(expression, tables)
         if reason:
             return reason
@@ -133,30 +137,44 @@ def unsafe_reason(spark: SparkSession, sql: str, tables: Iterable[str] = TABLES)
     return _check_plan(plan, frozenset(t.lower() for t in tables))
 
 
-def _outside_reason(plan, given: Iterable[DataFrame]) -> str | None:
-    """Why an analysed plan reaches outside, or None; what the given frames do themselves is theirs."""
-    own = {_kind(n) for df in given for n in _nodes(df._jdf.queryExecution().analyzed())}
-    for kind in map(_kind, _nodes(plan)):
-        if kind.startswith(REACHING_OUT) and kind not in own:
+# Leaves of an analysed plan that read nothing but the statement itself.
+OWN_LEAVES = {"OneRowRelation", "OneRowRelation$", "LocalRelation", "CTERelationRef"}
+
+
+def _outside_reason(plan, names: Iterable[str]) -> str | None:
+    """Why an analysed plan reaches outside, or None.
+
+    Whatever is read must lie below the view of a given frame. Such a view is not
+    looked into: what a given frame does itself is its own.
+    """
+    allowed = {n.lower() for n in names}
+    for node, below in _nodes(plan, allowed):
+        kind = _kind(node)
+        if kind.startswith(REACHING_OUT):
             return f"not allowed: {kind}"
+        if below and node.children().isEmpty() and kind not in OWN_LEAVES:
+            return f"not allowed: reading {kind}"
     return None
 
 
-def _nodes(plan) -> Iterator:
-    """A plan with the plans below it and all their expressions."""
-    yield plan
+def _nodes(plan, allowed: set[str]) -> Iterator:
+    """A plan with the plans below it (True) and all their expressions (False), down to the given views."""
+    if _kind(plan) == "View" and plan.desc().identifier().table().lower() in allowed:
+        return
+    yield plan, True
     for expression in _items(plan.expressions()):
-        yield from _parts(expression)
-    for child in _items(plan.children()):
-        yield from _nodes(child)
+        yield from _parts(expression, allowed)
+    inner = list(_items(plan.innerChildren())) if _kind(plan) == "WithCTE" else []
+    for child in [*_items(plan.children()), *inner]:
+        yield from _nodes(child, allowed)
 
 
-def _parts(expression) -> Iterator:
-    yield expression
+def _parts(expression, allowed: set[str]) -> Iterator:
+    yield expression, False
     if _kind(expression) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-        yield from _nodes(expression.plan())
+        yield from _nodes(expression.plan(), allowed)
     for child in _items(expression.children()):
-        yield from _parts(child)
+        yield from _parts(child, allowed)
 
 
 _VIEWS = threading.Lock()
@@ -182,7 +200,7 @@ def guarded_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) ->
                 spark.catalog.dropTempView(name)
             for name, df in before.items():
                 df.createOrReplaceTempView(name)
-    reason = _outside_reason(found._jdf.queryExecution().analyzed(), tables.values())
+    reason = _outside_reason(found._jdf.queryExecution().analyzed(), tables)
     if reason:
         raise ValueError(f"SQL refused: {reason}")
     return found

@@ -34,6 +34,12 @@ REFUSED = [
     "SELECT * FROM labels JOIN `hidden` USING (evidence_id)", "SELECT * FROM labels WHERE brand IN (SELECT brand FROM hidden)",
     "SELECT (SELECT max(brand) FROM hidden)", "SELECT * FROM labels ORDER BY (SELECT max(brand) FROM hidden)",
     "SELECT count(*) OVER (PARTITION BY (SELECT max(brand) FROM hidden)) FROM labels",
+    # Windows that have a name.
+    "SELECT count(*) OVER w FROM labels WINDOW w AS (PARTITION BY brand = (SELECT max(brand) FROM hidden))",
+    "SELECT count(*) OVER w FROM labels WINDOW w AS (PARTITION BY (SELECT min(a) FROM parquet.`/tmp/x`))",
+    "SELECT count(*) OVER w FROM labels WINDOW w AS (PARTITION BY reflect('a', 'b'))",
+    "SELECT count(*) OVER w FROM labels WINDOW v AS (PARTITION BY brand), w AS (ORDER BY input_file_name())",
+    "SELECT * FROM (SELECT count(*) OVER w FROM labels WINDOW w AS (PARTITION BY (SELECT max(brand) FROM hidden))) x",
     "SELECT * FROM labels, LATERAL (SELECT * FROM hidden)", "SELECT brand FROM labels UNION SELECT brand FROM hidden",
     "SELECT brand FROM labels GROUP BY brand HAVING EXISTS (SELECT 1 FROM hidden)",
     "SELECT * FROM other.labels", "SELECT * FROM spark_catalog.default.labels",
@@ -62,6 +68,7 @@ ALLOWED = [
     "SELECT DATE_TRUNC('week', created_at) w, COUNT(*) FROM evidence_units GROUP BY 1 ORDER BY 1",
     "SELECT * FROM labels l WHERE EXISTS (SELECT 1 FROM evidence_units e WHERE e.evidence_id = l.evidence_id)",
     "SELECT brand FROM labels UNION ALL SELECT author FROM Evidence_Units",
+    "SELECT brand, count(*) OVER w, max(confidence) OVER v FROM labels WINDOW w AS (PARTITION BY brand), v AS (ORDER BY model)",
 ]
 
 
@@ -102,3 +109,19 @@ def test_the_analysed_plan_is_looked_at_again(spark, monkeypatch):
     monkeypatch.setattr(guard, "unsafe_reason", lambda *a: None)
     with pytest.raises(ValueError, match="CallMethodViaReflection"):
         guarded_sql(spark, "SELECT IDENTIFIER('reflect')('java.lang.Math', 'abs', 1) FROM labels", {"labels": labels(spark)})
+
+
+def test_relations_of_the_analysed_plan_are_looked_at(spark, monkeypatch, tmp_path):
+    from forumlens.operators import guard
+
+    monkeypatch.setattr(guard, "unsafe_reason", lambda *a: None)
+    path = str(tmp_path / "other")
+    labels(spark).write.parquet(path)
+    for sql in (
+        f"SELECT * FROM parquet.`{path}`", "SELECT * FROM range(3)",
+        f"SELECT brand FROM labels WHERE brand IN (SELECT brand FROM parquet.`{path}`)",
+        f"WITH a AS (SELECT brand FROM parquet.`{path}`) SELECT x.brand FROM a x JOIN a y USING (brand)",
+        f"SELECT count(*) OVER w FROM labels WINDOW w AS (PARTITION BY (SELECT min(brand) FROM parquet.`{path}`))",
+    ):
+        with pytest.raises(ValueError, match="reading"):
+            guarded_sql(spark, sql, {"labels": labels(spark)})

@@ -65,10 +65,12 @@ def test_parse_labels(spark):
     assert got["full"] == ("GMC", "Sierra", "EV", True, "recall", False, None, "negative", pytest.approx(0.8))
     assert got["empty"] == ("unknown", "unknown", "unknown", False, None, False, None, "neutral", 0.5)
     assert got["texts"][3:7] == (True, None, False, None) and got["texts"][-1] == 0.5
-    assert got["range"][0] == "unknown" and got["range"][-1] == 1.0 and got["range"][-2] == "s" * 20
+    assert got["range"][0] == "unknown" and got["range"][-1] == 1.0 and got["range"][-2] == "s" * 30
     assert got["below"][-1] == 0.0 and got["below"][3] is False
     assert sorted(values(bad, "evidence_id")) == [("broken",), ("late",), ("list",), ("words",)]
     assert good.dtypes == [(f.name, f.dataType.simpleString()) for f in schemas.LABELS]
+    cut, _ = lb.parse_labels(spark.createDataFrame(ANSWERS, "evidence_id string, raw string, error string"), widths=fixed.LABEL_WIDTHS)
+    assert {r.sentiment for r in cut.filter("evidence_id = 'range'").collect()} == {"s" * 20}
 
 
 def labeler(prompt):

@@ -37,3 +37,15 @@ def test_queries_run_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 50" in done.stdout, done.stderr[-2000:]
+
+
+def test_other_queries_do_without_the_libraries_of_some():
+    code = (
+        f"import sys; sys.path.insert(0, {ROOT!r})\n"
+        "for name in ('duckdb', 'public_tokenizers', 'numpy.nothing'):\n"
+        "    sys.modules[name] = None\n"
+        "import __spark_entry__ as entry\n"
+        "print('dashboard_charts' in entry.queries(), 'op2_byte_bpe' in entry.queries())\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "True False" in done.stdout and "public_tokenizers" in done.stderr, done.stderr[-2000:]
