@@ -11,17 +11,19 @@ from forumlens.functions.columns import present, strip
 from forumlens.functions.keyed import arrival, keep_one
 from forumlens.session import scratch_folder
 from forumlens.sources.exports import export_kind, storage_mode
-from forumlens.sources.tables import latest_version, read_version, write_version
+from forumlens.sources.deltas import KeyedTable
+from forumlens.sources.tables import latest_version, read_version
 
 ORDINALS = ("_batch", "_file", "_row")
 KINDS = ("combined", "posts", "comments")
 STATS = "kind string, existing_rows long, incoming_rows long, stored_rows long, duplicate_rows_removed long"
 
 
-def row_key(kind: str) -> Column:
-    """Typed key of a row; NULL where the row has no id to compare by."""
+def row_key(kind: str, given: dict[str, Column] | None = None) -> Column:
+    """Typed key of a row; NULL where the row has no id to compare by. ``given`` are the id columns if not all are there."""
     def typed(prefix: str, name: str) -> Column:
-        return F.when(present(F.col(name)), F.concat(F.lit(f"{prefix}:"), strip(F.col(name))))
+        value = given[name] if given else F.col(name)
+        return F.when(present(value), F.concat(F.lit(f"{prefix}:"), strip(value)))
 
     if kind == "combined":
         return F.coalesce(typed("comment", "comment_id"), typed("post", "post_id"))
@@ -81,25 +83,54 @@ def merge_export(
     return merged, stats
 
 
+def _table(spark: SparkSession, folder: str, kind: str) -> KeyedTable:
+    return KeyedTable(spark, posixpath.join(folder, kind), "_key")
+
+
 def stored_kinds(spark: SparkSession, folder: str) -> list[str]:
     """Kinds of exports stored under a folder."""
-    return [k for k in KINDS if latest_version(spark, posixpath.join(folder, k))]
+    return [k for k in KINDS if _table(spark, folder, k).state() or latest_version(spark, posixpath.join(folder, k))]
+
+
+def read_merged(spark: SparkSession, folder: str, kind: str) -> DataFrame | None:
+    """Merged exports of a kind: rows lack no column, whichever upload brought it first."""
+    rows = _table(spark, folder, kind).read()
+    return None if rows is None else rows.drop("_key").fillna("")
+
+
+def _import(spark: SparkSession, folder: str, kind: str) -> None:
+    """Take over a table that was written whole, before tables had deltas."""
+    table = _table(spark, folder, kind)
+    if table.state() is None:
+        old = read_version(spark, table.path)
+        if old is not None:
+            table.replace(old.withColumn("_key", _key_of(old, kind)))
+
+
+def _key_of(rows: DataFrame, kind: str) -> Column:
+    """``row_key`` where columns it needs may be missing."""
+    given = {name: F.col(name) if name in rows.columns else F.lit("") for name in ("id", "comment_id", "post_id")}
+    return row_key(kind, given)
 
 
 def merge_into(
-    spark: SparkSession, folder: str, files: dict[str, DataFrame], reset: bool = False
+    spark: SparkSession, folder: str, files: dict[str, DataFrame], reset: bool = False, run_id: str | None = None
 ) -> DataFrame:
     """Merge exports into the tables of a folder and return the statistics.
 
     A folder holds either combined or split data. Switching needs ``reset``,
-    which replaces everything stored: the other kinds get an empty version.
+    which replaces everything stored: the other kinds become empty. A merge writes
+    the rows that came in; ``compact_merged`` rewrites what has grown. With a
+    ``run_id`` a merge that came through already changes nothing.
     """
     shape = storage_mode(files)
     if shape == "mixed":
         raise ValueError("merge either one combined export or split ones, not both")
+    for kind in KINDS:
+        _import(spark, folder, kind)
     held = [] if reset else [
         k for k in stored_kinds(spark, folder)
-        if not read_version(spark, posixpath.join(folder, k)).isEmpty()
+        if not read_merged(spark, folder, k).isEmpty()
     ]
     current = storage_mode(held)
     if current == "mixed":
@@ -110,24 +141,35 @@ def merge_into(
     if reset:
         for kind in stored_kinds(spark, folder):
             if kind not in files:
-                old = read_version(spark, posixpath.join(folder, kind))
-                write_version(old.limit(0), posixpath.join(folder, kind))
+                table = _table(spark, folder, kind)
+                table.replace(table.read().limit(0), run_id)
     stats = []
     for kind, incoming in files.items():
-        target = posixpath.join(folder, kind)
-        stored = None if reset else read_version(spark, target)
+        table = _table(spark, folder, kind)
         # Parsed once; counts of written tables come from their footers.
         staged = scratch_folder(spark, "merge")
         incoming.write.parquet(staged)
-        incoming = spark.read.parquet(staged)
-        merged, _ = merge_export(stored, incoming, kind)
-        write_version(merged, target)
-        old = 0 if stored is None else stored.count()
-        new, now = incoming.count(), read_version(spark, target).count()
-        stats.append((kind, old, new, now, old + new - now))
+        incoming = spark.read.parquet(staged).fillna("")
+        rows, ordinals = incoming.withColumn("_key", _key_of(incoming, kind)), [c for c in ORDINALS if c in incoming.columns]
+        before = table.state()
+        if reset:
+            one = keep_one(
+                rows.withColumn("_alone", F.when(F.col("_key").isNull(), F.monotonically_increasing_id())),
+                ["_key", "_alone"], arrival(incoming, newest_first=True))
+            after, old = table.replace(one.drop("_alone", *ordinals), run_id), 0
+        else:
+            after = table.upsert(rows, run_id, order=arrival(incoming, newest_first=True), drop=ordinals, count=True)
+            old = before.rows if before else 0
+        new = incoming.count() if after != before else 0
+        stats.append((kind, old, new, after.rows, old + new - after.rows))
     return spark.createDataFrame(stats, STATS)
 
 
+def compact_merged(spark: SparkSession, folder: str) -> dict[str, list[int]]:
+    """Rewrite the buckets of merged exports whose deltas have grown; returns them by kind."""
+    return {k: _table(spark, folder, k).compact() for k in KINDS if _table(spark, folder, k).state()}
+
+
 def shape_errors(columns: dict[str, list[str]]) -> list[str]:
     """What is wrong with a set of uploads, judged by their columns alone."""
     errors, kinds = [], []

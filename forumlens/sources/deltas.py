@@ -221,13 +221,14 @@ class KeyedTable:
 
     def upsert(
         self, rows: DataFrame, run_id: str | None = None, mode: str = "update", order: Sequence[Column] | None = None,
-        count: bool = False,
+        drop: Sequence[str] = (), count: bool = False,
     ) -> State:
         """Bring rows in: the last one per key replaces what is stored, or with ``mode='ignore'`` the first one if nothing is.
 
         Rows without a key are all added. ``order`` tells which row of a key comes first
-        in the batch; by default its arrival does. ``count`` keeps the number of rows in
-        the commit, which costs a scan of the stored keys.
+        in the batch; by default its arrival does. Columns to ``drop`` may tell that order
+        and are not stored. ``count`` keeps the number of rows in the commit, which costs a
+        scan of the stored keys.
         """
         state = self.state()
         if state is None and (old := read_version(self.spark, self.path)) is not None:
@@ -236,13 +237,16 @@ class KeyedTable:
         if state and run_id and run_id in state.runs:
             return state
         has_key = F.col(self.key).isNotNull()
-        one = keep_one(rows.filter(has_key), [self.key], order or arrival(rows, newest_first=mode == "update"))
+        # Every row without a key is a group of its own; the batch is read once.
+        alone = rows.withColumn("_alone", F.when(~has_key, F.monotonically_increasing_id()))
+        one = keep_one(alone, [self.key, "_alone"], order or arrival(rows, newest_first=mode == "update")).drop("_alone")
         stored = None if state is None else self.read(state, [self.key])
         if mode == "ignore" and stored is not None:
             one = not_stored(one, stored, [self.key], rows.filter(has_key))
+        one = one.drop(*drop)
         seq = state.seq + 1 if state else 1
-        parts = tuple(self._write(one.unionByName(rows.filter(~has_key)), seq, state.buckets if state else self.new_buckets, state is None))
-        schema = self._schema(state, rows)
+        parts = tuple(self._write(one, seq, state.buckets if state else self.new_buckets, state is None))
+        schema = self._schema(state, one)
         held = None
         if count and (state is None or state.rows is not None):
             # Counted from what was written: the batch may be costly to make again.

@@ -11,7 +11,7 @@ from forumlens.fixed import EXPORT_FILES
 from forumlens.operators import evidence as ev
 from forumlens.operators import merge
 from forumlens.operators.normalise import combine
-from forumlens.sources.tables import read_version
+from forumlens.operators.merge import read_merged
 from tests.fixture import combined_row, evidence, frame, labels, values
 
 
@@ -128,7 +128,7 @@ def test_merge_overlapping_uploads(spark, tmp_path):
     assert values(one, "existing_rows", "incoming_rows", "stored_rows", "duplicate_rows_removed") == [(0, 2, 2, 0)]
     two = merge.merge_into(spark, folder, {"combined": second})
     assert values(two, "existing_rows", "incoming_rows", "stored_rows", "duplicate_rows_removed") == [(2, 3, 4, 1)]
-    merged = read_version(spark, f"{folder}/combined")
+    merged = read_merged(spark, folder, "combined")
     assert merged.columns[-1] == "note" and merged.filter("note IS NULL").count() == 0
     assert values(merged.filter("comment_id = 'c1'"), "post_title") == [("edited",)]
     rows = ev.evidence_from_combined(merged)
@@ -155,11 +155,11 @@ def test_merge_refuses_to_mix_shapes(spark, tmp_path):
         merge.merge_into(spark, folder, {"combined": first})
     merge.merge_into(spark, folder, {"combined": first}, reset=True)
     assert merge.storage_mode(k for k in merge.stored_kinds(spark, folder)
-                              if not read_version(spark, f"{folder}/{k}").isEmpty()) == "combined"
+                              if not read_merged(spark, folder, k).isEmpty()) == "combined"
     merge.merge_into(spark, folder, {"posts": posts}, reset=True)
-    assert read_version(spark, f"{folder}/comments").count() == 0
+    assert read_merged(spark, folder, "comments").count() == 0
     merge.merge_into(spark, folder, {"comments": comments})
-    assert read_version(spark, f"{folder}/comments").count() == 1
+    assert read_merged(spark, folder, "comments").count() == 1
 
 
 def test_profile_and_shape_errors(spark, combined):
