@@ -20,7 +20,8 @@ from forumlens.plans import dashboard, report
 from forumlens.session import scratch_folder
 from forumlens.sources import exports
 from forumlens.sources.runs import latest_run
-from forumlens.sources.tables import append_csv, read_version
+from forumlens.sources.deltas import KeyedTable
+from forumlens.sources.tables import append_csv
 from forumlens.streaming.ingest import latest, once_per_post, once_per_post_within, stream_append, stream_evidence, stream_log
 from forumlens.streaming.trend import stream_trend
 
@@ -623,7 +624,7 @@ def stream_evidence_load(spark, sf):
     )
     folder = scratch_folder(spark, "load")
     stream_evidence(rows, f"{folder}/table", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/table")
+    return KeyedTable(spark, f"{folder}/table", "evidence_id").read()
 
 
 @query
@@ -646,7 +647,7 @@ def stream_weekly_trend(spark, sf):
     )
     folder = scratch_folder(spark, "trend")
     stream_trend(feed, f"{folder}/table", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return read_version(spark, f"{folder}/table")
+    return KeyedTable(spark, f"{folder}/table", "week").read()
 
 
 @query

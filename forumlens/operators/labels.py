@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -21,10 +23,16 @@ from forumlens.fixed import (
 from forumlens.functions.columns import clamp01
 from forumlens.schemas import LABELS
 
+# What a labeler is asked and says.
+ANSWERS = "evidence_id string, raw string, error string"
 # Labels as a labeler may return them: every field as text.
 RAW_FIELDS = [f.name for f in LABELS if f.name != "evidence_id"]
 
 
+class LabelerDown(Exception):
+    """Raised by a labeler that cannot go on: its budget is spent, or its service is away."""
+
+
 def label_queue(
     evidence: DataFrame, labels: DataFrame, limit: int | None = None, source_type: str | None = None
 ) -> DataFrame:
@@ -122,15 +130,24 @@ def ask_labeler(
 ) -> DataFrame:
     """Send each prompt to a labeler on the executors: (evidence_id, raw, error).
 
+    A labeler that raises ``LabelerDown`` is asked nothing more by that task, and what it
+    has not answered is left out of the result.
+
     The labeler mostly waits for a model, so each task asks from a few threads.
     A queue of short texts would be packed into few tasks; it is spread over
     more, four per core unless ``partitions`` says otherwise, which also keeps
     small what a lost executor has to ask again.
     """
-    def ask(prompt: str) -> tuple[str | None, str | None]:
+    def ask(prompt: str, down: threading.Event) -> tuple[str | None, str | None] | None:
+        last = None
         for attempt in range(retries + 1):
+            if down.is_set():
+                return None
             try:
                 return labeler(prompt), None
+            except LabelerDown:
+                down.set()
+                return None
             except Exception as problem:
                 last = f"{type(problem).__name__}: {problem}"
                 if attempt < retries:
@@ -138,19 +155,17 @@ def ask_labeler(
         return None, last
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        down = threading.Event()
         with ThreadPoolExecutor(max_workers=workers) as pool:
             for batch in batches:
-                answers = list(pool.map(ask, batch["prompt"]))
-                yield pd.DataFrame({
-                    "evidence_id": batch["evidence_id"],
-                    "raw": [raw for raw, _ in answers],
-                    "error": [error for _, error in answers],
-                })
+                answers = list(pool.map(ask, batch["prompt"], itertools.repeat(down)))
+                told = [(i, *a) for i, a in zip(batch["evidence_id"], answers) if a is not None]
+                yield pd.DataFrame(told, columns=["evidence_id", "raw", "error"], dtype=object)
 
     prompts = with_prompt(queue, text_chars).select("evidence_id", "prompt")
     tasks = partitions or 4 * queue.sparkSession.sparkContext.defaultParallelism
     prompts = prompts.repartition(tasks, "evidence_id")
-    return prompts.mapInPandas(run, "evidence_id string, raw string, error string")
+    return prompts.mapInPandas(run, ANSWERS)
 
 
 def label_evidence(

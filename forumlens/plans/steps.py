@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -9,16 +10,21 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forumlens.functions.keyed import arrival, keep_one
 from forumlens.operators.collect import collect, date_window, new_run_id, save, seen_ids
-from forumlens.operators.evidence import load_evidence, new_rows, upsert
-from forumlens.operators.labels import ask_labeler, label_queue, parse_labels, rule_labels
+from forumlens.operators.evidence import load_evidence
+from forumlens.operators.labels import ANSWERS, LabelerDown, ask_labeler, label_queue, parse_labels, rule_labels
 from forumlens.operators.merge import merge_into
 from forumlens.operators.retrieval import build_index, embed
 from forumlens.schemas import EVIDENCE
 from forumlens.session import scratch_folder
+from forumlens.sources.deltas import KeyedTable
 from forumlens.sources.exports import export_kind, path_exists
 from forumlens.sources.runs import write_run
-from forumlens.sources.tables import append, read_version, write_version
+from forumlens.sources.tables import read_version, write_version
+
+#: Prompts of a chunk of a label run, and chunks at most: a commit costs some seconds.
+LABEL_CHUNK, LABEL_CHUNKS = 2000, 200
 
 
 def merge_step(spark: SparkSession, folder: str, exports: list[DataFrame], reset: bool = False) -> DataFrame:
@@ -33,23 +39,30 @@ def merge_step(spark: SparkSession, folder: str, exports: list[DataFrame], reset
 
 
 def load_step(
-    spark: SparkSession, folder: str, table: str, reset: bool = False, mode: str = "ignore"
+    spark: SparkSession, folder: str, table: str, reset: bool = False, mode: str = "ignore", run_id: str | None = None
 ) -> DataFrame:
     """Load the evidence of a folder of exports into a stored table.
 
-    ``mode='ignore'`` only appends what is not stored yet. ``mode='update'`` takes
-    over rows that come again and ``reset`` starts from nothing; both write the
-    table again, from a complete copy in the shared folder.
+    ``mode='ignore'`` only adds what is not stored yet, ``mode='update'`` takes over
+    rows that come again, and ``reset`` starts from nothing. Each is one commit of the
+    table: a reader sees it before or after, also if the load is killed in between.
+    With a ``run_id`` a load that came through already changes nothing.
     """
-    stored = spark.read.parquet(table) if path_exists(spark, table) else None
-    if stored is None or (mode == "ignore" and not reset):
-        append(new_rows(stored, load_evidence(spark, folder, mode=mode)), table, ["source_type"])
+    stored = evidence_table(spark, table)
+    if reset:
+        found = load_evidence(spark, folder, mode=mode)
+        stored.replace(keep_one(found, ["evidence_id"], arrival(found, newest_first=mode == "update")), run_id)
     else:
-        staged = scratch_folder(spark, "evidence")
-        load_evidence(spark, folder, stored, reset, mode).write.parquet(staged)
-        copy = spark.read.parquet(staged)
-        copy.write.mode("overwrite").partitionBy("source_type").parquet(table)
-    return spark.read.parquet(table).select(*EVIDENCE.fieldNames())
+        stored.upsert(load_evidence(spark, folder, mode=mode), run_id, mode)
+    return stored.read(columns=EVIDENCE.fieldNames()).select(*EVIDENCE.fieldNames())
+
+
+def evidence_table(spark: SparkSession, path: str) -> KeyedTable:
+    """The stored evidence; a plain folder of Parquet files, as loads wrote before, is taken over."""
+    table = KeyedTable(spark, path, "evidence_id", partition_by=["source_type"])
+    if table.state() is None and path_exists(spark, path) and not path_exists(spark, f"{path}/data"):
+        table.replace(spark.read.parquet(path))
+    return table
 
 
 def collect_step(
@@ -104,16 +117,25 @@ def label_run(
     labeler: Callable[[str], str] | None = None,
     limit: int | None = None,
     source_type: str | None = None,
+    run_id: str | None = None,
+    chunk: int = LABEL_CHUNK,
 ) -> Labelled:
-    """Label what has no label and write a new version of the label table.
-
-    Failures are (evidence_id, error), counts (labelled, failed) of this run. Answers of a labeler are written to the folder ``answers`` first: asking
-    is what costs, and a lost executor must not make it happen twice.
+    """Label what has no label and bring it into the label table.
+
+    Failures are (evidence_id, error), counts (labelled, failed) of this run. Asking a
+    labeler is what costs, so its answers go to a log in the folder ``answers`` first,
+    by chunks of about ``chunk`` prompts that are committed one by one. A run that died
+    is started again with the same arguments: it asks only what has no answer yet.
+    With the same ``run_id`` that includes prompts whose answer was a failure; without
+    one, or with another, these are asked again. A labeler that raises
+    ``LabelerDown`` ends the run, and what it answered until then is kept.
     """
     spark = evidence.sparkSession
-    stored = read_version(spark, table)
+    run_id = run_id or uuid.uuid4().hex
+    labels_table = KeyedTable(spark, table, "evidence_id")
+    stored = labels_table.read()
     empty = rule_labels(evidence).limit(0)
-    queue = label_queue(evidence, empty if stored is None else stored, limit, source_type)
+    queue = label_queue(evidence, empty if stored is None else stored.select("evidence_id"), limit, source_type)
     if labeler is None:
         # Used twice below; the texts are to be searched once.
         staged = scratch_folder(spark, "labels")
@@ -123,12 +145,51 @@ def label_run(
     else:
         if not answers:
             raise ValueError("a labeler needs a folder for its answers")
-        ask_labeler(queue, labeler).write.mode("errorifexists").parquet(answers)
-        found, failures = parse_labels(spark.read.parquet(answers))
-    write_version(upsert(stored, found), table)
+        log, asked = answer_queue(queue, labeler, answers, run_id, chunk)
+        found, failures = parse_labels(log.read().join(asked, "evidence_id", "left_semi"))
+    labels_table.upsert(found, order=[F.lit(0)])
     tally = found.select(F.lit(1).alias("ok")).unionByName(failures.select(F.lit(0).alias("ok")))
     counts = tally.agg(F.count_if(F.col("ok") == 1).alias("labelled"), F.count_if(F.col("ok") == 0).alias("failed"))
-    return Labelled(read_version(spark, table), failures, counts)
+    return Labelled(labels_table.read(), failures, counts)
+
+
+def answer_queue(
+    queue: DataFrame, labeler: Callable[[str], str], answers: str, run_id: str, chunk: int = LABEL_CHUNK
+) -> tuple[KeyedTable, DataFrame]:
+    """Ask a labeler what the log of answers lacks: the log, and the ids of the queue."""
+    spark = queue.sparkSession
+    log = KeyedTable(spark, answers, "evidence_id")
+    staged, known = scratch_folder(spark, "queue"), log.read()
+    rows = spark.read.schema(queue.schema).parquet(_written(queue, staged))
+    left = rows
+    if known is not None:
+        good, _ = parse_labels(known)
+        done = good.select("evidence_id").unionByName(known.filter(F.col("run_id") == run_id).select("evidence_id"))
+        left = rows.join(done, "evidence_id", "left_anti").select(*rows.columns)
+    # Dealt once, so that a chunk reads its own prompts only.
+    chunks = max(1, min(LABEL_CHUNKS, -(-left.count() // chunk)))
+    dealt = scratch_folder(spark, "chunks")
+    left.withColumn("_chunk", F.pmod(F.xxhash64("evidence_id"), F.lit(chunks))).write.partitionBy("_chunk").parquet(dealt)
+    for number in range(chunks):
+        if not path_exists(spark, f"{dealt}/_chunk={number}"):
+            continue
+        own = spark.read.schema(rows.schema).parquet(f"{dealt}/_chunk={number}")
+        told = scratch_folder(spark, "answers")
+        # Written before anything counts or moves them: nothing is asked twice.
+        ask_labeler(own, labeler).write.parquet(told)
+        found = spark.read.schema(ANSWERS).parquet(told).withColumn("run_id", F.lit(run_id))
+        log.upsert(found, order=[F.lit(0)])
+        missing = own.count() - found.count()
+        if missing:
+            raise LabelerDown(f"the labeler stopped {missing} prompts before the end of chunk {number + 1} of {chunks}")
+    if log.state() is None:
+        log.upsert(spark.createDataFrame([], f"{ANSWERS}, run_id string"))
+    return log, rows.select("evidence_id")
+
+
+def _written(df: DataFrame, path: str) -> str:
+    df.write.parquet(path)
+    return path
 
 
 def index_step(chunks: DataFrame, table: str, embedder: Callable[[list[str]], list] | None = None) -> DataFrame:

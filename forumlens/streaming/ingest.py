@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,9 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from forumlens.functions.columns import present
 from forumlens.functions.keyed import arrival, keep_one
-from forumlens.operators.evidence import new_rows, upsert
+from forumlens.sources.deltas import KeyedTable
 from forumlens.sources.exports import path_exists
-from forumlens.sources.tables import append, read_version, write_version
+from forumlens.sources.tables import append
 
 # Batches that one start of a stream can number.
 START_BITS = 40
@@ -47,19 +48,27 @@ def _writer(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int],
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
+def _into(table: str, key: str, mode: str) -> Callable[[DataFrame, int], None]:
+    """Bring every micro-batch into a keyed table; one that comes again after a failure changes nothing."""
+    starts: dict[str, str] = {}
+
+    def step(batch: DataFrame, number: int) -> None:
+        # Numbers of batches restart with a new checkpoint; within one the query keeps its id.
+        query = starts.setdefault("query", batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or uuid.uuid4().hex)
+        # Read once: a second pass would run the stateful operators again.
+        batch.persist()
+        KeyedTable(batch.sparkSession, table, key).upsert(batch, f"{query}-{number}", mode)
+        batch.unpersist()
+
+    return step
+
+
 def stream_evidence(rows: DataFrame, table: str, checkpoint: str, key: str = "evidence_id") -> DataStreamWriter:
-    """Append new evidence of every micro-batch to a Parquet folder.
+    """Add new evidence of every micro-batch to a keyed table, which batch jobs may write as well.
 
-    Ids already stored are ignored, so a batch that is run again after a
-    failure adds nothing twice, and batch jobs may write the table as well.
-    For that every batch reads the ids of the table.
+    Ids already stored are ignored; for that every batch reads the ids of the table.
     """
-    def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.schema(batch.schema).parquet(table) if path_exists(spark, table) else None
-        append(new_rows(stored, batch, key).select(*batch.columns), table)
-
-    return _writer(rows, checkpoint, step)
+    return _writer(rows, checkpoint, _into(table, key, "ignore"))
 
 
 def stream_append(rows: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
@@ -75,9 +84,8 @@ def stream_append(rows: DataFrame, table: str, checkpoint: str) -> DataStreamWri
 def stream_log(rows: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
     """Append every micro-batch with its place in time; ``latest`` gives the last rows.
 
-    For large tables whose rows change: a batch costs what it brings, where
-    ``stream_upsert`` writes the whole table again. Only the last batch can be
-    run again; it then adds copies, and ``latest`` drops them. Numbers of batches
+    For tables whose every change is kept. Only the last batch can be run
+    again; it then adds copies, and ``latest`` drops them. Numbers of batches
     restart with a new checkpoint, so each start of the stream takes the next
     higher place above all in the table; no clock is asked.
     """
@@ -101,11 +109,9 @@ def latest(log: DataFrame, key: str = "evidence_id") -> DataFrame:
 
 
 def stream_upsert(rows: DataFrame, table: str, checkpoint: str, key: str = "evidence_id") -> DataStreamWriter:
-    """Replace rows of a versioned table by those of every micro-batch."""
-    def step(batch: DataFrame, _: int) -> None:
-        # Used twice below; without this the state would be read twice as well.
-        batch.persist()
-        write_version(upsert(read_version(batch.sparkSession, table), batch, key), table)
-        batch.unpersist()
+    """Replace rows of a keyed table by those of every micro-batch.
 
-    return _writer(rows, checkpoint, step)
+    A batch writes what it brings. ``KeyedTable.compact`` rewrites what has grown, in
+    a job of its own or between batches.
+    """
+    return _writer(rows, checkpoint, _into(table, key, "update"))

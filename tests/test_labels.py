@@ -13,6 +13,7 @@ from forumlens import fixed, schemas
 from forumlens.operators import labels as lb
 from forumlens.plans import steps
 from forumlens.plans.steps import label_step
+from forumlens.sources.deltas import KeyedTable
 from tests.fixture import evidence, labels, values
 
 
@@ -171,3 +172,66 @@ def test_label_step_labels_only_what_is_open(spark, tmp_path):
     assert label_step(evidence(spark), table).count() == 20
     with pytest.raises(ValueError):
         label_step(evidence(spark), table, labeler=labeler)
+
+
+def counting_labeler(folder, allowed):
+    """A labeler that notes every prompt it answers, and is down after some of them."""
+    def ask(prompt):
+        import glob
+        import hashlib
+        import os
+        import uuid
+
+        if len(glob.glob(f"{folder}/*")) >= allowed:
+            raise lb.LabelerDown("spent")
+        open(os.path.join(folder, f"{hashlib.md5(prompt.encode()).hexdigest()}-{uuid.uuid4().hex}"), "w").close()
+        return "no json" if "number 3" in prompt else '{"brand": "Buick"}'
+
+    return ask
+
+
+def asked(folder):
+    import os
+
+    return [name.split("-")[0] for name in os.listdir(folder)]
+
+
+def test_a_run_that_dies_asks_nothing_twice(spark, tmp_path):
+    notes, table, answers = tmp_path / "notes", str(tmp_path / "labels"), str(tmp_path / "answers")
+    notes.mkdir()
+    for allowed in (7, 12):
+        with pytest.raises(lb.LabelerDown):
+            steps.label_run(evidence(spark), table, answers, counting_labeler(str(notes), allowed), run_id="r", chunk=5)
+        assert allowed <= len(asked(notes)) == len(set(asked(notes))) < 20
+        assert KeyedTable(spark, table, "evidence_id").read() is None
+    done = steps.label_run(evidence(spark), table, answers, counting_labeler(str(notes), 99), run_id="r", chunk=5)
+    assert len(asked(notes)) == len(set(asked(notes))) == 20
+    assert done.labels.count() == 19 and values(done.counts) == [(19, 1)] and values(done.failures, "evidence_id") == [("post_003",)]
+    # The same run again asks nothing, another one asks the failure once more.
+    again = steps.label_run(evidence(spark), table, answers, counting_labeler(str(notes), 99), run_id="r", chunk=5)
+    assert len(asked(notes)) == 20 and again.labels.count() == 19
+    steps.label_run(evidence(spark), table, answers, counting_labeler(str(notes), 99), chunk=5)
+    assert len(asked(notes)) == 21 and len(set(asked(notes))) == 20
+
+
+def test_answers_of_a_killed_run_are_kept(spark, tmp_path, monkeypatch):
+    """Killed after some chunks were committed: those are not asked again."""
+    notes, table, answers = tmp_path / "notes", str(tmp_path / "labels"), str(tmp_path / "answers")
+    notes.mkdir()
+    kept, commits = KeyedTable.upsert, []
+
+    def killed(self, *args, **options):
+        if len(commits) == 2:
+            raise KeyboardInterrupt
+        commits.append(1)
+        return kept(self, *args, **options)
+
+    monkeypatch.setattr(KeyedTable, "upsert", killed)
+    with pytest.raises(KeyboardInterrupt):
+        steps.label_run(evidence(spark), table, answers, counting_labeler(str(notes), 99), chunk=5)
+    monkeypatch.setattr(KeyedTable, "upsert", kept)
+    logged = KeyedTable(spark, answers, "evidence_id").read().count()
+    first = len(asked(notes))
+    assert 0 < logged < first <= 20
+    done = steps.label_run(evidence(spark), table, answers, counting_labeler(str(notes), 99), chunk=50)
+    assert done.labels.count() == 19 and 20 - logged <= len(asked(notes)) - first <= 21 - logged

@@ -159,6 +159,8 @@ def test_collection_runs(spark, tmp_path):
 
 
 def test_steps_from_files_to_index(spark, tmp_path):
+    from forumlens.operators.merge import read_merged
+
     uploads = [
         [combined_row("p1", "c1", "1", title="Chevy Bolt", post_selftext="battery failed\nagain")],
         [combined_row("p1", "c1", "1", title="Chevy Bolt v2"), combined_row("p2", title="GMC Sierra", post_selftext="love it so much")],
@@ -184,8 +186,40 @@ def test_steps_from_files_to_index(spark, tmp_path):
     found = steps.label_step(loaded, str(tmp_path / "labels"))
     assert {r.evidence_id: (r.brand, r.sentiment) for r in found.collect()} == {
         "post_p1": ("Chevy", "negative"), "post_p2": ("GMC", "positive")}
-    chunks = chunks_from_combined(steps.read_version(spark, f"{store}/combined"))
+    chunks = chunks_from_combined(read_merged(spark, store, "combined"))
     index = steps.index_step(chunks, str(tmp_path / "index"))
     assert index.count() == 2 and {"post_id", "text", "embedding", "norm"} <= set(index.columns)
     with pytest.raises(ValueError):
         steps.merge_step(spark, store, [frame(spark, [{"a": "b"}])])
+
+
+def test_a_killed_load_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    from forumlens.sources.deltas import KeyedTable
+
+    table = str(tmp_path / "evidence")
+    for n, title in enumerate(("Chevy Bolt", "Chevy Bolt v2")):
+        folder = tmp_path / f"upload{n}"
+        folder.mkdir()
+        frame(spark, [combined_row("p1", "c1", "1", title=title), combined_row(f"q{n}")]).toPandas().to_csv(
+            folder / EXPORT_FILES["combined"], index=False)
+    # A table that was written as a plain folder is taken over.
+    ev = steps.load_evidence(spark, str(tmp_path / "upload0"))
+    ev.write.partitionBy("source_type").parquet(table)
+    loaded = steps.load_step(spark, str(tmp_path / "upload0"), table, run_id="first")
+    before = sorted(values(loaded, "evidence_id", "title"))
+    assert [r[0] for r in before] == ["comment_c1", "post_p1", "post_q0"]
+    commit = KeyedTable._commit
+    for options in ({"reset": True}, {"mode": "update"}):
+        monkeypatch.setattr(KeyedTable, "_commit", lambda self, state: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            steps.load_step(spark, str(tmp_path / "upload1"), table, **options)
+        monkeypatch.setattr(KeyedTable, "_commit", commit)
+        # A reader that began before, and one that begins now.
+        assert sorted(values(loaded, "evidence_id", "title")) == before
+        assert sorted(values(steps.evidence_table(spark, table).read(), "evidence_id", "title")) == before
+    after = steps.load_step(spark, str(tmp_path / "upload1"), table, reset=True, run_id="second")
+    assert sorted(values(after, "evidence_id")) == [("comment_c1",), ("post_p1",), ("post_q1",)]
+    assert sorted(values(loaded, "evidence_id", "title")) == before
+    # The load of a run that came through does nothing when it is started again.
+    steps.load_step(spark, str(tmp_path / "upload0"), table, reset=True, run_id="second")
+    assert sorted(values(after, "evidence_id")) == [("comment_c1",), ("post_p1",), ("post_q1",)]

@@ -11,7 +11,7 @@ from forumlens import schemas
 from forumlens.operators.evidence import evidence_from_posts
 from forumlens.operators.filters import labelled
 from forumlens.operators.metrics import weekly_trend
-from forumlens.sources.tables import read_version
+from forumlens.sources.deltas import KeyedTable
 from forumlens.streaming.ingest import (
     latest,
     once_per_post,
@@ -55,11 +55,11 @@ def test_once_per_post_over_batches_and_restarts(spark, tmp_path):
         return stream_evidence(rows.select(F.concat_ws("/", "group_key", "id").alias("evidence_id"), "title"), table, state)
 
     run(start())
-    assert sorted(values(spark.read.parquet(table), "evidence_id")) == [("chevy/a",), ("chevy/b",), ("chevy/c",), ("gmc/a",)]
+    assert sorted(values(KeyedTable(spark, table, "evidence_id").read(), "evidence_id")) == [("chevy/a",), ("chevy/b",), ("chevy/c",), ("gmc/a",)]
     drop(spark, feed, [listing("cd")], POSTS)
     run(start())
-    assert sorted(values(spark.read.parquet(table), "evidence_id"))[3] == ("chevy/d",)
-    assert spark.read.parquet(table).count() == 5
+    assert sorted(values(KeyedTable(spark, table, "evidence_id").read(), "evidence_id"))[3] == ("chevy/d",)
+    assert KeyedTable(spark, table, "evidence_id").read().count() == 5
 
 
 def test_a_batch_run_again_adds_nothing(spark, tmp_path):
@@ -69,7 +69,7 @@ def test_a_batch_run_again_adds_nothing(spark, tmp_path):
         # A new state folder makes every batch come again.
         rows = stream(spark, feed, POSTS).select(F.concat(F.lit("post_"), "id").alias("evidence_id"), "title")
         run(stream_evidence(rows, table, str(tmp_path / f"state{attempt}")))
-    assert sorted(values(spark.read.parquet(table), "evidence_id")) == [("post_a",), ("post_b",), ("post_c",)]
+    assert sorted(values(KeyedTable(spark, table, "evidence_id").read(), "evidence_id")) == [("post_a",), ("post_b",), ("post_c",)]
     batch = evidence_from_posts(spark.read.schema(POSTS).parquet(str(feed)))
     assert sorted(values(batch, "evidence_id")) == [("post_a",), ("post_b",), ("post_c",)]
 
@@ -96,7 +96,7 @@ def test_labels_are_replaced(spark, tmp_path):
     second = first.filter("brand = 'GMC'").withColumn("brand", F.lit("Buick"))
     drop(spark, tmp_path / "feed", [first, second], None)
     run(stream_upsert(stream(spark, tmp_path / "feed", schemas.LABELS), str(tmp_path / "t"), str(tmp_path / "s")))
-    got = read_version(spark, str(tmp_path / "t"))
+    got = KeyedTable(spark, str(tmp_path / "t"), "evidence_id").read()
     assert got.count() == 20 and got.filter("brand = 'Buick'").count() == 5 and got.filter("brand = 'GMC'").count() == 0
 
 
@@ -128,6 +128,6 @@ def test_trend_matches_the_batch(spark, tmp_path, delay):
     drop(spark, tmp_path / "feed", parts, None)
     feed = stream(spark, tmp_path / "feed", parts[0].schema)
     run(stream_trend(feed, str(tmp_path / "t"), str(tmp_path / "s"), delay))
-    got = read_version(spark, str(tmp_path / "t"))
+    got = KeyedTable(spark, str(tmp_path / "t"), "week").read()
     assert sorted(values(got)) == values(weekly_trend(rows))
     assert sorted(values(weekly_counts(rows))) == values(weekly_trend(rows))
