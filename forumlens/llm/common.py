@@ -6,7 +6,7 @@ Words are runs of bytes other than space and 0x09-0x0D of the UTF-8 text, as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +107,17 @@ def binary_texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.large_binary()).to_pylist()
 
 
+def rows_where(docs: DataFrame, test: Callable[[list[bytes | None]], np.ndarray], name: str = "text") -> DataFrame:
+    """The rows of docs whose text passes a test of many texts, as they are and where they are: nothing is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = binary_texts(batch, name)
+            for first, last in slices(texts):
+                yield batch.slice(first, last - first).filter(pa.array(test(texts[first:last]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def slices(texts: list[bytes | None], size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows (first, last + 1) of about so many bytes; long texts stand alone."""
     first, held = 0, 0

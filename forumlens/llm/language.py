@@ -31,6 +31,8 @@ from forumlens.llm.pretokens import LETTER, kinds
 BUCKETS = 1 << 15
 #: Documents per language that the distributions are counted on.
 SAMPLE = 1000
+#: Languages at most: the model has a column for each.
+LANGUAGES = 1000
 #: Most estimates per set of languages, and the change at which they end.
 STEPS, STILL = 12, 1e-3
 #: Log-likelihood that one more language must bring, per unit of log(trigrams).
@@ -86,13 +88,16 @@ def _penalised(chance: np.ndarray, doc: np.ndarray, count: np.ndarray, starts: n
     """Proportions (docs x languages) within the allowed sets, and their log-likelihood."""
     share = allowed / allowed.sum(1, keepdims=True)
     total = np.add.reduceat(count, starts)[:, None]
+    moving = np.ones(len(starts), bool)
     for _ in range(STEPS):
         part = share[doc] * chance
         part *= (count / part.sum(1))[:, None]
         after = np.add.reduceat(part, starts, axis=0) / total
-        moved = np.abs(after - share).max()
-        share = after
-        if moved < STILL:
+        # Each document stops by itself: its result does not hang on its neighbours.
+        still = np.abs(after - share).max(1) < STILL
+        share = np.where(moving[:, None], after, share)
+        moving &= ~still
+        if not moving.any():
             break
     likelihood = np.add.reduceat(count * np.log((share[doc] * chance).sum(1)), starts)
     return share, likelihood
@@ -175,12 +180,19 @@ def fit(docs: DataFrame) -> Model:
     """Trigram distributions from documents with a lang outside the held-out fold, crc32(doc_id) mod 5 = 0.
 
     Per language the SAMPLE documents with the smallest hash of their id. What
-    reaches the driver is a row per language and bucket. Rows whose lang, id or
-    text is NULL are not used.
+    reaches the driver is a row per language and bucket, for LANGUAGES languages at most.
+    Rows whose lang, id or text is NULL are not used.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(
         "doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(fold(F.col("doc_id"), 5) != 0)
-    chosen = keep_top(known.select("doc_id", "lang"), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], SAMPLE)
+    sizes = known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    # Hashes are even: a bound on them leaves about four samples of each language to be ranked.
+    bound = [(r["lang"], -(1 << 63) + int((1 << 64) * min(1 - 2 ** -53, 4 * SAMPLE / r["count"]))) for r in sizes]
+    bounds = docs.sparkSession.createDataFrame(bound, "lang string, bound long")
+    few = known.select("doc_id", "lang").join(F.broadcast(bounds), "lang").filter(F.xxhash64("doc_id") <= F.col("bound")).drop("bound")
+    chosen = keep_top(few, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], SAMPLE)
     counts = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("lang", "text").mapInArrow(
         _counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     held: dict[str, np.ndarray] = {}
@@ -207,6 +219,15 @@ def _predicted(model: Model):
     return run
 
 
+def is_language(model: Model, least: float):
+    """A test of texts: whether a known language makes up so much of each."""
+    def run(texts: list[bytes | None]) -> np.ndarray:
+        names, scores = predict(model, texts)
+        return np.array([name != UNKNOWN and score >= least for name, score in zip(names, scores)], bool)
+
+    return run
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per row of docs (doc_id, text, lang).
 

@@ -199,6 +199,14 @@ def _scores(weights: Weights):
     return run
 
 
+def is_good(weights: Weights):
+    """A test of texts: whether label 1 is likelier for each."""
+    def run(texts: list[bytes | None]) -> np.ndarray:
+        return score(weights, texts) >= 0.5
+
+    return run
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs (doc_id, text).
 
