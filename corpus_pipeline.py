@@ -1,8 +1,12 @@
 """Corpus preparation in stages, each written and read again before the next.
 
-Quality and language stages look at one row at a time and join their verdict back
-by row, near de-duplication keeps the smallest doc_id of each group, and packing
-returns pieces in place of documents.
+The quality and the language stage decide about each row where it lies: the row
+goes through the model's task and comes out or not, so nothing is shuffled, and rows
+that repeat an id, or have none, are judged one by one. Near de-duplication numbers
+the rows, so that of each group one row stays: the one with the smallest doc_id (NULL
+last), of those the first. Packing returns pieces in place of documents. A NULL text
+counts as empty everywhere, an empty table stays empty, and columns besides doc_id,
+text and lang are carried along.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlens.llm import language, quality
-from forumlens.llm.common import table, written
+from forumlens.llm.common import rows_where, table, written
 from forumlens.llm.neardup import near_duplicates
 from forumlens.llm.packing import pack
 
@@ -19,27 +23,27 @@ from forumlens.llm.packing import pack
 LANGUAGE_SHARE = 0.5
 
 
-def _rows_named(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id (NULL too) is among the ids."""
-    named = ids.select(F.col("doc_id").alias("_named")).distinct()
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_named"]), "left_semi")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier gives a score of 0.5 or more."""
+    """Rows that the classifier gives a score of 0.5 or more; an empty text is scored like any other."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return _rows_named(docs, quality.classify(docs, labels).filter("predicted = 1"))
+    return rows_where(docs, quality.is_good(quality.fit(docs, labels)))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a known language that makes up half of them or more."""
-    found = language.identify(docs).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE))
-    return _rows_named(docs, found)
+    """Rows with a known language that makes up half of them or more; texts without a letter go."""
+    return rows_where(docs, language.is_language(language.fit(docs), LANGUAGE_SHARE))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    return _rows_named(docs, near_duplicates(docs, width=5, percent=80).filter("kept"))
+    """One row of each group of near copies, also of rows that share an id; rows without a word all stay."""
+    # Written with their numbers, which a task that runs again could give out otherwise.
+    rows = written(docs.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select(F.col("_number").alias("doc_id"), "text"), width=5, percent=80)
+    groups = found.select(F.col("doc_id").alias("_number"), "component_id").join(
+        rows.select("_number", F.col("doc_id").alias("_id")), "_number")
+    kept = groups.groupBy("component_id").agg(
+        F.min_by("_number", F.struct(F.col("_id").isNull(), "_id", "_number")).alias("_number"))
+    return rows.join(kept.select("_number"), "_number", "left_semi").drop("_number").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
