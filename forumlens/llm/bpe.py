@@ -10,6 +10,13 @@ order.
 A recursion keeps the rows of all its rounds, so words are fed in batches of
 bounded bytes, and a word that needs more than ROUNDS rounds goes on in another
 query from where it stood.
+
+A round merges one pair of a word, so a long word, a run of letters without end, is
+cut into pieces of PIECE bytes that are contracted side by side and then joined two
+and two. Ranks grow with every merge, hence ids are those of the whole word if each
+two neighbours among them stay as they are when their bytes are encoded alone. Where
+two pieces meet that is asked; if it does not hold, some tokens on either side are
+contracted again as one word, twice as many each time, until it does.
 """
 
 from __future__ import annotations
@@ -28,11 +35,13 @@ from forumlens.llm.common import binary_texts, slices
 from forumlens.llm.pretokens import KnownWords, encoded
 
 ROUNDS = 64
-#: Bytes of words in one recursive query, and ids in one decoding query.
-BATCH_BYTES, BATCH_IDS = 1 << 20, 1 << 20
+#: Bytes of words of up to SHORT bytes in one recursive query, and ids in one decoding query. Nothing spills: rows are bounded.
+BATCH_BYTES, SHORT, BATCH_IDS = 1 << 18, 16, 1 << 20
 #: Words of a generation whose ids a worker keeps.
 WORDS_KEPT = 300_000
 ENCODE_BYTES = 4 << 20
+#: Bytes of a piece of a long word, bytes of pieces in one query, and tokens on either side of a border that are first tried anew.
+PIECE, PIECE_BYTES, SEAM = 64, 1 << 17, 4
 
 CONTRACT = f"""
 WITH RECURSIVE state(round, word, pos, token, done) AS (
@@ -73,6 +82,8 @@ class DuckBpe:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+        self.piece_of = {rank: piece for piece, rank in ranks.items()}
+        self.keeps: dict[tuple[int, int], bool] = {}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs, merged = [], []
         for piece, rank in ranks.items():
@@ -81,7 +92,7 @@ class DuckBpe:
                 if left is not None and right is not None:
                     pairs.append((left << 32) + right)
                     merged.append(rank)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.con.execute("SET preserve_insertion_order = false")
         self._load("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "token": pa.array(merged, pa.int64())}))
         # Bytes as the characters of the same number: DuckDB concatenates text, not blobs.
@@ -124,11 +135,64 @@ class DuckBpe:
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and how many each has."""
-        runs = [
-            run for first, last in slices(words, BATCH_BYTES)
-            for run in map(self._contracted(words[first:last]).__getitem__, words[first:last])]
+        ids = self._batches([w for w in words if len(w) <= SHORT], BATCH_BYTES)
+        ids |= self._batches([w for w in words if SHORT < len(w) <= PIECE], PIECE_BYTES)
+        for word in words:
+            if len(word) > PIECE:
+                ids[word] = self._long(word)
+        runs = [ids[w] for w in words]
         return np.frombuffer(b"".join(runs), "<u4"), np.array([len(r) // 4 for r in runs], np.int64)
 
+    def _batches(self, words: list[bytes], size: int) -> dict[bytes, bytes]:
+        return {w: ids for i, j in slices(words, size) for w, ids in self._contracted(words[i:j]).items()}
+
+    def _long(self, word: bytes) -> bytes:
+        """Ids of a long word from those of its pieces."""
+        cut = [word[i:i + PIECE] for i in range(0, len(word), PIECE)]
+        found = self._batches(list(dict.fromkeys(cut)), PIECE_BYTES)
+        parts = [np.frombuffer(found[piece], "<u4").tolist() for piece in cut]
+        while len(parts) > 1:
+            odd = parts[len(parts) // 2 * 2:]
+            parts = self._joined(parts[:len(parts) // 2 * 2:2], parts[1::2]) + odd
+        return np.array(parts[0], "<u4").tobytes()
+
+    def _joined(self, lefts: list[list[int]], rights: list[list[int]]) -> list[list[int]]:
+        """Ids of left and right words as one, for each two of them."""
+        out: list[list[int] | None] = [None] * len(lefts)
+        keep = self._kept([(a[-1], b[0]) for a, b in zip(lefts, rights)])
+        for k, kept in enumerate(keep):
+            if kept:
+                out[k] = lefts[k] + rights[k]
+        width = SEAM
+        while todo := [k for k, done in enumerate(out) if done is None]:
+            seams = [self._bytes(lefts[k][-width:] + rights[k][:width]) for k in todo]
+            found = self._batches(list(dict.fromkeys(seams)), PIECE_BYTES)
+            middles = [np.frombuffer(found[s], "<u4").tolist() for s in seams]
+            heads, tails = [lefts[k][:-width] for k in todo], [rights[k][width:] for k in todo]
+            # A side that is used up has no border left.
+            asked = [(h[-1], m[0]) if h else None for h, m in zip(heads, middles)]
+            asked += [(m[-1], t[0]) if t else None for m, t in zip(middles, tails)]
+            kept = iter(self._kept([pair for pair in asked if pair]))
+            good = [pair is None or next(kept) for pair in asked]
+            for i, (k, head, middle, tail) in enumerate(zip(todo, heads, middles, tails)):
+                if good[i] and good[len(todo) + i]:
+                    out[k] = head + middle + tail
+            width *= 2
+        return out
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.piece_of.__getitem__, ids))
+
+    def _kept(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Whether two neighbouring tokens are the ids of their own bytes."""
+        new = [pair for pair in dict.fromkeys(pairs) if pair not in self.keeps]
+        if len(self.keeps) + len(new) > WORDS_KEPT:
+            self.keeps, new = {}, list(dict.fromkeys(pairs))
+        words = [self._bytes(list(pair)) for pair in new]
+        found = self._batches(list(dict.fromkeys(words)), PIECE_BYTES)
+        self.keeps.update((pair, found[w] == np.array(pair, "<u4").tobytes()) for pair, w in zip(new, words))
+        return [self.keeps[pair] for pair in pairs]
+
     def decoded(self, ids: np.ndarray, part: np.ndarray) -> dict[int, bytes]:
         """Bytes of each part of a run of ids; ``part`` numbers the part of each id."""
         rows = pa.table({"part": part, "pos": np.arange(len(ids)), "token": ids.astype(np.int64)})
@@ -174,7 +238,8 @@ def encode_decode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian 32-bit), decoded_sha256 for each row of docs (doc_id, text).
 
     A NULL text counts as empty: no ids, and the hash of no bytes. NULL and
-    repeated ids are rows like any other. Other columns are ignored.
+    repeated ids are rows like any other. Other columns are ignored. An empty table
+    gives no rows. A word may be as long as a text: the work grows with its bytes.
     """
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

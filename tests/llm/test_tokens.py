@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -153,3 +154,21 @@ def test_words_are_forgotten_and_learned_again(tokenizer):
         ids, at = pretokens.encoded([t.encode() for t in texts], coder)
         assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [tokenizer.encode(t).ids for t in texts]
         assert len(coder.known.hashes) <= 20
+
+
+@pytest.mark.parametrize("letters, size", [
+    ("abcdefghijklmnopqrstuvwxyz", 60_000), ("a", 100_000), ("ACGT", 40_000), ("étranger漢字кот", 30_000), ("-=_*", 30_000), ("the inand".replace(" ", ""), 50_000)])
+def test_a_long_word(library, letters, size):
+    rng = random.Random(size)
+    word = "".join(rng.choice(letters) for _ in range(size))
+    coder = bpe.duck_bpe(RANKS)
+    ids, _ = pretokens.encoded([word.encode()], coder.ids_of)
+    assert ids.tolist() == library.encode_ordinary(word)
+
+
+def test_a_word_of_a_megabyte(library):
+    rng = random.Random(1)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    began = time.monotonic()
+    ids, _ = pretokens.encoded([word.encode()], bpe.duck_bpe(RANKS).ids_of)
+    assert time.monotonic() - began < 180 and ids.tolist() == library.encode_ordinary(word)
