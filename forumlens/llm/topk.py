@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.functions.keyed import keep_top
@@ -196,10 +196,10 @@ def _searched(k: int):
     return run
 
 
-def _blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Vectors in packed blocks of about so many rows, dealt round robin."""
+def _blocks(vectors: DataFrame, size: int, number: Column) -> tuple[DataFrame, int]:
+    """Vectors in packed blocks of about so many rows, dealt by a number that a lost task would give out again."""
     count = max(1, -(-vectors.count() // size))
-    dealt = vectors.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(count)))
+    dealt = vectors.withColumn("block", F.pmod(number, F.lit(count).cast("long")))
     packed = dealt.groupBy("width", "block").applyInArrow(_packed, "width long, ids binary, vectors binary, block long")
     return packed, count
 
@@ -211,7 +211,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     or infinite component take no part, nor do empty ones and NULL ids; a query meets vectors of
     its own width only, and none of its own id. Ties go to the smaller vec_id. Of
     rows that repeat a query's id the smallest vector is the query; repeated data
-    rows are candidates each. Other columns are ignored.
+    rows are candidates each. Other columns are ignored; an empty table on either side
+    gives no rows. ``vectors`` is to be read from a table, not made by a shuffle.
     """
     def valid(df: DataFrame) -> DataFrame:
         vector = F.col("embedding").cast("array<double>")
@@ -221,8 +222,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         ).withColumn("width", F.size("vector").cast("long")).filter("width > 0")
 
     asked = valid(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("width", F.size("vector").cast("long"))
-    data, count = _blocks(valid(vectors), DATA_BLOCK)
-    packed, _ = _blocks(asked, QUERY_BLOCK)
+    # Rows of the data may repeat, so they are numbered where they are read; queries come out of a shuffle, once each.
+    data, count = _blocks(valid(vectors), DATA_BLOCK, F.monotonically_increasing_id())
+    packed, _ = _blocks(asked, QUERY_BLOCK, F.xxhash64("vec_id"))
     # A stated set of queries against all rows, block by block; the blocks of
     # the data, all of one size, are the keys of the join.
     meets = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
