@@ -209,8 +209,8 @@ def _scored(k: int, key: str):
     return run
 
 
-def _in_blocks(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, int]:
-    """(width, block, name): vectors dealt round robin to blocks of bounded size, and how many there are.
+def _in_blocks(df: DataFrame, name: str, number: Column, rows: int | None = None) -> tuple[DataFrame, int]:
+    """(width, block, name): vectors dealt by a number to blocks of bounded size, and how many there are.
 
     Rows without a vector, or with a NULL in it, are left out.
     """
@@ -219,7 +219,7 @@ def _in_blocks(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataF
     count, width = whole.agg(F.count("*"), F.max("width")).first()
     per_block = max(1, min(PAGE_BYTES // (8 * (width or 1)), rows or PAGE_BYTES))
     blocks = max(1, -(-count // per_block))
-    dealt = whole.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+    dealt = whole.withColumn("block", F.pmod(number, F.lit(blocks).cast("long")))
     items = F.collect_list(F.struct(*df.columns)).alias(name)
     return dealt.groupBy("width", "block").agg(items), blocks
 
@@ -239,15 +239,17 @@ def retrieve(
     neither side is held by the driver and no pair of question and chunk leaves
     its task. Rows without a vector take no part, and vectors meet only those of
     their width. Scores are rounded so that the order of equals goes by key and
-    does not depend on how rows were batched.
+    does not depend on how rows were batched. ``index`` is to be read from a table.
     """
     key_type, id_type = dict(index.dtypes)[key], dict(questions.dtypes)[question_id]
     if k <= 0:
         return index.select(
             F.lit(None).cast(id_type).alias(question_id), key, F.lit(0.0).alias("score"), F.lit(1).alias("rank")
         ).limit(0)
-    told, count = _in_blocks(index.select(key, "embedding"), "told")
-    asked, _ = _in_blocks(questions.select(question_id, "embedding"), "asked", PAGE_ROWS // k)
+    # A task that runs again must deal alike: the index is read from a table, questions may come out of a shuffle.
+    told, count = _in_blocks(index.select(key, "embedding"), "told", F.monotonically_increasing_id())
+    asked, _ = _in_blocks(
+        questions.select(question_id, "embedding"), "asked", F.xxhash64(question_id, "embedding"), PAGE_ROWS // k)
     # Blocks of the index are all of one size, so their numbers are even keys.
     meets = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block")
     pairs = told.join(asked.select("width", "asked", meets), ["width", "block"]).select("asked", "told")
