@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,13 +112,25 @@ def rows_where(docs: DataFrame, test: Callable[[list[bytes | None]], np.ndarray]
     """The rows of docs whose text passes a test of many texts, as they are and where they are: nothing is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary_texts(batch, name)
-            for first, last in slices(texts):
-                yield batch.slice(first, last - first).filter(pa.array(test(texts[first:last]), pa.bool_()))
+            for first, last, texts in text_slices(batch, name):
+                yield batch.slice(first, last - first).filter(pa.array(test(texts), pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def text_slices(batch: pa.RecordBatch, name: str, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Runs of rows (first, last + 1) of about so many bytes with their texts; only those of one run are copied."""
+    column = batch.column(name)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        done = ends[first - 1] if first else 0
+        last = min(int(np.searchsorted(ends, done + size)) + 1, len(ends))
+        yield first, last, column.slice(first, last - first).cast(pa.large_binary()).to_pylist()
+        first = last
+
+
 def slices(texts: list[bytes | None], size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows (first, last + 1) of about so many bytes; long texts stand alone."""
     first, held = 0, 0

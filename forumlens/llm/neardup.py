@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.llm.common import binary_texts, mixed, shingle_hashes, slices, word_hashes, words_of, written
+from forumlens.llm.common import binary_texts, mixed, shingle_hashes, slices, text_slices, word_hashes, words_of, written
 from forumlens.llm.components import components
 
 BANDS, ROWS = 48, 6
@@ -95,9 +95,9 @@ def _sketch(width: int, bands: int, rows: int):
                 yield from sketched(batch.slice(begin, ROWS_AT_ONCE))
 
     def sketched(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, ids = binary_texts(batch, "text"), batch.column("doc_id")
-        for first, last in slices(texts):
-            sets = shingle_sets(texts[first:last], width)
+        ids = batch.column("doc_id")
+        for first, last, texts in text_slices(batch, "text"):
+            sets = shingle_sets(texts, width)
             full = [s for s in sets if len(s)]
             keys = iter(band_keys(circulant_signatures(full, bands * rows), bands, rows) if full else ())
             yield pa.record_batch({

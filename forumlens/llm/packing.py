@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forumlens.llm.common import binary_texts, slices, written
+from forumlens.llm.common import text_slices, written
 from forumlens.llm.pretokens import encoded, word_ids
 
 CAPACITY = 2048
@@ -45,9 +45,9 @@ def _pieces(tokenizer: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer)
         for batch in batches:
-            texts, doc_ids = binary_texts(batch, "text"), batch.column("doc_id").to_pylist()
-            for first, last in slices(texts, ENCODE_BYTES):
-                ids, at = encoded(texts[first:last], ids_of)
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, last, texts in text_slices(batch, "text", ENCODE_BYTES):
+                ids, at = encoded(texts, ids_of)
                 rows = []
                 for doc_id, i, j in zip(doc_ids[first:last], at[:-1], at[1:]):
                     own = np.append(ids[i:j], np.uint32(END_ID)).astype("<u4")
@@ -166,8 +166,11 @@ def pack(
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     sequence_length (tokens of the sequence before padding). A NULL or empty text
     is the end id alone. Rows that repeat a doc_id, and NULL ids, are packed like
-    any other row. Columns other than doc_id and text are ignored.
+    any other row. Columns other than doc_id and text are ignored. An empty table
+    gives no rows. ``capacity`` is a multiple of ``unit``.
     """
+    if capacity <= 0 or capacity % unit:
+        raise ValueError(f"capacity {capacity} is no multiple of {unit}")
     spark = docs.sparkSession
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -172,3 +172,8 @@ def test_a_word_of_a_megabyte(library):
     began = time.monotonic()
     ids, _ = pretokens.encoded([word.encode()], bpe.duck_bpe(RANKS).ids_of)
     assert time.monotonic() - began < 180 and ids.tolist() == library.encode_ordinary(word)
+
+
+def test_capacity_must_hold_whole_units(spark):
+    with pytest.raises(ValueError):
+        packing.pack(no_docs(spark), capacity=100)
