@@ -20,6 +20,7 @@ from catalogue.queries import (
     query,
 )
 from forumlens.operators import merge
+from forumlens.operators.located import retrieve_located, write_located
 from forumlens.plans import steps
 from forumlens.schemas import EVIDENCE
 from forumlens.session import scratch_folder
@@ -205,6 +206,25 @@ def stored_index(spark, sf):
         *[F.round(F.col("embedding")[i].cast("double"), 4).alias(f"v_{c}") for i, c in enumerate(LETTERS)])
 
 
+def _located(spark, sf, questions: DataFrame) -> DataFrame:
+    index = b.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    blocks = write_located(index, scratch_folder(spark, "located"), "vec_id")
+    return retrieve_located(questions, blocks, 5, key="vec_id").top
+
+
+@query
+def retrieve_located_topk(spark, sf):
+    """One question per topic to an index whose blocks know where they lie."""
+    return _located(spark, sf, b.topic_questions(spark, sf))
+
+
+@query
+def retrieve_located_all(spark, sf):
+    """Every vector as a question to it."""
+    vectors = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding")
+    return _located(spark, sf, vectors)
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 def _done(writer) -> None:

@@ -51,6 +51,8 @@ STORED_ORACLES: dict[str, str] = {
         SELECT CAST(doc_id AS VARCHAR) AS post_id, round({LETTER_NORM}, 4) AS norm,
                {', '.join(f"round(CAST(CAST(CASE WHEN {LETTER_NORM} = 0 THEN 0 ELSE {LETTER.format(c)} / {LETTER_NORM} END AS FLOAT) AS DOUBLE), 4) AS v_{c}" for c in 'aeio')}
         FROM documents""",
+    "retrieve_located_topk": ORACLES["retrieve_topk"],
+    "retrieve_located_all": ORACLES["retrieve_all"],
     "stream_ingest_seeded": """
         SELECT DISTINCT upper(event_type) AS subreddit, CAST(user_id AS VARCHAR) AS id FROM events
         EXCEPT SELECT upper(event_type), CAST(user_id AS VARCHAR) FROM events WHERE ts < TIMESTAMP '2024-01-08'""",
