@@ -14,12 +14,15 @@ from catalogue.queries import (
     _combined,
     _crawls,
     _event_stream,
+    _joined,
     _relabelled,
     _two_loads,
     letter_counts,
     query,
 )
 from forumlens.operators import merge
+from forumlens.operators.distinct import author_cells, author_numbers, count_authors
+from forumlens.operators.filters import Filters
 from forumlens.operators.located import retrieve_located, write_located
 from forumlens.plans import steps
 from forumlens.schemas import EVIDENCE
@@ -90,6 +93,28 @@ def delta_load_update(spark, sf):
     return _evidence_loads(spark, sf, "update")
 
 
+# --- authors counted from a rollup ---------------------------------------------------------
+
+def _author_cells(spark, sf) -> DataFrame:
+    rows, folder = _joined(spark, sf), scratch_folder(spark, "cells")
+    numbers = author_numbers(rows)
+    numbers.write.parquet(f"{folder}/numbers")
+    kept = spark.read.schema(numbers.schema).parquet(f"{folder}/numbers")
+    cells = author_cells(rows, kept)
+    cells.write.parquet(f"{folder}/cells")
+    return spark.read.schema(cells.schema).parquet(f"{folder}/cells")
+
+
+@query
+def rollup_pain_authors(spark, sf):
+    return count_authors(_author_cells(spark, sf), pain=True)
+
+
+@query
+def rollup_authors_by_brand(spark, sf):
+    return count_authors(_author_cells(spark, sf), Filters(source_type=["post"]), by=["brand"])
+
+
 # --- a label run ---------------------------------------------------------------------------
 
 def by_length(prompt: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalogue.oracles import COMBINED, COUNT, EVIDENCE, LETTER, LETTER_NORM, LOADS, MONDAY, ORACLES, POSTS, RUNS
+from catalogue.oracles import COMBINED, COUNT, EVIDENCE, JOINED, LABELS, LETTER, LETTER_NORM, LOADS, MONDAY, ORACLES, POSTS, RUNS
 
 ISO = ("strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({0}) % 1000000 = 0 THEN '' "
        "ELSE '.' || strftime({0}, '%f') END || '+00:00'")
@@ -19,6 +19,10 @@ STORED_ORACLES: dict[str, str] = {
     "delta_merge_stats": ORACLES["merge_stats"],
     "delta_load_ignore": ORACLES["insert_or_ignore"],
     "delta_load_update": ORACLES["evidence_update"],
+    "rollup_pain_authors": ORACLES["unique_pain_authors"],
+    "rollup_authors_by_brand": f"""WITH {EVIDENCE + LABELS + JOINED}
+        SELECT brand, count(DISTINCT author) AS unique_authors FROM joined
+        WHERE source_type = 'post' AND author <> '[deleted]' GROUP BY brand""",
     "label_run_labels": f"""WITH {PROMPTS}
         SELECT evidence_id, CASE WHEN n % 2 = 1 THEN 'Chevy' ELSE 'GMC' END AS brand, 'unknown' AS model,
                'unknown' AS powertrain, n % 3 = 0 AS is_pain_point, CAST(NULL AS VARCHAR) AS pain_theme,
