@@ -118,7 +118,8 @@ def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
 
     A NULL or empty text has no words, so it fails the base rules. A NULL source
     is a host of its own, and rows with a NULL doc_id count as one document of
-    their host, as rows that repeat an id do. Other columns are ignored.
+    their host, as rows that repeat an id do. Other columns are ignored. An empty
+    table gives no rows.
     """
     texts = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
@@ -129,8 +130,8 @@ def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
     lines = measured.select("row", "host", "doc_id", F.explode(F.arrays_zip("lines", "words")).alias("of")).select(
         "row", "host", "doc_id", F.col("of.lines").alias("line"), F.col("of.words").alias("words"))
     # First one row per document, so that no line of a hot host meets in one task.
-    common = lines.groupBy("host", "line").agg(
-        F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(-1).cast("long"))).alias("docs")).filter(F.col("docs") > line_docs)
+    documents = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
+    common = lines.groupBy("host", "line").agg(documents.alias("docs")).filter(F.col("docs") > line_docs)
     gone = lines.join(common.select("host", "line"), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("gone"))
     rows = measured.select("row", "doc_id", *COUNTS).join(gone, "row", "left")
     kept_words = F.col("n_words") - F.coalesce("gone", F.lit(0))

@@ -72,7 +72,7 @@ three AS (
     WHERE regexp_matches(line, '{WORD}')
 ), dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
 common AS (
-    SELECT host, normal FROM l GROUP BY host, normal HAVING count(DISTINCT coalesce(doc_id, -1)) > {lines.LINE_DOCS}
+    SELECT host, normal FROM l GROUP BY host, normal HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INTEGER)) > {lines.LINE_DOCS}
 ), gone AS (SELECT rid, sum(words) AS gone FROM l JOIN common USING (host, normal) GROUP BY rid),
 m AS (
     SELECT doc_id, len(w)::BIGINT AS n_words,

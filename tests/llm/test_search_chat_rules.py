@@ -271,3 +271,11 @@ def test_pipeline_takes_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF_DIR)
     assert empty.count() == 0
+
+
+def test_a_missing_id_is_a_document_of_its_own(spark):
+    line = "one line that three documents share and no other"
+    rows = [(i, f"{line}\n" + " ".join(f"w{n}x{i}" for n in range(80)), "s") for i in (-1, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = {limit: {r["n_words"] - r["kept_words"] for r in lines.quality_rules(docs, limit).collect()} for limit in (2, 3)}
+    assert gone == {2: {len(line.split())}, 3: {0}}
