@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.llm.common import binary_texts, mixed, shingle_hashes, slices, text_slices, word_hashes, words_of, written
+from forumlens.llm.common import binary_texts, hand_back, mixed, shingle_hashes, slices, text_slices, word_hashes, words_of, written
 from forumlens.llm.components import components
 
 BANDS, ROWS = 48, 6
@@ -93,6 +93,7 @@ def _sketch(width: int, bands: int, rows: int):
         for batch in batches:
             for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
                 yield from sketched(batch.slice(begin, ROWS_AT_ONCE))
+            hand_back()
 
     def sketched(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forumlens.llm.common import text_slices, written
+from forumlens.llm.common import hand_back, text_slices, written
 from forumlens.llm.pretokens import encoded, word_ids
 
 CAPACITY = 2048
@@ -59,6 +59,7 @@ def _pieces(tokenizer: str, capacity: int):
                     name: pa.array(column, pa.int64())
                     for name, column in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), columns)
                 })
+            hand_back()
 
     return run
 
