@@ -552,7 +552,8 @@ def embed_hash(spark, sf):
     """Conversation chunks as hashed word counts, one row per bucket in use."""
     chunks = retrieval.build_chunks(b.posts(spark, sf), b.comments(spark, sf))
     index = retrieval.build_index(retrieval.embed(chunks))
-    buckets = index.select("post_id", F.posexplode("embedding").alias("bucket", "weight")).filter("weight > 0")
+    # The outer form infers no filter on the vector, which would make it a second time.
+    buckets = index.select("post_id", F.posexplode_outer("embedding").alias("bucket", "weight")).filter("weight > 0")
     return buckets.withColumn("weight", F.round(F.col("weight").cast("double"), 3))
 
 

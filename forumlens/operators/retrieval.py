@@ -133,11 +133,12 @@ def embed(
 
 def build_index(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """Scale vectors to length 1; a zero vector stays zero."""
-    norm = F.col("norm")
+    # The norm is no part of the lambda: where Spark moves a filter on the vector down, it would be worked out per element.
+    norms = F.array_repeat("norm", F.size(vector))
     return df.withColumn("norm", l2_norm(F.col(vector))).withColumn(
         vector,
-        F.transform(
-            vector, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x.cast("double") / norm).cast("float")
+        F.zip_with(
+            vector, norms, lambda x, norm: F.when(norm == 0, F.lit(0.0)).otherwise(x.cast("double") / norm).cast("float")
         ),
     )
 

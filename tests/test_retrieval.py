@@ -124,3 +124,18 @@ def test_injected_embedder_gets_small_batches(spark):
 def test_build_index(spark):
     df = rt.build_index(index(spark, [[3, 4], [0, 0]]))
     assert sorted((r.norm, [round(x, 6) for x in r.embedding]) for r in df.collect()) == [(0.0, [0, 0]), (5.0, [0.6, 0.8])]
+
+
+def test_the_norm_is_not_worked_out_per_element(spark):
+    chunks = spark.createDataFrame([("a", "one two"), ("b", ""), ("c", None)], "post_id string, text string")
+    buckets = rt.build_index(rt.embed(chunks)).select("post_id", F.posexplode("embedding").alias("bucket", "weight")).filter("weight > 0")
+    assert values(buckets.groupBy("post_id").count()) == [("a", 2)]
+    # Spark moves a filter on the vector down to where it is made; the length is then no part of a lambda.
+    plan = buckets._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(" in plan and "CASE WHEN (SQRT(" not in plan
+
+
+def test_vectors_without_a_length(spark):
+    df = spark.createDataFrame([(0, None), (1, []), (2, [1.0, None]), (3, [0.0, 0.0])], "n int, embedding array<float>")
+    got = {r.n: (r.embedding, r.norm) for r in rt.build_index(df).collect()}
+    assert got == {0: (None, None), 1: ([], 0.0), 2: ([None, None], None), 3: ([0.0, 0.0], 0.0)}
