@@ -580,9 +580,13 @@ def export_scan_mixed_headers(spark, sf):
 
 # --- streams and status -----------------------------------------------------------------
 
+def _stream_of(spark, sf, name):
+    """A table as a stream, be it one file or a folder of files; the braces make its path a pattern, as a stream needs of a file."""
+    return spark.readStream.schema(b.table(spark, sf, name).schema).parquet(f"{sf}/{{{name}.parquet}}")
+
+
 def _event_stream(spark, sf):
-    schema = b.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return _stream_of(spark, sf, "events")
 
 
 @query
@@ -617,9 +621,7 @@ def stream_ingest_within(spark, sf):
 @query
 def stream_evidence_load(spark, sf):
     """Documents as a stream of evidence, loaded batch by batch."""
-    schema = b.table(spark, sf, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    rows = docs.select(
+    rows = _stream_of(spark, sf, "documents").select(
         F.concat(F.lit("post_"), F.col("doc_id").cast("string")).alias("evidence_id"),
         F.col("source").alias("subreddit"), F.col("text"),
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue.queries import QUERIES
 from forumlens import schemas
 from forumlens.operators.evidence import evidence_from_posts
 from forumlens.operators.filters import labelled
@@ -131,3 +133,16 @@ def test_trend_matches_the_batch(spark, tmp_path, delay):
     got = KeyedTable(spark, str(tmp_path / "t"), "week").read()
     assert sorted(values(got)) == values(weekly_trend(rows))
     assert sorted(values(weekly_counts(rows))) == values(weekly_trend(rows))
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_that_are_folders_come_as_streams(spark, tmp_path, files):
+    sf = tmp_path / "tables"
+    docs = spark.range(6).selectExpr("id AS doc_id", "'web' AS source", "concat('text ', id) AS text")
+    docs.repartition(files).write.parquet(str(sf / "documents.parquet"))
+    spark.createDataFrame([(1, "click", 7), (2, "click", 7)], "event_id long, event_type string, user_id long").coalesce(1).write.parquet(
+        str(tmp_path / "one"))
+    shutil.copy(next((tmp_path / "one").glob("*.parquet")), sf / "events.parquet")
+    found = QUERIES["stream_evidence_load"](spark, str(sf))
+    assert sorted(values(found, "evidence_id", "text")) == [(f"post_{n}", f"text {n}") for n in range(6)]
+    assert values(QUERIES["stream_ingest_dedupe"](spark, str(sf))) == [("click_7", "click", "7")]
