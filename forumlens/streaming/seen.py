@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from forumlens.functions.columns import present
+from forumlens.session import SETTINGS, STATE_STORE
 
 #: Columns that make up the key of a post.
 KEY = ["group_key", "post_key"]
@@ -66,10 +67,15 @@ def once_per_new_post(
     post that comes several times in one batch the row with the smallest ``order`` is
     emitted, any of them without it. Rows without an id are dropped.
 
+    Such state needs RocksDB, so the session's state store is set to it; a stream that has a
+    checkpoint goes on with the store it began with.
+
     The feed's columns must not be called ``group_key`` or ``post_key``. Unlike ``once_per_post``
     this asks Python once per post of a batch; the state lies in RocksDB either way.
     """
     out = T.StructType(feed.schema.fields)
+    # Read when the stream starts; a session that was not made by ``configure`` has a store that cannot hold this state.
+    feed.sparkSession.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
     initial = None
     if stored is not None:
         # One row per post: copies would be handed over as separate values of a key.

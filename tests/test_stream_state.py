@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from forumlens.session import STATE_STORE
 from forumlens.sources.deltas import KeyedTable
 from forumlens.streaming.ingest import stream_append
 from forumlens.streaming.seen import once_per_new_post
@@ -118,3 +119,15 @@ def test_joined_trend(spark, tmp_path):
             counts[2] += 1
     table = KeyedTable(spark, str(tmp_path / "t"), "week")
     assert {r.week: [r.pain_points, r.delights, r.labeled] for r in table.read().collect()} == wanted
+
+
+def test_seeded_state_in_a_session_with_another_store(spark, tmp_path):
+    key, ours = STATE_STORE, spark.conf.get(STATE_STORE)
+    spark.conf.set(key, ours.replace("RocksDBStateStoreProvider", "HDFSBackedStateStoreProvider"))
+    try:
+        stored = spark.createDataFrame([("a", "Chevy")], "id string, subreddit string")
+        drop(spark, tmp_path / "feed", [[("a", "Chevy", 1), ("b", "Chevy", 2)]], FEED)
+        run(seeded(spark, tmp_path, "s", stored))
+        assert values(spark.read.schema(FEED).parquet(str(tmp_path / "t-s")), "id") == [("b",)]
+    finally:
+        spark.conf.set(key, ours)
