@@ -25,6 +25,7 @@ from forumlens.schemas import LABELS
 
 # What a labeler is asked and says.
 ANSWERS = "evidence_id string, raw string, error string"
+ASKED = ANSWERS + ", prompt string, tries int"
 # Labels as a labeler may return them: every field as text.
 RAW_FIELDS = [f.name for f in LABELS if f.name != "evidence_id"]
 
@@ -134,38 +135,62 @@ def ask_labeler(
     has not answered is left out of the result.
 
     The labeler mostly waits for a model, so each task asks from a few threads.
+    What failed is asked again once the rest of its batch was, after one wait for all of it.
     A queue of short texts would be packed into few tasks; it is spread over
     more, four per core unless ``partitions`` says otherwise, which also keeps
     small what a lost executor has to ask again.
     """
+    prompts = with_prompt(queue, text_chars).select("evidence_id", "prompt", F.lit(0).alias("tries"))
+    return _dealt(prompts, partitions).mapInPandas(_asking(labeler, workers, retries, backoff), ASKED).select(
+        "evidence_id", "raw", "error")
+
+
+def ask_once(
+    prompts: DataFrame, labeler: Callable[[str], str], workers: int = LABEL_WORKERS, partitions: int | None = None
+) -> DataFrame:
+    """Send each of (evidence_id, prompt, tries) to a labeler as ``ask_labeler`` does, but without a second try.
+
+    Returns (evidence_id, raw, error, prompt, tries); the prompt comes back where it failed.
+    """
+    return _dealt(prompts, partitions).mapInPandas(_asking(labeler, workers, 0, 0.0), ASKED)
+
+
+def _dealt(prompts: DataFrame, partitions: int | None) -> DataFrame:
+    return prompts.repartition(partitions or 4 * prompts.sparkSession.sparkContext.defaultParallelism, "evidence_id")
+
+
+def _asking(labeler: Callable[[str], str], workers: int, retries: int, backoff: float):
     def ask(prompt: str, down: threading.Event) -> tuple[str | None, str | None] | None:
-        last = None
-        for attempt in range(retries + 1):
-            if down.is_set():
-                return None
-            try:
-                return labeler(prompt), None
-            except LabelerDown:
-                down.set()
-                return None
-            except Exception as problem:
-                last = f"{type(problem).__name__}: {problem}"
-                if attempt < retries:
-                    time.sleep(backoff * 2 ** attempt)
-        return None, last
+        if down.is_set():
+            return None
+        try:
+            return labeler(prompt), None
+        except LabelerDown:
+            down.set()
+            return None
+        except Exception as problem:
+            return None, f"{type(problem).__name__}: {problem}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         down = threading.Event()
         with ThreadPoolExecutor(max_workers=workers) as pool:
             for batch in batches:
-                answers = list(pool.map(ask, batch["prompt"], itertools.repeat(down)))
-                told = [(i, *a) for i, a in zip(batch["evidence_id"], answers) if a is not None]
-                yield pd.DataFrame(told, columns=["evidence_id", "raw", "error"], dtype=object)
-
-    prompts = with_prompt(queue, text_chars).select("evidence_id", "prompt")
-    tasks = partitions or 4 * queue.sparkSession.sparkContext.defaultParallelism
-    prompts = prompts.repartition(tasks, "evidence_id")
-    return prompts.mapInPandas(run, ANSWERS)
+                prompts = batch["prompt"].tolist()
+                answers = list(pool.map(ask, prompts, itertools.repeat(down)))
+                for attempt in range(retries):
+                    failed = [i for i, a in enumerate(answers) if a is not None and a[1] is not None]
+                    if not failed:
+                        break
+                    if not down.is_set():
+                        time.sleep(backoff * 2 ** attempt)
+                    for i, answer in zip(failed, pool.map(ask, [prompts[i] for i in failed], itertools.repeat(down))):
+                        answers[i] = answer
+                told = [
+                    (i, *a, p if a[1] is not None else None, n)
+                    for i, a, p, n in zip(batch["evidence_id"], answers, prompts, batch["tries"].tolist()) if a is not None]
+                yield pd.DataFrame(told, columns=["evidence_id", "raw", "error", "prompt", "tries"], dtype=object)
+
+    return run
 
 
 def label_evidence(

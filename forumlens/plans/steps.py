@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -10,10 +12,20 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forumlens.fixed import LABEL_RETRIES
 from forumlens.functions.keyed import arrival, keep_one
 from forumlens.operators.collect import collect, date_window, new_run_id, save, seen_ids
 from forumlens.operators.evidence import load_evidence
-from forumlens.operators.labels import ANSWERS, LabelerDown, ask_labeler, label_queue, parse_labels, rule_labels
+from forumlens.operators.labels import (
+    ANSWERS,
+    ASKED,
+    LabelerDown,
+    ask_once,
+    label_queue,
+    parse_labels,
+    rule_labels,
+    with_prompt,
+)
 from forumlens.operators.merge import merge_into
 from forumlens.operators.retrieval import build_index, embed
 from forumlens.schemas import EVIDENCE
@@ -25,6 +37,8 @@ from forumlens.sources.tables import read_version, write_version
 
 #: Prompts of a chunk of a label run, and chunks at most: a commit costs some seconds.
 LABEL_CHUNK, LABEL_CHUNKS = 2000, 200
+#: Buckets of a new log of answers.
+LOG_BUCKETS = 8
 
 
 def merge_step(spark: SparkSession, folder: str, exports: list[DataFrame], reset: bool = False) -> DataFrame:
@@ -154,11 +168,12 @@ def label_run(
 
 
 def answer_queue(
-    queue: DataFrame, labeler: Callable[[str], str], answers: str, run_id: str, chunk: int = LABEL_CHUNK
+    queue: DataFrame, labeler: Callable[[str], str], answers: str, run_id: str, chunk: int = LABEL_CHUNK, backoff: float = 1.0
 ) -> tuple[KeyedTable, DataFrame]:
     """Ask a labeler what the log of answers lacks: the log, and the ids of the queue."""
     spark = queue.sparkSession
-    log = KeyedTable(spark, answers, "evidence_id")
+    # Every chunk writes a file per bucket it touches, and nothing compacts the log: few buckets.
+    log = KeyedTable(spark, answers, "evidence_id", buckets=LOG_BUCKETS)
     staged, known = scratch_folder(spark, "queue"), log.read()
     rows = spark.read.schema(queue.schema).parquet(_written(queue, staged))
     left = rows
@@ -167,21 +182,41 @@ def answer_queue(
         done = good.select("evidence_id").unionByName(known.filter(F.col("run_id") == run_id).select("evidence_id"))
         left = rows.join(done, "evidence_id", "left_anti").select(*rows.columns)
     # Dealt once, so that a chunk reads its own prompts only.
-    chunks = max(1, min(LABEL_CHUNKS, -(-left.count() // chunk)))
+    count = left.count()
+    chunks = max(1, min(LABEL_CHUNKS, -(-count // chunk)))
     dealt = scratch_folder(spark, "chunks")
     left.withColumn("_chunk", F.pmod(F.xxhash64("evidence_id"), F.lit(chunks))).write.partitionBy("_chunk").parquet(dealt)
-    for number in range(chunks):
-        if not path_exists(spark, f"{dealt}/_chunk={number}"):
-            continue
-        own = spark.read.schema(rows.schema).parquet(f"{dealt}/_chunk={number}")
+    # A row per chunk.
+    sizes = dict(spark.read.parquet(dealt).groupBy("_chunk").count().collect()) if count else {}
+    # What failed is asked again along with a later chunk: its wait holds up no task and no other prompt.
+    ahead, failed, begun = sorted(sizes), [], 0
+    while ahead or failed:
+        if not ahead:
+            time.sleep(max(0.0, min(due for due, _, _ in failed) - time.monotonic()))
+        now = time.monotonic()
+        frames, n_asked = [f for due, _, f in failed if due <= now], sum(n for due, n, _ in failed if due <= now)
+        failed = [f for f in failed if f[0] > now]
+        if ahead:
+            number, begun = ahead.pop(0), begun + 1
+            n_asked += sizes[number]
+            frames.append(with_prompt(spark.read.schema(rows.schema).parquet(f"{dealt}/_chunk={number}")).select(
+                "evidence_id", "prompt", F.lit(0).alias("tries")))
         told = scratch_folder(spark, "answers")
         # Written before anything counts or moves them: nothing is asked twice.
-        ask_labeler(own, labeler).write.parquet(told)
-        found = spark.read.schema(ANSWERS).parquet(told).withColumn("run_id", F.lit(run_id))
-        log.upsert(found, order=[F.lit(0)])
-        missing = own.count() - found.count()
+        ask_once(functools.reduce(DataFrame.unionByName, frames), labeler).write.parquet(told)
+        now = time.monotonic()
+        found = spark.read.schema(ASKED).parquet(told)
+        again = F.col("error").isNotNull() & (F.col("tries") < LABEL_RETRIES)
+        n_tries = {r["tries"]: r["count"] for r in found.groupBy(F.when(again, F.col("tries")).alias("tries")).count().collect()}
+        if None in n_tries:
+            log.upsert(found.filter(~again).select("evidence_id", "raw", "error", F.lit(run_id).alias("run_id")), order=[F.lit(0)])
+        missing = n_asked - sum(n_tries.values())
         if missing:
-            raise LabelerDown(f"the labeler stopped {missing} prompts before the end of chunk {number + 1} of {chunks}")
+            raise LabelerDown(f"the labeler stopped {missing} prompts before the end of chunk {begun} of {len(sizes)}")
+        failed += [
+            (now + backoff * 2 ** t, n, found.filter(again & (F.col("tries") == t)).select(
+                "evidence_id", "prompt", F.lit(t + 1).alias("tries")))
+            for t, n in n_tries.items() if t is not None]
     if log.state() is None:
         log.upsert(spark.createDataFrame([], f"{ANSWERS}, run_id string"))
     return log, rows.select("evidence_id")

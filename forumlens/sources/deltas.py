@@ -240,7 +240,8 @@ class KeyedTable:
         # Every row without a key is a group of its own; the batch is read once.
         alone = rows.withColumn("_alone", F.when(~has_key, F.monotonically_increasing_id()))
         one = keep_one(alone, [self.key, "_alone"], order or arrival(rows, newest_first=mode == "update")).drop("_alone")
-        stored = None if state is None else self.read(state, [self.key])
+        # Only where it is asked: a table of many runs has many folders to be listed.
+        stored = None if state is None or not (count or mode == "ignore") else self.read(state, [self.key])
         if mode == "ignore" and stored is not None:
             one = not_stored(one, stored, [self.key], rows.filter(has_key))
         one = one.drop(*drop)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
+from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -235,3 +238,42 @@ def test_answers_of_a_killed_run_are_kept(spark, tmp_path, monkeypatch):
     assert 0 < logged < first <= 20
     done = steps.label_run(evidence(spark), table, answers, counting_labeler(str(notes), 99), chunk=50)
     assert done.labels.count() == 19 and 20 - logged <= len(asked(notes)) - first <= 21 - logged
+
+
+def test_prompts_that_fail_hold_up_no_other(spark, tmp_path, monkeypatch):
+    """Waits of failures are shared: by all of a batch, and in a run by later chunks."""
+    (notes := tmp_path / "notes").mkdir()
+
+    def refusing(prompt):
+        import hashlib
+        import os
+        import uuid
+
+        open(os.path.join(str(notes), f"{hashlib.md5(prompt.encode()).hexdigest()}-{uuid.uuid4().hex}"), "w").close()
+        raise RuntimeError("refused")
+
+    began = time.monotonic()
+    _, bad = lb.label_evidence(evidence(spark), refusing, workers=1, partitions=1, backoff=1.0)
+    # One wait of 1 s and one of 2 s for all twenty.
+    assert bad.filter("error = 'RuntimeError: refused'").count() == 20 and 3 <= time.monotonic() - began < 20
+    assert Counter(Counter(asked(notes)).values()) == {3: 20}
+    tasks, slept = [], []
+    kept = steps.ask_once
+    monkeypatch.setattr(steps, "ask_once", lambda prompts, *a: tasks.append(prompts.count()) or kept(prompts, *a))
+    clock = SimpleNamespace(monotonic=time.monotonic, sleep=lambda s: slept.append(s) or time.sleep(s))
+    monkeypatch.setattr(steps, "time", clock)
+    done = steps.label_run(evidence(spark), str(tmp_path / "labels"), str(tmp_path / "answers"), refusing, run_id="r", chunk=4)
+    assert done.failures.count() == 20 and done.labels.count() == 0
+    assert Counter(Counter(asked(notes)).values()) == {6: 20} and sum(tasks) == 60
+    # Five chunks at most; what failed in them goes with the next ones, and waits only after the last.
+    assert sum(slept) <= 3 and len(tasks) <= 5 + 2 * 3
+
+
+def test_an_update_lists_nothing_stored(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", 1)], "evidence_id string, n int")
+    table = KeyedTable(spark, str(tmp_path / "t"), "evidence_id")
+    table.upsert(rows)
+    monkeypatch.setattr(KeyedTable, "read", None)
+    table.upsert(rows.withColumn("n", F.lit(2)))
+    monkeypatch.undo()
+    assert values(table.read()) == [("a", 2)]
