@@ -47,13 +47,14 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Part:
-    """The rows of one run in one bucket; those of a compaction are its base."""
+    """The rows of one run in one bucket; those of a compaction are its base. Keys of ``fresh`` rows are in no older part."""
 
     seq: int
     run: str
     bucket: int
     bytes: int
     base: bool
+    fresh: bool = False
 
     @property
     def folder(self) -> str:
@@ -160,6 +161,10 @@ class KeyedTable:
 
     def _merged(self, state: State, parts: Sequence[Part], columns: Sequence[str] | None = None) -> DataFrame:
         """One row per key of the given parts: those of deltas are few and replace what the bases have."""
+        newest = max((p.seq for p in parts if not p.base and not p.fresh), default=None)
+        # Fresh rows replace nothing; if nothing later replaces them either, they are added without a join.
+        added = [p for p in parts if p.fresh and not p.base and (newest is None or p.seq > newest)]
+        parts = [p for p in parts if p not in set(added)]
         bases, deltas = [p for p in parts if p.base], [p for p in parts if not p.base]
         rows = self._load(state, bases, columns) if bases else None
         if deltas:
@@ -167,6 +172,9 @@ class KeyedTable:
             keyed = found.filter(F.col("_bucket") != KEYLESS)
             new = keep_one(keyed, [self.key], [F.desc("_seq")]).unionByName(found.filter(F.col("_bucket") == KEYLESS))
             rows = new if rows is None else rows.join(keyed.select(self.key), self.key, "left_anti").unionByName(new)
+        if added:
+            own = self._load(state, added, columns)
+            rows = own if rows is None else rows.unionByName(own)
         return rows
 
     def read(self, state: State | None = None, columns: Sequence[str] | None = None) -> DataFrame | None:
@@ -247,6 +255,8 @@ class KeyedTable:
         one = one.drop(*drop)
         seq = state.seq + 1 if state else 1
         parts = tuple(self._write(one, seq, state.buckets if state else self.new_buckets, state is None))
+        if mode == "ignore" and state is not None:
+            parts = tuple(replace(p, fresh=True) for p in parts)
         schema = self._schema(state, one)
         held = None
         if count and (state is None or state.rows is not None):

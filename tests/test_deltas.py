@@ -13,6 +13,7 @@ from forumlens.functions.keyed import arrival
 from forumlens.sources import deltas
 from forumlens.sources.deltas import Conflict, KeyedTable
 from forumlens.sources.tables import write_version
+from tests.fixture import values
 
 SCHEMA = "id string, value long"
 
@@ -154,3 +155,24 @@ def test_commits_remember_runs_within_bounds(spark, tmp_path, monkeypatch):
     for run in ("a", "b", "c"):
         table.upsert(frame(spark, [(run, 1)]), run)
     assert table.state().runs == ("b", "c")
+
+
+def test_rows_that_were_not_there_are_added_without_a_join(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), "id", buckets=2)
+    made = lambda *rows: spark.createDataFrame(list(rows), "id string, n int")
+    table.replace(made(("a", 1), (None, 0)))
+    table.upsert(made(("a", 2), ("b", 2), (None, 2)), mode="ignore")
+    table.upsert(made(("b", 3), ("c", 3)), mode="ignore")
+    held = [(None, 0), (None, 2), ("a", 1), ("b", 2), ("c", 3)]
+    by_id = lambda frame: sorted(values(frame, "id", "n"), key=str)
+    assert by_id(table.read()) == sorted(held, key=str)
+    assert "Join" not in table.read()._jdf.queryExecution().optimizedPlan().toString()
+    # What is replaced later is, and what comes after that is added again.
+    table.upsert(made(("b", 4), ("d", 4)))
+    table.upsert(made(("d", 5), ("e", 5)), mode="ignore")
+    held = [(None, 0), (None, 2), ("a", 1), ("b", 4), ("c", 3), ("d", 4), ("e", 5)]
+    assert by_id(table.read()) == sorted(held, key=str)
+    table.compact(0.0)
+    assert by_id(table.read()) == sorted(held, key=str)
+    table.upsert(made(("a", 6), ("f", 6)), mode="ignore")
+    assert by_id(table.read()) == sorted([*held, ("f", 6)], key=str)
