@@ -170,7 +170,9 @@ class KeyedTable:
         if deltas:
             found = self._load(state, deltas, columns)
             keyed = found.filter(F.col("_bucket") != KEYLESS)
-            new = keep_one(keyed, [self.key], [F.desc("_seq")]).unionByName(found.filter(F.col("_bucket") == KEYLESS))
+            # A run has each key once.
+            last = keyed if len({p.seq for p in deltas}) == 1 else keep_one(keyed, [self.key], [F.desc("_seq")])
+            new = last.unionByName(found.filter(F.col("_bucket") == KEYLESS))
             rows = new if rows is None else rows.join(keyed.select(self.key), self.key, "left_anti").unionByName(new)
         if added:
             own = self._load(state, added, columns)
