@@ -176,3 +176,13 @@ def test_rows_that_were_not_there_are_added_without_a_join(spark, tmp_path):
     assert by_id(table.read()) == sorted(held, key=str)
     table.upsert(made(("a", 6), ("f", 6)), mode="ignore")
     assert by_id(table.read()) == sorted([*held, ("f", 6)], key=str)
+
+
+def test_one_delta_is_not_ranked_again(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), "id", buckets=2)
+    for n in (1, 2):
+        table.upsert(spark.createDataFrame([("a", n), (None, n)], "id string, n int"))
+    assert sorted(values(table.read(), "id", "n"), key=str) == sorted([("a", 2), (None, 1), (None, 2)], key=str)
+    assert "Window" not in table.read()._jdf.queryExecution().optimizedPlan().toString()
+    table.upsert(spark.createDataFrame([("a", 3)], "id string, n int"))
+    assert sorted(values(table.read(), "id", "n"), key=str) == sorted([("a", 3), (None, 1), (None, 2)], key=str)
