@@ -21,6 +21,8 @@ from forumlens.llm.packing import pack
 
 #: A document stays if its largest language has at least this share of it.
 LANGUAGE_SHARE = 0.5
+#: Bytes of text whose trigrams a task holds at a time; each text is judged by itself.
+LANGUAGE_BYTES = 1 << 18
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a known language that makes up half of them or more; texts without a letter go."""
-    return rows_where(docs, language.is_language(language.fit(docs), LANGUAGE_SHARE))
+    return rows_where(docs, language.is_language(language.fit(docs), LANGUAGE_SHARE), size=LANGUAGE_BYTES)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

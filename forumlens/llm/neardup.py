@@ -33,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.llm.common import binary_texts, hand_back, mixed, shingle_hashes, slices, text_slices, word_hashes, words_of, written
+from forumlens.llm.common import (
+    SLICE_BYTES, binary_texts, hand_back, mixed, shingle_hashes, slices, text_slices, word_hashes, words_of, written)
 from forumlens.llm.components import components
 
 BANDS, ROWS = 48, 6
@@ -130,6 +131,7 @@ def _overlap(width: int):
                 "u": batch.column("u"), "v": batch.column("v"),
                 "shared": pa.array(both, pa.int64()), "total": pa.array(total, pa.int64()),
             })
+            hand_back()
 
     return run
 
@@ -207,22 +209,45 @@ def _unsettled(members: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFr
     return left.join(sizes.select("doc_id", F.col("most").alias("n")), "doc_id")
 
 
+def _places(sets: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """The number of each element, in order of all that occur, set by set; how many occur. Uses up the sets.
+
+    An array as large as all sets is held three times at most.
+    """
+    values = np.concatenate(sets)
+    values.sort()
+    values = values[np.concatenate([[True], values[1:] != values[:-1]])]
+    places, at = np.empty(sum(map(len, sets)), np.int64), 0
+    for i, own in enumerate(sets):
+        places[at:at + len(own)] = np.searchsorted(values, own)
+        at += len(own)
+        sets[i] = None
+    return places, len(values)
+
+
 def _compare(width: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
+        found = compared(group)
+        if group.nbytes >= SLICE_BYTES:
+            hand_back()
+        return found
+
+    def compared(group: pa.Table) -> pa.Table:
         ids, labels, block = (group.column(c).to_numpy() for c in ("doc_id", "label", "block"))
         host, p, q = (group.column(c)[0].as_py() for c in ("host", "p", "q"))
-        texts = group.column("text").cast(pa.large_binary()).to_pylist()
-        sets = [s for i, j in slices(texts) for s in shingle_sets(texts[i:j], width)]
+        # Of the texts only those of a slice are copied.
+        sets = [
+            s for batch in group.select(["text"]).to_batches() for _, _, texts in text_slices(batch, "text")
+            for s in shingle_sets(texts, width)]
         # Another row of an id may have no shingles: it has no links, and reduceat no place for it.
-        full = np.array([len(s) > 0 for s in sets])
+        full = np.array([len(s) > 0 for s in sets], bool)
         ids, labels, block, sets = ids[full], labels[full], block[full], [s for s in sets if len(s)]
         if not sets:
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         sizes = np.array([len(s) for s in sets])
         starts = np.cumsum(sizes) - sizes
-        values, places = np.unique(np.concatenate(sets), return_inverse=True)
-        marked = np.zeros(len(values), np.int32)
+        places, size = _places(sets)
+        marked = np.zeros(size, np.int32)
         us, vs = [], []
         # Any pair of two components has a member outside the host.
         for x in np.flatnonzero(labels != host):

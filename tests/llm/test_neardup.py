@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -117,3 +118,25 @@ def test_chain_and_star_components(spark):
     found = dict(map(tuple, components(spark.createDataFrame(chain, "u long, v long")).collect()))
     assert all(found[i] == 1 for i in range(1, 41)) and all(found[100 + i] == 100 for i in range(50))
     assert len(found) == 90
+
+
+def test_comparing_a_block_holds_few_copies_of_it(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, 20_000).astype(np.uint64)) for _ in range(40)]
+    sets += [sets[0][:15_000], sets[1]]
+    whole = sum(s.nbytes for s in sets)
+    want = np.unique(np.concatenate(sets), return_inverse=True)
+    tracemalloc.start()
+    places, size = neardup._places(list(sets))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size == len(want[0]) and np.array_equal(places, want[1])
+    assert peak < 3.2 * whole
+    back = []
+    monkeypatch.setattr(neardup, "hand_back", lambda: back.append(1))
+    monkeypatch.setattr(neardup, "SLICE_BYTES", 10)
+    texts = ["a b c d e f g h", "a b c d e f g h i", None, "x y"]
+    group = pa.table({
+        "doc_id": [1, 2, 3, 4], "label": [1, 2, 3, 4], "block": [0, 0, 0, 0], "host": [1] * 4, "p": [0] * 4, "q": [0] * 4,
+        "text": texts})
+    assert neardup._compare(2, 80)(group).to_pylist() == [{"u": 2, "v": 1}] and back
