@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forumlens.llm.common import binary_texts, slices, written
-from forumlens.llm.pretokens import KnownWords, encoded, encoded_ranges, word_ids
+from forumlens.llm.pretokens import KnownWords, encoded, encoded_ranges, split_words, word_ids
 from forumlens.session import scratch_folder
 
 #: Id pairs that are broadcast, by the number of documents that hold them.
@@ -65,7 +65,7 @@ class PieceIds:
             bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         self.width = len(pieces)
-        self.known = KnownWords(self.learn, WORDS_KEPT)
+        self.known = KnownWords(lambda data, sizes: self.learn(split_words(data, sizes)), WORDS_KEPT)
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has: none, if they do not spell the word."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.llm.common import binary_texts, slices
-from forumlens.llm.pretokens import KnownWords, encoded
+from forumlens.llm.pretokens import KnownWords, encoded, split_words
 
 ROUNDS = 64
 #: Bytes of words of up to SHORT bytes in one recursive query, and ids in one decoding query. Nothing spills: rows are bounded.
@@ -100,7 +100,7 @@ class DuckBpe:
             "token": pa.array(list(ranks.values()), pa.int64()),
             "piece": pa.array([p.decode("latin-1") for p in ranks], pa.string()),
         }))
-        self.ids_of = KnownWords(self.learn, WORDS_KEPT)
+        self.ids_of = KnownWords(lambda data, sizes: self.learn(split_words(data, sizes)), WORDS_KEPT)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.con.register("arrow_rows", rows)

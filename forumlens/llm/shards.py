@@ -203,7 +203,7 @@ def write_shards(
     streams = texts.mapInArrow(_encoded(tokenizer, kind), "part long, start long, doc_id long, n long, ids binary")
     # Encoded once; long pages of ids are worth a higher level of compression.
     kept = scratch_folder(spark := docs.sparkSession, "tokens")
-    streams.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 6).parquet(kept)
+    streams.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 5).parquet(kept)
     tokens = spark.read.schema(streams.schema).parquet(kept)
     # One row per partition of the scan.
     parts = tokens.groupBy("part").agg(F.sum("n").alias("n")).withColumn(

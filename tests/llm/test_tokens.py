@@ -177,3 +177,26 @@ def test_a_word_of_a_megabyte(library):
 def test_capacity_must_hold_whole_units(spark):
     with pytest.raises(ValueError):
         packing.pack(no_docs(spark), capacity=100)
+
+
+def test_known_words_learn_from_bytes_and_forget(tokenizer):
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 50, 500).astype(np.uint64) << np.uint64(58)
+    for got, want in zip(pretokens._numbered(values), np.unique(values, return_index=True, return_inverse=True), strict=True):
+        assert np.array_equal(got, want)
+    words = pretokens.word_ids(public_tokenizers.path("byte_bpe_50k.json"))
+    learned = []
+
+    def learn(data, sizes):
+        learned.append(sizes.sum() == len(data))
+        return words.learn(data, sizes)
+
+    known = pretokens.KnownWords(learn, 40)
+    texts = [" ".join("".join(rng.choice(list("abcÄß1.'"), rng.integers(1, 7))) for _ in range(30)) for _ in range(40)]
+    for first in [0, 10, 0, 20, 30, 0]:
+        own = texts[first:first + 10]
+        ids, at = pretokens.encoded([t.encode() for t in own], known)
+        for text, i, j in zip(own, at[:-1], at[1:], strict=True):
+            assert ids[i:j].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(known.hashes) <= 40 == known.size and len(known.ids) == known.words[4].sum()
+    assert learned and all(learned)
