@@ -12,16 +12,18 @@ of them, as ``retrieve`` does, besides two passes over the centres.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlens.functions.keyed import keep_top
-from forumlens.operators.retrieval import PAGE_BYTES, PAGE_ROWS, _in_blocks, _matrix, _scored, _unit
+from forumlens.operators.retrieval import PAGE_BYTES, PAGE_ROWS, _Best, _in_blocks, _matrix, _scored, _search, _unit
 from forumlens.session import scratch_folder
 from forumlens.sources.tables import read_version, write_version
 
@@ -139,20 +141,77 @@ def _promising(home: int):
     return run
 
 
+def _open(asked: pa.Array, page: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which blocks have a bound that reaches the floor of each question, but for those that were scored; the blocks."""
+    bound, block = _bounds(asked, page)
+    open_ = bound >= asked.field("floor").to_numpy(zero_copy_only=False)[:, None] - SLACK
+    done = asked.field("home")
+    who = np.repeat(np.arange(len(done)), pc.list_value_length(done).to_numpy(zero_copy_only=False))
+    order = np.argsort(block)
+    homes = done.flatten().to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(block[order], homes), len(block) - 1)
+    here = block[order][at] == homes
+    open_[who[here], order[at[here]]] = False
+    return open_, block
+
+
 def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks whose bound reaches the floor of a question, but for those that were scored."""
+    """The open blocks of each question."""
     for batch in batches:
         for row in range(batch.num_rows):
             asked = batch.column("asked")[row].values
-            bound, block = _bounds(asked, batch.column("page")[row].values)
-            open_ = bound >= asked.field("floor").to_numpy(zero_copy_only=False)[:, None] - SLACK
-            for q, done in enumerate(asked.field("home").to_pylist()):
-                open_[q] &= ~np.isin(block, done)
+            open_, block = _open(asked, batch.column("page")[row].values)
             who, which = np.nonzero(open_)
             yield pa.RecordBatch.from_arrays(
                 [asked.field(0).take(pa.array(who)), pa.array(block[which])], ["question_id", "block"])
 
 
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks that are open for any question of a sheet."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            open_, block = _open(batch.column("asked")[row].values, batch.column("page")[row].values)
+            block = block[open_.any(0)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([batch.column(c)[row].as_py()] * len(block), batch.column(c).type) for c in ("width", "sheet")]
+                + [pa.array(block)], ["width", "sheet", "block"])
+
+
+def _scored_open(k: int, key: str):
+    """Best k chunks per question of a sheet, from the blocks that are open for it.
+
+    Rows of one sheet that follow each other share its floors, which rise as blocks are scored.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sheet = names = questions = held = kind = None
+
+        def best() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [names.take(pa.array(held.question)), pa.array(held.id, kind), pa.array(held.score)],
+                ["question_id", key, "score"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = tuple(batch.column(c)[row].as_py() for c in ("width", "sheet"))
+                asked, place = batch.column("asked")[row].values, batch.column("place").slice(row, 1)
+                if own != sheet:
+                    if held is not None and len(held.question):
+                        yield best()
+                    sheet, names, questions = own, asked.field(0), _unit(_matrix(asked.field(1)))
+                    held = _Best(len(names), k)
+                    held.floor = asked.field("floor").to_numpy(zero_copy_only=False).copy()
+                told = batch.column("told")[row].values
+                kind = told.field(0).type
+                # Against the floors as they came, so that what is scored does not hang on the order of rows.
+                who = np.flatnonzero(_open(asked, place)[0][:, 0])
+                if len(who):
+                    _search(held, questions, _unit(_matrix(told.field(1))), told.field(0).to_numpy(zero_copy_only=False), who)
+        if held is not None and len(held.question):
+            yield best()
+
+    return run
+
+
 @dataclass(frozen=True)
 class Found:
     """The nearest chunks, and the pairs (question_id, block) that were scored for them."""
@@ -175,7 +234,8 @@ def retrieve_located(
 
     # Centres in pages of bounded size, which every page of questions meets once.
     places = blocks.select("width", "block", "centre", "radius", "zero")
-    pages = max(1, -(-blocks.count() * max(blocks.agg(F.max("width")).first()[0] or 1, 1) * 8 // PAGE_BYTES))
+    located, width = blocks.agg(F.count("*"), F.max("width")).first()
+    pages = max(1, -(-located * max(width or 1, 1) * 8 // PAGE_BYTES))
     paged = places.withColumn("number", F.pmod(F.xxhash64("block"), F.lit(pages).cast("long"))).groupBy("width", "number").agg(
         F.collect_list(F.struct("block", "centre", "radius", "zero")).alias("page"))
     meets = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pages - 1).cast("long"))).alias("number")
@@ -201,9 +261,34 @@ def retrieve_located(
     floors = near.groupBy("question_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).select(
         "question_id", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-2.0)).alias("floor"))
     homes = first.groupBy("question_id").agg(F.collect_list("block").alias("home"))
-    told = own.join(floors, "question_id").join(homes, "question_id").select("question_id", "embedding", "floor", "home")
-    second = _stored(against(told).mapInArrow(_reaching, f"question_id {id_type}, block long"), "second")
-    top = keep_top(near.unionByName(scores(second)), ["question_id"], order, k, rank_as="rank")
+    told = own.join(floors, "question_id").join(homes, "question_id").withColumn("width", F.size("embedding"))
+
+    # Questions lie in sheets by a block of their own, so that those of a sheet need much the same
+    # blocks. Sheets and blocks meet in a grid of about as many rows and columns, so that each
+    # travels as often as the square root of their number tells, not once per pair.
+    count, per_sheet = told.count(), max(1, min(per_page, PAGE_BYTES // (8 * (width or 1))))
+    sheets, columns = max(1, -(-count // per_sheet)), max(1, math.isqrt(located))
+    lines = max(1, sheets // columns)
+    near_block = F.array_min("home")
+    parts = told.groupBy(near_block.alias("near")).agg(F.ceil(2 * F.count("*") / F.lit(per_sheet)).alias("parts"))
+    dealt = told.withColumn("near", near_block).join(F.broadcast(parts), "near").withColumn(
+        "sheet", F.pmod(F.xxhash64("near", F.pmod(number, "parts")), F.lit(sheets).cast("long")))
+    asked = _stored(dealt.groupBy("width", "sheet").agg(
+        F.collect_list(F.struct("question_id", "embedding", "floor", "home")).alias("asked")), "asked")
+    meeting = asked.select("width", "sheet", "asked", meets).join(paged, ["width", "number"])
+    column = F.pmod(F.xxhash64("block"), F.lit(columns).cast("long")).alias("column")
+    line = F.pmod(F.xxhash64("sheet"), F.lit(lines).cast("long"))
+    needed = _stored(meeting.select("width", "sheet", "asked", "page").mapInArrow(
+        _needed, "width int, sheet long, block long"), "needed")
+    wanted = needed.groupBy("width", "sheet", column).agg(F.collect_list("block").alias("wanted"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lines - 1).cast("long"))).alias("line")
+    sent = asked.join(wanted, ["width", "sheet"]).withColumn("line", line)
+    chunks = blocks.select("width", column, F.struct("block", "centre", "radius", "zero").alias("place"), "told", every)
+    both = sent.join(chunks, ["width", "column", "line"]).filter(F.array_contains("wanted", F.col("place.block")))
+    others = both.select("width", "sheet", "asked", "place", "told").mapInArrow(
+        _scored_open(k, key), f"question_id {id_type}, `{key}` {key_type}, score double")
+    second = meeting.select("asked", "page").mapInArrow(_reaching, f"question_id {id_type}, block long")
+    top = keep_top(near.unionByName(others), ["question_id"], order, k, rank_as="rank")
     return Found(top.withColumnRenamed("question_id", question_id), first.unionByName(second))
 
 

@@ -167,17 +167,21 @@ class _Best:
         # Score a chunk has to reach to be among the k of a question.
         self.floor = np.full(questions, -np.inf)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Take in the scores of some chunks, a row per question."""
-        need = self.floor
+    def add(self, scores: np.ndarray, ids: np.ndarray, who: np.ndarray | None = None) -> None:
+        """Take in the scores of some chunks, a row per question (of those in ``who``)."""
+        need = self.floor if who is None else self.floor[who]
         if scores.shape[1] > self.k:
             need = np.maximum(need, np.partition(scores, -self.k, axis=1)[:, -self.k])
         question, chunk = np.nonzero(scores >= need[:, None])
+        self.take(question if who is None else who[question], ids[chunk], scores[question, chunk])
+
+    def take(self, question: np.ndarray, found: np.ndarray, score: np.ndarray) -> None:
+        """Take in single scores: question, chunk and score of each."""
         if not len(question):
             return
         question = np.concatenate([self.question, question])
-        found = ids[chunk] if self.id is None else np.concatenate([self.id, ids[chunk]])
-        score = np.concatenate([self.score, scores[scores >= need[:, None]]])
+        found = found if self.id is None else np.concatenate([self.id, found])
+        score = np.concatenate([self.score, score])
         # By question, best score first, equals by id.
         order = np.lexsort((np.unique(found, return_inverse=True)[1], -score, question))
         question = question[order]
@@ -189,6 +193,33 @@ class _Best:
         self.floor[self.question[full]] = self.score[full]
 
 
+def _search(held: _Best, questions: np.ndarray, vectors: np.ndarray, ids: np.ndarray, who: np.ndarray | None = None) -> None:
+    """Take in a block of chunks, for all questions or those in ``who``.
+
+    Once every question has a floor, scores are worked out in four bytes first, and
+    again in eight where they may reach it; ``slack`` is more than those can differ
+    and rounding can add.
+    """
+    if who is not None:
+        questions = questions[who]
+    rough, slack = questions.astype(np.float32), 2e-6 + (questions.shape[1] + 8) * 2.0 ** -23
+    step = max(1, TILE_SCORES // max(1, len(questions)))
+    for at in range(0, len(ids), step):
+        part, names = vectors[at:at + step], ids[at:at + step]
+        floor = held.floor if who is None else held.floor[who]
+        if not np.isneginf(floor).any():
+            near = rough @ part.astype(np.float32).T >= (floor - slack).astype(np.float32)[:, None]
+            # A few of many: their vectors are gathered.
+            if np.count_nonzero(near) <= TILE_SCORES // (2 * questions.shape[1]):
+                question, chunk = np.nonzero(near)
+                scores = np.round(np.einsum("ij,ij->i", questions[question], part[chunk]), SCORE_DIGITS) + 0.0
+                good = scores >= floor[question]
+                question, chunk, scores = question[good], chunk[good], scores[good]
+                held.take(question if who is None else who[question], names[chunk], scores)
+                continue
+        held.add(np.round(questions @ part.T, SCORE_DIGITS) + 0.0, names, who)
+
+
 def _scored(k: int, key: str):
     """Best k chunks per question for rows that hold a block of each."""
 
@@ -198,10 +229,8 @@ def _scored(k: int, key: str):
                 asked, told = batch.column("asked")[row].values, batch.column("told")[row].values
                 names, ids = asked.field(0), told.field(0).to_numpy(zero_copy_only=False)
                 questions, vectors = _unit(_matrix(asked.field(1))), _unit(_matrix(told.field(1)))
-                held, step = _Best(len(questions), k), max(1, TILE_SCORES // len(questions))
-                for at in range(0, len(ids), step):
-                    scores = np.round(questions @ vectors[at:at + step].T, SCORE_DIGITS) + 0.0
-                    held.add(scores, ids[at:at + step])
+                held = _Best(len(questions), k)
+                _search(held, questions, vectors, ids)
                 yield pa.RecordBatch.from_arrays(
                     [names.take(pa.array(held.question)), pa.array(held.id, told.field(0).type), pa.array(held.score)],
                     ["question_id", key, "score"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from forumlens.operators import located
+from forumlens.operators import located, retrieval
 from forumlens.operators.located import read_located, retrieve_located, write_located
 from forumlens.operators.retrieval import retrieve
 
@@ -62,3 +62,22 @@ def test_blocks_are_bounded_and_empty_sides(spark, tmp_path, monkeypatch):
     assert retrieve_located(questions.limit(0), blocks).top.count() == 0
     none = write_located(index.limit(0), str(tmp_path / "none"))
     assert retrieve_located(questions, none).top.count() == 0
+
+
+@pytest.mark.parametrize("some", [False, True])
+def test_scores_are_worked_out_whole_only_where_they_may_reach_a_floor(monkeypatch, some):
+    rng = np.random.default_rng(8)
+    questions, vectors = (retrieval._unit(rng.normal(size=(n, 16))) for n in (40, 3000))
+    vectors[100:130] = vectors[7]
+    ids, who = rng.permutation(3000), np.arange(0, 40, 3) if some else None
+    monkeypatch.setattr(retrieval, "TILE_SCORES", 20_000)
+    held, dense = retrieval._Best(40, 5), []
+    add = retrieval._Best.add
+    monkeypatch.setattr(retrieval._Best, "add", lambda self, scores, *rest: (dense.append(scores.size), add(self, scores, *rest)))
+    for at in range(0, 3000, 1000):
+        retrieval._search(held, questions, vectors[at:at + 1000], ids[at:at + 1000], who)
+    scores = np.round(questions @ vectors.T, 6)
+    want = {(q, i) for q in (range(40) if who is None else who) for i in ids[np.lexsort((ids, -scores[q]))[:5]]}
+    assert set(zip(held.question.tolist(), held.id.tolist())) == want
+    # The first tile alone, of 3000 scores for each question.
+    assert sum(dense) <= 20_000 < 3000 * (40 if who is None else len(who))
