@@ -1,17 +1,20 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
 Vectors become whole numbers, floor(1024 x) for each component. Data and queries
-are cut into blocks, a task takes one block of each, builds a cover tree on both
-and walks pairs of nodes. For a query node with centre q and covering radius s and
+are dealt to sheets, and a task takes one sheet of each. It holds the queries, in
+blocks with a cover tree each; the data pass by in blocks, on each of which a tree
+is built once. Pairs of nodes of two trees are walked. For a query node with centre
+q and covering radius s and
 a data node with centre p and radius r no inner product inside exceeds
 
     q.p + s |p| + r |q| + s r
 
 so the pair is dropped if that is below the worst k-th score among the queries of
-the node. What is left ends in products of leaves, which are exact in float64 as
-long as no sum of products reaches 2**53; larger ones are summed as Python
-integers. Each task returns at most k rows per query, and the best k of those of
-all blocks are the result.
+the node, which the blocks before have raised. What is left ends in products of
+leaves, which are exact in float64 as long as no sum of products reaches 2**53;
+larger ones are summed as Python integers. Each task returns at most k rows per
+query (and as many per block of numbers that large), and the best k of those of
+all sheets are the result.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from forumlens.functions.keyed import keep_top
 SCALE = 1024
 #: Vectors of a data block and of a query block, and of a leaf of each.
 DATA_BLOCK, QUERY_BLOCK, DATA_LEAF, QUERY_LEAF = 4096, 1024, 32, 32
+#: Bytes that a task holds of a block of data, and of a sheet of queries with their best.
+BLOCK_BYTES, SHEET_BYTES = 16 << 20, 16 << 20
+#: Vectors of a sheet of data at most; while there are fewer sheets than four for each core, they are smaller.
+DATA_SHEET = 65536
 #: Points of data that a leaf of queries is multiplied with at a time.
 CHUNK = 512
 #: Each level of a cover tree covers with this part of the radius above it.
@@ -117,22 +124,26 @@ class Flat:
             *[self.children[n] if len(self.children[n]) and self.radius[n] > wider else np.array([n]) for n in nodes]])
 
 
-def dual_tree(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> Best:
+def dual_tree(
+    queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int,
+    asked: Node | None = None, tree: Flat | None = None, best: Best | None = None,
+) -> Best:
     """The k best data vectors of each query, its own id left out.
 
     A query node goes down with the data nodes that are still possible for it.
     Each of its children drops more of them, and a leaf looks at what is left,
-    the most promising nodes first and about CHUNK points at a time.
+    the most promising nodes first and about CHUNK points at a time. The trees may
+    be given, and what other data gave.
     """
-    best = Best(len(queries), k)
-    tree = Flat(cover_tree(data, DATA_LEAF), data)
+    best = Best(len(queries), k) if best is None else best
+    tree = Flat(cover_tree(data, DATA_LEAF), data) if tree is None else tree
 
     def possible(q: Node, nodes: np.ndarray) -> np.ndarray:
         limits = tree.bounds(nodes, queries[q.centre], q.radius)
         order = np.argsort(-limits, kind="stable")
         return nodes[order[limits[order] >= best.worst(q.points)]]
 
-    stack = [(cover_tree(queries, QUERY_LEAF), np.array([0]))]
+    stack = [(cover_tree(queries, QUERY_LEAF) if asked is None else asked, np.array([0]))]
     while stack:
         q, nodes = stack.pop()
         nodes = possible(q, nodes)
@@ -165,43 +176,124 @@ def _large(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
             yield q, i, -score
 
 
-def _packed(group: pa.Table) -> pa.Table:
-    """A block as one row: its ids and its vectors."""
-    vectors = np.array(group.column("vector").to_pylist(), np.float64).reshape(group.num_rows, -1)
-    return pa.table({
-        "width": [group.column("width")[0].as_py()], "ids": [group.column("vec_id").to_numpy().tobytes()],
-        "vectors": [vectors.tobytes()], "block": [group.column("block")[0].as_py()],
-    }, pa.schema([("width", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("block", pa.int64())]))
+class _Waiting:
+    """Rows of one width that came in and wait until they are a block."""
 
+    def __init__(self, size: int):
+        self.size, self.rows, self.parts = size, 0, []
 
-def _searched(k: int):
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Whole blocks, once there are any."""
+        while len(ids):
+            room = self.size - self.rows
+            self.parts.append((ids[:room], vectors[:room]))
+            self.rows += len(ids[:room])
+            ids, vectors = ids[room:], vectors[room:]
+            if self.rows == self.size:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What has not made up a block."""
+        if self.rows:
+            ids, vectors = zip(*self.parts)
+            self.rows, self.parts = 0, []
+            yield np.concatenate(ids), np.concatenate(vectors)
+
+
+@dataclass
+class _Held:
+    """A block of queries with its best so far; its tree is built when it is first walked."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    best: Best
+    tree: Node | None = None
+
+
+class _Cell:
+    """A sheet of queries, which the vectors of a sheet of data pass block by block."""
+
+    def __init__(self, width: int, k: int, data_block: int, query_block: int):
+        self.k = k
+        self.asked = _Waiting(query_block)
+        self.told = _Waiting(max(1, min(data_block, BLOCK_BYTES // (8 * width))))
+        self.held: list[_Held] = []
+
+    def take(self, told: bool, ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Take in rows, the queries first; found are those whose numbers are too large to be held."""
+        if told:
+            self._hold(self.asked.rest())
+            for block in self.told.add(ids, vectors) if self.held else ():
+                yield from self._search(*block)
+        else:
+            self._hold(self.asked.add(ids, vectors))
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        """The best of each query, once all rows are in."""
+        for block in self.told.rest():
+            yield from self._search(*block)
+        for held in self.held:
+            found = held.best.scores > -np.inf
+            yield _rows(
+                np.repeat(held.ids, found.sum(1)), held.best.ids[found], held.best.scores[found].astype(np.int64))
+
+    def _hold(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+        for ids, vectors in blocks:
+            self.held.append(_Held(ids, vectors, Best(len(ids), self.k)))
+
+    def _search(self, data_ids: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for held in self.held:
+            if np.abs(held.vectors).max(initial=0) * np.abs(data).max(initial=0) * data.shape[1] < 2 ** 53:
+                tree = tree or Flat(cover_tree(data, DATA_LEAF), data)
+                held.tree = held.tree or cover_tree(held.vectors, QUERY_LEAF)
+                dual_tree(held.vectors, held.ids, data, data_ids, self.k, held.tree, tree, held.best)
+            else:
+                yield _rows(*(list(zip(*_large(held.vectors, held.ids, data, data_ids, self.k))) or [(), (), ()]))
+
+
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.record_batch({
+        name: pa.array(column, pa.int64()) for name, column in zip(("query_id", "vec_id", "score"), columns)})
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """First row and the one after the last of each run of rows of one cell, width and side."""
+    border = np.ones(batch.num_rows + 1, bool)
+    border[1:-1] = False
+    for name in ("cell", "width", "told"):
+        border[1:-1] |= np.diff(batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)) != 0
+    at = np.flatnonzero(border)
+    return zip(at[:-1].tolist(), at[1:].tolist())
+
+
+def _searched(k: int, data_block: int, query_block: int):
+    """The best of each cell, whose rows come one after the other, by width and its queries first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                width = row["width"]
-                ids, data_ids = (np.frombuffer(row[c], np.int64) for c in ("query_ids", "ids"))
-                queries, data = (
-                    np.floor(np.frombuffer(row[c], np.float64).reshape(-1, width) * SCALE) for c in ("queries", "vectors"))
-                if np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * max(width, 1) < 2 ** 53:
-                    best = dual_tree(queries, ids, data, data_ids, k)
-                    found = [
-                        (int(q), int(i), int(s)) for q, many, scores in zip(ids, best.ids, best.scores)
-                        for i, s in zip(many, scores) if s > -np.inf]
-                else:
-                    found = list(_large(queries, ids, data, data_ids, k))
-                columns = list(zip(*found)) or [(), (), ()]
-                yield pa.record_batch({
-                    name: pa.array(column, pa.int64()) for name, column in zip(("query_id", "vec_id", "score"), columns)})
+            for first, last in _runs(batch):
+                part = batch.slice(first, last - first)
+                at, width, told = (part.column(name)[0].as_py() for name in ("cell", "width", "told"))
+                if (at, width) != key:
+                    if cell:
+                        yield from cell.found()
+                    key, cell = (at, width), _Cell(width, k, data_block, query_block)
+                vectors = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                yield from cell.take(told, part.column("vec_id").to_numpy(), np.floor(vectors * SCALE))
+        if cell:
+            yield from cell.found()
 
     return run
 
 
-def _blocks(vectors: DataFrame, size: int, number: Column) -> tuple[DataFrame, int]:
-    """Vectors in packed blocks of about so many rows, dealt by a number that a lost task would give out again."""
-    count = max(1, -(-vectors.count() // size))
-    dealt = vectors.withColumn("block", F.pmod(number, F.lit(count).cast("long")))
-    packed = dealt.groupBy("width", "block").applyInArrow(_packed, "width long, ids binary, vectors binary, block long")
-    return packed, count
+def _sheets(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[int, int]:
+    """How many sheets of data there are, and how many of queries."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    rows, held = vectors.count(), queries.agg(F.sum(8 * F.col("width") + 16 * k)).first()[0] or 0
+    asked = -(-held // SHEET_BYTES) or 1
+    enough = min(-(-rows // DATA_BLOCK), -(-4 * cores // asked))
+    return max(1, -(-rows // DATA_SHEET), enough), asked
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -222,14 +314,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         ).withColumn("width", F.size("vector").cast("long")).filter("width > 0")
 
     asked = valid(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("width", F.size("vector").cast("long"))
-    # Rows of the data may repeat, so they are numbered where they are read; queries come out of a shuffle, once each.
-    data, count = _blocks(valid(vectors), DATA_BLOCK, F.monotonically_increasing_id())
-    packed, _ = _blocks(asked, QUERY_BLOCK, F.xxhash64("vec_id"))
-    # A stated set of queries against all rows, block by block; the blocks of
-    # the data, all of one size, are the keys of the join.
-    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-    packed = packed.select("width", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), meets.alias("block"))
-    pairs = data.join(packed, ["width", "block"]).select("width", "ids", "vectors", "query_ids", "queries")
-    found = pairs.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+    told = valid(vectors)
+    across, down = _sheets(told, asked, k)
+
+    def numbers(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+    def dealt(number: Column, count: int) -> Column:
+        return F.pmod(number, F.lit(count).cast("long"))
+
+    # Each sheet of queries meets each of the data. Rows of the data may repeat, so they
+    # are numbered where they are read; queries come out of a shuffle, once each.
+    told = told.withColumn("across", dealt(F.monotonically_increasing_id(), across)).withColumn("down", numbers(down))
+    asked = asked.withColumn("down", dealt(F.xxhash64("vec_id"), down)).withColumn("across", numbers(across))
+    both = asked.withColumn("told", F.lit(False)).unionByName(told.withColumn("told", F.lit(True))).select(
+        (F.col("down") * across + F.col("across")).alias("cell"), "width", "told", "vec_id", "vector")
+    cells = both.repartitionById(across * down, F.col("cell").cast("int")).sortWithinPartitions("cell", "width", "told")
+    found = cells.mapInArrow(_searched(k, DATA_BLOCK, QUERY_BLOCK), "query_id long, vec_id long, score long")
     ranked = keep_top(found, ["query_id"], [F.col("score").desc(), F.col("vec_id").asc()], k, rank_as="rank")
     return ranked.select("query_id", "rank", "vec_id", "score")

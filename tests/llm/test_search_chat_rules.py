@@ -207,6 +207,52 @@ def test_topk_matches_brute_force(spark, monkeypatch, spread):
     assert topk.top_k(none, none).count() == topk.top_k(spark.createDataFrame(data, schema), none).count() == 0
 
 
+def test_topk_sheets_meet_once_each_and_nothing_is_broadcast(spark, monkeypatch):
+    # Queries times blocks were broadcast, by the size they had before they met.
+    for name, value in {"DATA_BLOCK": 40, "QUERY_BLOCK": 6, "DATA_SHEET": 90, "SHEET_BYTES": 3000}.items():
+        monkeypatch.setattr(topk, name, value, raising=False)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 8 * 30, raising=False)
+    rng = np.random.default_rng(7)
+    data = [(i, rng.normal(0, 1, 8 if i % 7 else 3).tolist()) for i in range(600)]
+    data += [(i, data[i - 700][1]) for i in range(700, 760)] + [(5000 + i, [1e6 + i] * 8) for i in range(30)]
+    asked = [r for r in data if r[0] % 10 in (0, 3)]
+    schema, batch = "vec_id long, embedding array<double>", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        found = topk.top_k(spark.createDataFrame(data, schema), spark.createDataFrame(asked, schema), 4)
+        rows = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.set(batch, before)
+    assert rows == topk_brute(data, asked, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
+def test_blocks_of_data_raise_the_floor_of_the_next():
+    rng = np.random.default_rng(8)
+    data, queries = rng.normal(0, 900, (900, 16)).round(), rng.normal(0, 900, (50, 16)).round()
+    data_ids, ids = np.arange(900), np.arange(5000, 5050)
+    cell, looked, best = topk._Cell(16, 5, 100, 20), [], topk.Best.add
+    topk.Best.add = lambda self, q, i, s: (looked.append(int((s >= self.scores[q, -1:]).sum())), best(self, q, i, s))[1]
+    try:
+        found = [*cell.take(False, ids, queries)]
+        for first in range(0, 900, 250):
+            found += cell.take(True, data_ids[first:first + 250], data[first:first + 250])
+        found += cell.found()
+        together = sum(looked)
+        looked.clear()
+        for first in range(0, 900, 100):
+            topk.dual_tree(queries, ids, data[first:first + 100], data_ids[first:first + 100], 5)
+    finally:
+        topk.Best.add = best
+    whole = topk.dual_tree(queries, ids, data, data_ids, 5)
+    rows = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    assert sorted(rows) == sorted(
+        (int(q), int(i), int(s)) for q, some, scores in zip(ids, whole.ids, whole.scores) for i, s in zip(some, scores))
+    assert together < 0.7 * sum(looked)
+
+
 def test_large_numbers_stay_exact(spark):
     data = [(i, [1e6 + i, 3e5 - i, float(i)]) for i in range(30)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
